@@ -119,6 +119,12 @@ def topk_rows(scores: np.ndarray, item_ids: np.ndarray, k: int):
     return rows[sel], cols[sel]
 
 
+def _as_tuple(v) -> tuple:
+    if v is None:
+        return ()
+    return tuple(x for x in v if x is not None and str(x).strip() != "")
+
+
 def _filter_mask(groups: np.ndarray, types: np.ndarray, must_group, must_type,
                  not_groups, not_types) -> np.ndarray:
     mask = np.ones(len(groups), dtype=bool)
@@ -159,11 +165,11 @@ def score_block(qvecs: np.ndarray, ivecs: np.ndarray, item_ids: np.ndarray, k: i
         for r, f in enumerate(filters):
             if f is None:
                 continue
-            key = (f[0], f[1], tuple(f[2] or ()), tuple(f[3] or ()))
+            key = (f[0] or None, f[1] or None, _as_tuple(f[2]), _as_tuple(f[3]))
             if key == (None, None, (), ()):
                 continue
             if key not in cache:
-                cache[key] = _filter_mask(groups, types, *f)
+                cache[key] = _filter_mask(groups, types, *key)
             scores[r, ~cache[key]] = -np.inf
     rows, cols = topk_rows(scores, item_ids, k)
     return rows, item_ids[cols], scores[rows, cols]

@@ -278,3 +278,7 @@ def q_trending_topk(spark, d):
     "LEFT JOIN articles_l a ON t.article_id = a.article_id ORDER BY t.rank"))
 def q_trending_enriched(spark, d):
     return Tables(spark, d).trending
+
+
+# the vector / state / recommendation layers register themselves on import
+from driftrank.plans import catalog_vectors  # noqa: E402,F401

@@ -36,16 +36,16 @@ VIEWS = {
     ),
     # unit-normalised item vectors joined with the payload (zero stays zero)
     "index_l": (
-        "SELECT m.item_idx, "
-        "CASE WHEN sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) = 0 "
-        "THEN CAST(e.embedding AS DOUBLE[]) ELSE "
-        "list_transform(CAST(e.embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))) END AS v, "
+        "SELECT m.item_idx, CAST(CASE WHEN e.nrm = 0 THEN e.ed "
+        "ELSE list_transform(e.ed, lambda x: x / e.nrm) END AS FLOAT[]) AS v, "
         "coalesce(a.article_id, '') AS article_id, coalesce(a.prod_name, '') AS prod_name, "
         "coalesce(a.product_type_name, '') AS product_type_name, "
         "coalesce(a.product_group_name, '') AS product_group_name, "
         "coalesce(a.graphical_appearance_name, '') AS graphical_appearance_name, "
         "coalesce(a.index_group_name, '') AS index_group_name "
-        "FROM embeddings e JOIN item_map_l m ON CAST(e.vec_id AS INTEGER) = m.item_idx "
+        "FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS ed, "
+        "sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS nrm "
+        "FROM embeddings) e JOIN item_map_l m ON CAST(e.vec_id AS INTEGER) = m.item_idx "
         "LEFT JOIN articles_l a ON a.article_id = m.article_id"
     ),
 }
@@ -54,6 +54,14 @@ VIEWS = {
 ORDER = ["customers_l", "articles_l", "tx_l", "ev_l", "user_map_l", "item_map_l", "index_l"]
 
 
+def cos_sql(a: str, b: str) -> str:
+    """Cosine of two list columns in double precision, 0 for a zero norm."""
+    da, db = f"CAST({a} AS DOUBLE[])", f"CAST({b} AS DOUBLE[])"
+    na, nb = f"list_dot_product({da}, {da})", f"list_dot_product({db}, {db})"
+    return (f"(CASE WHEN {na} = 0 OR {nb} = 0 THEN 0.0 ELSE "
+            f"list_dot_product({da}, {db}) / (sqrt({na}) * sqrt({nb})) END)")
+
+
 def with_views(*needed: str, extra: list[tuple[str, str]] | None = None) -> str:
     """WITH clause holding the needed views (and their dependencies) plus
     ``extra`` (name, body) CTEs appended in order."""

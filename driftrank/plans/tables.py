@@ -93,5 +93,6 @@ class Tables:
 
     @cached_property
     def users(self) -> DataFrame:
-        """Request table: every user seen in the event stream."""
-        return self.events.select("user_idx").where(F.col("user_idx").isNotNull()).distinct()
+        """Request table: every customer asks for recommendations (user_idx is
+        the customer key, as in the event stream)."""
+        return self.raw("customer").select(F.col("c_custkey").cast("int").alias("user_idx")).distinct()
