@@ -39,23 +39,28 @@ def bucket_histogram(df: DataFrame, col: str, bounds: Sequence[float]) -> DataFr
 
 
 def histogram_quantile(buckets: DataFrame, quantiles: Sequence[float]) -> DataFrame:
-    """ME8: quantile from cumulative buckets, linear inside the bucket that
-    reaches rank q x total (lower bound 0 for the first bucket; the +Inf
-    bucket answers with the largest finite bound).  The bucket table has one
-    row per bound, so its windows are tiny."""
-    w = Window.orderBy("ord")
-    b = buckets.select(
-        "le", "ub", "ord", "count",
-        F.coalesce(F.lag("ub").over(w), F.lit(0.0)).alias("lb"),
-        F.coalesce(F.lag("count").over(w), F.lit(0)).alias("prev"),
-        F.max("count").over(Window.partitionBy()).alias("total"))
-    qs = b.select(F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("quantile")).distinct()
-    hit = (qs.join(b, (b["count"] >= qs["quantile"] * b["total"]) & (b["total"] > 0))
-           .groupBy("quantile").agg(F.min("ord").alias("ord")))
-    j = hit.join(b, "ord")
-    value = (F.when(F.col("le") == "+Inf", F.col("lb"))
-             .when(F.col("count") == F.col("prev"), F.col("ub"))
-             .otherwise(F.col("lb") + (F.col("ub") - F.col("lb"))
-                        * (F.col("quantile") * F.col("total") - F.col("prev"))
-                        / (F.col("count") - F.col("prev"))))
-    return j.select("quantile", value.alias("value"))
+    """ME8: quantile from cumulative buckets, linear inside the first bucket
+    whose cumulative count reaches q x total (lower bound 0 for the first
+    bucket; the +Inf bucket answers with the largest finite bound).
+
+    The bucket table has one row per bound, so it is packed into one sorted
+    array and every quantile is read from it with array functions: one pass,
+    no joins.
+    """
+    packed = buckets.agg(F.sort_array(F.collect_list(
+        F.struct("ord", "le", "ub", F.col("count").cast("double").alias("count")))).alias("b"))
+    b = F.col("b")
+    total = F.element_at(b, -1)["count"]
+    outs = []
+    for q in quantiles:
+        rank = F.lit(float(q)) * total
+        hit = F.element_at(F.filter(b, lambda x: x["count"] >= rank), 1)
+        prev = F.when(hit["ord"] > 0, F.element_at(b, hit["ord"]))
+        lb = F.coalesce(prev["ub"], F.lit(0.0))
+        pc = F.coalesce(prev["count"], F.lit(0.0))
+        value = (F.when(total <= 0, F.lit(None).cast("double"))
+                 .when(hit["le"] == "+Inf", lb)
+                 .when(hit["count"] == pc, hit["ub"])
+                 .otherwise(lb + (hit["ub"] - lb) * (rank - pc) / (hit["count"] - pc)))
+        outs.append(F.struct(F.lit(float(q)).alias("quantile"), value.alias("value")))
+    return packed.select(F.inline(F.array(*outs))).where(F.col("value").isNotNull())

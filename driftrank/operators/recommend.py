@@ -18,7 +18,8 @@ from driftrank.functions.columns import cosine, dot, norm, unit
 from driftrank.operators.knn import DEFAULT_SHARD_ROWS, catalog_filter, knn
 from driftrank.operators.mmr import mmr_rerank
 
-EMPTY_INT_ARRAY = F.array().cast("array<int>")
+def _empty_ints() -> F.Column:
+    return F.array().cast("array<int>")
 
 
 def history_arrays(history: DataFrame) -> DataFrame:
@@ -75,9 +76,9 @@ def recommend(users: DataFrame, user_vectors: DataFrame, index: DataFrame,
     uv = user_vectors.select(F.col("id").alias("user_idx") if "id" in user_vectors.columns
                              else F.col("user_idx"), "features")
     known = u.join(uv, "user_idx").join(history_arrays(history), "user_idx", "left")
-    excl = F.coalesce(F.col("history"), EMPTY_INT_ARRAY)
+    excl = F.coalesce(F.col("history"), _empty_ints())
     if exclude_col:
-        excl = F.array_union(excl, F.coalesce(F.col(exclude_col), EMPTY_INT_ARRAY))
+        excl = F.array_union(excl, F.coalesce(F.col(exclude_col), _empty_ints()))
     known = known.withColumn("_excl", excl)
     flt = catalog_filter(product_group, product_type, None, exclude_groups, exclude_types)
     cands = knn(known, index, n_fetch, query_id="user_idx", exclude="_excl",

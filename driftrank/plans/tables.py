@@ -20,9 +20,26 @@ MAP_SNAPSHOT = "1999-01-01"
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """Logical tables of one data folder.
+
+    With ``materialize`` the derived state tables (maps, index, accepted
+    events, vectors, history, trending) are checkpointed to the session's
+    shared checkpoint dir on first use: the lineage is cut, the id
+    assignment is fixed once, and every later plan reads the written table
+    -- as the pipeline's persisted tables would be read.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.materialize = materialize
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        if not self.materialize:
+            return df
+        from driftrank.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.spark)
+        return df.checkpoint(eager=True)
 
     def raw(self, name: str) -> DataFrame:
         return adapters.table(self.spark, self.sf_dir, name)
@@ -46,12 +63,12 @@ class Tables:
     @cached_property
     def user_map(self) -> DataFrame:
         from driftrank.operators.ids import assign_ids
-        return assign_ids(self.customers, "customer_id", "user_idx")
+        return self._keep(assign_ids(self.customers, "customer_id", "user_idx"))
 
     @cached_property
     def item_map(self) -> DataFrame:
         from driftrank.operators.ids import assign_ids
-        return assign_ids(self.articles, "article_id", "item_idx")
+        return self._keep(assign_ids(self.articles, "article_id", "item_idx"))
 
     @cached_property
     def item_factors(self) -> DataFrame:
@@ -60,7 +77,7 @@ class Tables:
     @cached_property
     def item_index(self) -> DataFrame:
         from driftrank.operators.knn import build_item_index
-        return build_item_index(self.item_factors, self.item_map, self.articles)
+        return self._keep(build_item_index(self.item_factors, self.item_map, self.articles))
 
     @cached_property
     def item_vectors(self) -> DataFrame:
@@ -71,25 +88,25 @@ class Tables:
         """Known-type events that pass the debounce (user, item, type; 300 s)."""
         from driftrank.operators.interactions import known_events
         from driftrank.operators.state import debounce
-        return debounce(known_events(self.events))
+        return self._keep(debounce(known_events(self.events)))
 
     @cached_property
     def user_vectors(self) -> DataFrame:
         """User vectors drifted by EMA over the accepted events (cold start)."""
         from driftrank.operators.state import ema_vectors
-        return ema_vectors(self.accepted_events, self.item_vectors)
+        return self._keep(ema_vectors(self.accepted_events, self.item_vectors))
 
     @cached_property
     def history(self) -> DataFrame:
         """Bounded purchase history (last 100 distinct items, 1-year expiry)."""
         from driftrank.operators.state import user_history
-        return user_history(self.accepted_events, self.item_vectors)
+        return self._keep(user_history(self.accepted_events, self.item_vectors))
 
     @cached_property
     def trending(self) -> DataFrame:
         from driftrank.operators.trending import enrich_trending, trending
-        return enrich_trending(trending(self.transactions, S.TRENDING_DAYS, S.TRENDING_K),
-                               self.item_map, self.articles)
+        return self._keep(enrich_trending(trending(self.transactions, S.TRENDING_DAYS, S.TRENDING_K),
+                               self.item_map, self.articles))
 
     @cached_property
     def users(self) -> DataFrame:
