@@ -65,7 +65,7 @@ def parse_csv_list(col: Column | str, as_int: bool = False) -> Column:
     With ``as_int`` each entry is try-cast to int and failures dropped.
     """
     c = F.col(col) if isinstance(col, str) else col
-    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim),
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)),
                      lambda x: x != "")
     if not as_int:
         return parts
