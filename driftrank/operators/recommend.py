@@ -10,8 +10,11 @@ driver.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftrank import schema as S
 from driftrank.functions.columns import cosine, dot, norm, unit
@@ -108,16 +111,57 @@ def recommend(users: DataFrame, user_vectors: DataFrame, index: DataFrame,
     return personal.unionByName(fb)
 
 
+_EXPLAIN_OUT = T.StructType([
+    T.StructField("user_idx", T.LongType()),
+    T.StructField("rec_rank", T.IntegerType()),
+    T.StructField("rec_item_idx", T.IntegerType()),
+    T.StructField("pos", T.IntegerType()),
+    T.StructField("hist_item_idx", T.IntegerType()),
+    T.StructField("item_name", T.StringType()),
+    T.StructField("sim", T.DoubleType()),
+    T.StructField("total", T.DoubleType()),
+])
+
+
+def _explain_batches(batches, top_k: int):
+    """Per user: (recs x history) cosine block in numpy, top_k per rec."""
+    cols = [f.name for f in _EXPLAIN_OUT.fields]
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            if row.hist is None or len(row.hist) == 0 or row.recs is None or len(row.recs) == 0:
+                continue
+            R = np.stack([np.asarray(r["features"], dtype=np.float64) for r in row.recs])
+            H = np.stack([np.asarray(h["features"], dtype=np.float64) for h in row.hist])
+            nr = np.linalg.norm(R, axis=1)
+            nh = np.linalg.norm(H, axis=1)
+            dots = R @ H.T
+            denom = np.outer(nr, nh)
+            sims = np.where(denom == 0, 0.0, dots / np.where(denom == 0, 1.0, denom))
+            hpos = np.arange(len(row.hist))
+            for i, r in enumerate(row.recs):
+                order = np.lexsort((hpos, -sims[i]))[:top_k]
+                total = float(sims[i, order].sum())
+                for p, j in enumerate(order, start=1):
+                    h = row.hist[j]
+                    out.append((int(row.user_idx), int(r["rank"]), int(r["item_idx"]), p,
+                                int(h["hist_item_idx"]), h["item_name"], float(sims[i, j]), total))
+        if out:
+            yield pd.DataFrame(out, columns=cols)
+
+
 def explain(recs: DataFrame, history: DataFrame, index: DataFrame,
             top_k: int = S.EXPLAIN_DEFAULT_TOP_K, n_history: int = S.EXPLAIN_HISTORY,
             which: str = "oldest") -> DataFrame:
     """For each personalised recommendation, the ``top_k`` history items
     most similar to it (cosine), with similarity rounded to 4 places and
-    the share of the shown total in percent (1 place, half-even).
+    the share of the shown total in percent (1 place, half-even; divisor 1
+    when the shown total is exactly 0; negative similarities kept).
 
     History is read oldest first and cut to ``n_history`` items as the
     original service does (``which='newest'`` takes the latest instead).
-    Per user at most k x n_history pairs: a bounded equi-join on user_idx.
+    Both sides are bounded per user (k recs, n_history items), so each user
+    is one packed row and its similarities are one small numpy block.
     """
     S.check_args(explain_top_k=top_k)
     order = (F.col("last_purchase_at").asc() if which == "oldest"
@@ -125,24 +169,24 @@ def explain(recs: DataFrame, history: DataFrame, index: DataFrame,
     hw = Window.partitionBy("user_idx").orderBy(order, F.col("item_idx").cast("string").asc())
     hist = (history.withColumn("_h", F.row_number().over(hw)).where(F.col("_h") <= n_history)
             .select("user_idx", F.col("item_idx").alias("hist_item_idx"), "_h"))
-    hvec = index.select(F.col("item_idx").alias("hist_item_idx"),
-                        F.col("features").alias("_hv"),
-                        F.when(F.col("prod_name").isNull(), F.lit(S.UNKNOWN_NAME))
-                        .otherwise(F.col("prod_name")).alias("item_name"))
-    rvec = index.select("item_idx", F.col("features").alias("_rv"))
+    hvec = index.select(F.col("item_idx").alias("hist_item_idx"), "features",
+                        F.coalesce(F.col("prod_name"), F.lit(S.UNKNOWN_NAME)).alias("item_name"))
+    hpack = (hist.join(hvec, "hist_item_idx").groupBy("user_idx").agg(
+        F.sort_array(F.collect_list(F.struct("_h", "hist_item_idx", "item_name", "features")))
+        .alias("hist")))
     r = recs.where(F.col("source") == S.SOURCE_PERSONALIZED).select("user_idx", "rank", "item_idx")
-    pairs = (r.join(rvec, "item_idx").join(hist, "user_idx").join(hvec, "hist_item_idx")
-             .withColumn("_sim", cosine(F.col("_rv"), F.col("_hv"))))
-    w = Window.partitionBy("user_idx", "item_idx").orderBy(F.col("_sim").desc(), F.col("_h").asc())
-    top = pairs.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top_k)
-    total = F.sum("_sim").over(Window.partitionBy("user_idx", "item_idx"))
-    top = top.withColumn("_tot", total)
-    div = F.when(F.col("_tot") == 0, F.lit(1.0)).otherwise(F.col("_tot"))
-    return top.select(
-        "user_idx", F.col("rank").alias("rec_rank"), F.col("item_idx").alias("rec_item_idx"),
-        F.col("pos").cast("int").alias("pos"), "hist_item_idx", "item_name",
-        F.bround(F.col("_sim"), 4).alias("similarity"),
-        F.bround(F.col("_sim") / div * 100.0, 1).alias("contribution_pct"))
+    rpack = (r.join(index.select("item_idx", "features"), "item_idx").groupBy("user_idx").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "item_idx", "features"))).alias("recs")))
+    packed = rpack.join(hpack, "user_idx").select(
+        F.col("user_idx").cast("long").alias("user_idx"), "recs", "hist")
+    k = int(top_k)
+    raw = packed.mapInPandas(lambda it: _explain_batches(it, k), _EXPLAIN_OUT)
+    div = F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.col("total"))
+    return raw.select(
+        F.col("user_idx").cast(recs.schema["user_idx"].dataType).alias("user_idx"),
+        "rec_rank", "rec_item_idx", "pos", "hist_item_idx", "item_name",
+        F.bround(F.col("sim"), 4).alias("similarity"),
+        F.bround(F.col("sim") / div * 100.0, 1).alias("contribution_pct"))
 
 
 def list_diversity(lists: DataFrame, vectors: DataFrame, key: str = "user_idx") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftrank import schema as S
 from driftrank.plans.sql_views import with_views
-from driftrank.plans.tables import MAP_SNAPSHOT, Tables
+from driftrank.plans.tables import MAP_SNAPSHOT, Tables, shared_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,7 +44,7 @@ def q_scan_csv(spark, d):
     an explicit schema (zero-padded ids stay strings)."""
     from driftrank.session import scratch_path
     from driftrank.sources.tables import read_csv_table
-    t = Tables(spark, d)
+    t = shared_tables(spark, d)
     path = scratch_path(spark, "articles-csv")
     t.articles.write.mode("overwrite").option("header", "true").csv(path)
     return read_csv_table(spark, path, schema=S.ARTICLE_SCHEMA)
@@ -55,7 +55,7 @@ def q_sink_overwrite(spark, d):
     """K1: write the transactions table (partitioned by date) and read back."""
     from driftrank.session import scratch_path
     from driftrank.sources.tables import read_table, write_table
-    t = Tables(spark, d)
+    t = shared_tables(spark, d)
     path = scratch_path(spark, "transactions")
     write_table(t.transactions, path)
     return read_table(spark, path)
@@ -67,7 +67,7 @@ def q_sink_overwrite(spark, d):
           sql="SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS article_id FROM part")
 def q_pad_article_id(spark, d):
     from driftrank.functions.columns import pad_id
-    return Tables(spark, d).raw("part").select("p_partkey", pad_id("p_partkey").alias("article_id"))
+    return shared_tables(spark, d).raw("part").select("p_partkey", pad_id("p_partkey").alias("article_id"))
 
 
 @register("events_to_transactions", sql=with_views("ev_l") + (
@@ -76,7 +76,7 @@ def q_pad_article_id(spark, d):
     "2 AS sales_channel_id, event_type FROM ev_l"))
 def q_events_to_transactions(spark, d):
     from driftrank.operators.archive import events_to_transactions
-    return events_to_transactions(Tables(spark, d).events)
+    return events_to_transactions(shared_tables(spark, d).events)
 
 
 @register("event_weights", sql=with_views("ev_l") + (
@@ -85,7 +85,7 @@ def q_events_to_transactions(spark, d):
     "WHEN event_type = 'click' THEN 0.1 ELSE 0.0 END AS DOUBLE) AS weight FROM ev_l"))
 def q_event_weights(spark, d):
     from driftrank.functions.columns import event_weight
-    return Tables(spark, d).events.select("event_id", "event_type",
+    return shared_tables(spark, d).events.select("event_id", "event_type",
                                           event_weight("event_type").alias("weight"))
 
 
@@ -93,26 +93,26 @@ def q_event_weights(spark, d):
     "SELECT * FROM ev_l WHERE event_type IN ('purchase', 'add_to_cart', 'click')"))
 def q_known_events(spark, d):
     from driftrank.operators.interactions import known_events
-    return known_events(Tables(spark, d).events)
+    return known_events(shared_tables(spark, d).events)
 
 
 @register("events_by_type", sql=with_views("ev_l") + (
     "SELECT event_type, count(*) AS count FROM ev_l GROUP BY event_type"))
 def q_events_by_type(spark, d):
     from driftrank.operators.archive import count_by_type
-    return count_by_type(Tables(spark, d).events)
+    return count_by_type(shared_tables(spark, d).events)
 
 
 # ------------------------------------------------------------- id maps
 
 @register("dense_ids", sql=with_views("user_map_l") + "SELECT * FROM user_map_l")
 def q_dense_ids(spark, d):
-    return Tables(spark, d).user_map
+    return shared_tables(spark, d).user_map
 
 
 @register("distinct_ids", sql=with_views("tx_l") + "SELECT DISTINCT customer_id FROM tx_l")
 def q_distinct_ids(spark, d):
-    return Tables(spark, d).transactions.select("customer_id").distinct()
+    return shared_tables(spark, d).transactions.select("customer_id").distinct()
 
 
 _SNAP_SQL = [
@@ -134,7 +134,7 @@ def _snapshot_maps(t: Tables):
 @register("new_ids", sql=with_views("tx_l", extra=_SNAP_SQL) + "SELECT customer_id FROM fresh")
 def q_new_ids(spark, d):
     from driftrank.operators.ids import new_ids
-    existing, current = _snapshot_maps(Tables(spark, d))
+    existing, current = _snapshot_maps(shared_tables(spark, d))
     return new_ids(current, existing, "customer_id")
 
 
@@ -144,7 +144,7 @@ def q_new_ids(spark, d):
     "row_number() OVER (ORDER BY customer_id) - 1 AS INTEGER) AS user_idx FROM fresh"))
 def q_incremental_ids(spark, d):
     from driftrank.operators.ids import full_mapping
-    existing, current = _snapshot_maps(Tables(spark, d))
+    existing, current = _snapshot_maps(shared_tables(spark, d))
     return full_mapping(existing, current, "customer_id", "user_idx")
 
 
@@ -153,7 +153,7 @@ def q_incremental_ids(spark, d):
     "AS item_idx, count(*) AS count FROM tx_l GROUP BY article_id"))
 def q_string_index(spark, d):
     from driftrank.operators.ids import string_index
-    return string_index(Tables(spark, d).transactions, "article_id", "item_idx")
+    return string_index(shared_tables(spark, d).transactions, "article_id", "item_idx")
 
 
 # ------------------------------------------------------ joins / ratings
@@ -163,7 +163,7 @@ def q_string_index(spark, d):
     "FROM tx_l t JOIN user_map_l m ON t.customer_id = m.customer_id"))
 def q_map_users(spark, d):
     from driftrank.operators.interactions import map_users
-    t = Tables(spark, d)
+    t = shared_tables(spark, d)
     return map_users(t.transactions, t.user_map).select(
         "customer_id", "article_id", "t_dat", "price", "user_idx")
 
@@ -174,7 +174,7 @@ def q_map_users(spark, d):
     "JOIN item_map_l i ON t.article_id = i.article_id"))
 def q_map_interactions(spark, d):
     from driftrank.operators.interactions import map_items, map_users
-    t = Tables(spark, d)
+    t = shared_tables(spark, d)
     return map_items(map_users(t.transactions, t.user_map), t.item_map).select(
         "user_idx", "item_idx", "t_dat", "price")
 
@@ -195,7 +195,7 @@ def _merged(t: Tables) -> DataFrame:
 
 @register("merge_events", sql=with_views("tx_l", "ev_l", extra=_MERGED_SQL) + "SELECT * FROM merged")
 def q_merge_events(spark, d):
-    return _merged(Tables(spark, d))
+    return _merged(shared_tables(spark, d))
 
 
 @register("interactions", sql=with_views("tx_l", "ev_l", "user_map_l", "item_map_l",
@@ -207,7 +207,7 @@ def q_merge_events(spark, d):
     "JOIN item_map_l i ON m.article_id = i.article_id GROUP BY u.user_idx, i.item_idx"))
 def q_interactions(spark, d):
     from driftrank.operators.interactions import interactions
-    t = Tables(spark, d)
+    t = shared_tables(spark, d)
     return interactions(_merged(t), t.user_map, t.item_map)
 
 
@@ -218,14 +218,14 @@ def q_interactions(spark, d):
     "GROUP BY article_id"))
 def q_distinct_buyers(spark, d):
     from driftrank.operators.trending import distinct_buyers
-    return distinct_buyers(Tables(spark, d).transactions)
+    return distinct_buyers(shared_tables(spark, d).transactions)
 
 
 @register("recent_transactions", sql=with_views("tx_l") + (
     "SELECT * FROM tx_l WHERE t_dat >= (SELECT max(t_dat) FROM tx_l) - 30"))
 def q_recent_transactions(spark, d):
     from driftrank.operators.trending import recent
-    return recent(Tables(spark, d).transactions, S.TRENDING_DAYS)
+    return recent(shared_tables(spark, d).transactions, S.TRENDING_DAYS)
 
 
 @register("popular_by_count", sql=with_views("tx_l", "articles_l") + (
@@ -235,7 +235,7 @@ def q_recent_transactions(spark, d):
 def q_popular_by_count(spark, d):
     """20 most interacted items with names (top-k report)."""
     from driftrank.operators.interactions import popularity
-    t = Tables(spark, d)
+    t = shared_tables(spark, d)
     top = popularity(t.transactions).orderBy(F.col("count").desc(), "article_id").limit(20)
     return (top.join(t.articles, "article_id")
             .select("article_id", "prod_name", "product_type_name", "count")
@@ -251,7 +251,7 @@ def q_popular_by_count(spark, d):
     " (SELECT count(*) FROM (SELECT DISTINCT customer_id, article_id FROM tx_l)) AS n_pairs FROM tx_l)"))
 def q_matrix_stats(spark, d):
     from driftrank.operators.interactions import matrix_stats
-    return matrix_stats(Tables(spark, d).transactions)
+    return matrix_stats(shared_tables(spark, d).transactions)
 
 
 # ------------------------------------------------------------- trending
@@ -268,7 +268,7 @@ _TREND_SQL = [
 @register("trending_topk", sql=with_views("tx_l", extra=_TREND_SQL) + "SELECT * FROM top")
 def q_trending_topk(spark, d):
     from driftrank.operators.trending import trending
-    return trending(Tables(spark, d).transactions).select("rank", "article_id", "score")
+    return trending(shared_tables(spark, d).transactions).select("rank", "article_id", "score")
 
 
 @register("trending_enriched", sql=with_views("tx_l", "item_map_l", "articles_l", extra=_TREND_SQL) + (
@@ -277,7 +277,7 @@ def q_trending_topk(spark, d):
     "'trending_now' AS source FROM top t JOIN item_map_l m ON t.article_id = m.article_id "
     "LEFT JOIN articles_l a ON t.article_id = a.article_id ORDER BY t.rank"))
 def q_trending_enriched(spark, d):
-    return Tables(spark, d).trending
+    return shared_tables(spark, d).trending
 
 
 # the vector / state / recommendation layers register themselves on import

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftrank import schema as S
 from driftrank.plans.catalog import register
 from driftrank.plans.sql_views import cos_sql, with_views
-from driftrank.plans.tables import Tables
+from driftrank.plans.tables import Tables, shared_tables
 
 K = S.DEFAULT_K
 TTL = int(S.HISTORY_TTL_DAYS * 86400)
@@ -96,7 +96,7 @@ RECO_SQL = KNN_SQL + TREND_SQL + [
 
 
 def _t(spark, d) -> Tables:
-    return Tables(spark, d)
+    return shared_tables(spark, d)
 
 
 # --------------------------------------------------------------- index

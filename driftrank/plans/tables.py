@@ -19,6 +19,24 @@ from driftrank import schema as S
 MAP_SNAPSHOT = "1999-01-01"
 
 
+_SHARED: dict = {}
+
+
+def shared_tables(spark: SparkSession, sf_dir: str) -> "Tables":
+    """One Tables per (session, folder): the checkpointed state tables are
+    computed once and then read by every query of the session, as the
+    pipeline's persisted tables are.  ``clear_shared()`` drops them."""
+    key = (id(spark.sparkContext), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    t = _SHARED.get(key)
+    if t is None:
+        t = _SHARED[key] = Tables(spark, sf_dir)
+    return t
+
+
+def clear_shared() -> None:
+    _SHARED.clear()
+
+
 class Tables:
     """Logical tables of one data folder.
 

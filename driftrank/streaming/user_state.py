@@ -66,7 +66,20 @@ def step(vec, anchors: dict, history: dict, ev: dict, lr: float = S.LEARNING_RAT
     return new, action
 
 
+_ANCHORS = T.StructType([T.StructField("a", T.ArrayType(T.StructType([
+    T.StructField("item_idx", T.IntegerType()), T.StructField("event_type", T.StringType()),
+    T.StructField("ts", T.DoubleType())])))])
+_HISTORY = T.StructType([T.StructField("h", T.ArrayType(T.StructType([
+    T.StructField("item_idx", T.IntegerType()), T.StructField("ts", T.DoubleType())])))])
+
+
 class UserStateProcessor(StatefulProcessor):
+    """Three value states per user, read once and written once per
+    micro-batch: the vector, the live debounce anchors and the bounded
+    purchase set.  Anchors older than the window behind the user's newest
+    event can no longer block anything in arrival order and are pruned,
+    as the original keys expired after the window."""
+
     def __init__(self, lr: float = S.LEARNING_RATE, window: float = S.DEBOUNCE_SECONDS):
         self.lr = lr
         self.window = window
@@ -74,14 +87,8 @@ class UserStateProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.vec = handle.getValueState(
             "vector", T.StructType([T.StructField("v", T.ArrayType(T.DoubleType()))]))
-        self.anchors = handle.getMapState(
-            "anchors",
-            T.StructType([T.StructField("item_idx", T.IntegerType()),
-                          T.StructField("event_type", T.StringType())]),
-            T.StructType([T.StructField("ts", T.DoubleType())]))
-        self.history = handle.getMapState(
-            "history", T.StructType([T.StructField("item_idx", T.IntegerType())]),
-            T.StructType([T.StructField("ts", T.DoubleType())]))
+        self.anchors = handle.getValueState("anchors", _ANCHORS)
+        self.history = handle.getValueState("history", _HISTORY)
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True)
@@ -90,9 +97,11 @@ class UserStateProcessor(StatefulProcessor):
         vec = None
         if self.vec.exists():
             vec = np.asarray(self.vec.get()[0], dtype=np.float64)
-        anchors = {(int(k[0]), k[1]): float(v[0]) for k, v in self.anchors.iterator()}
-        history = {int(k[0]): float(v[0]) for k, v in self.history.iterator()}
-        before_a, before_h = dict(anchors), dict(history)
+        anchors, history = {}, {}
+        if self.anchors.exists():
+            anchors = {(int(a[0]), a[1]): float(a[2]) for a in self.anchors.get()[0]}
+        if self.history.exists():
+            history = {int(h[0]): float(h[1]) for h in self.history.get()[0]}
         out = []
         for ev in pdf.to_dict("records"):
             iv = ev.get("item_vector")
@@ -103,15 +112,10 @@ class UserStateProcessor(StatefulProcessor):
                             vec.astype(np.float32).tolist(), len(history)))
         if vec is not None:
             self.vec.update((vec.tolist(),))
-        for k, v in anchors.items():
-            if before_a.get(k) != v:
-                self.anchors.updateValue(k, (v,))
-        for k in before_h:
-            if k not in history:
-                self.history.removeKey((k,))
-        for k, v in history.items():
-            if before_h.get(k) != v:
-                self.history.updateValue((k,), (v,))
+        newest = float(pdf["timestamp"].max())
+        live = [(k[0], k[1], t) for k, t in anchors.items() if newest - t < self.window]
+        self.anchors.update((live,))
+        self.history.update(([(k, t) for k, t in history.items()],))
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
         else:
