@@ -18,7 +18,9 @@ def assign_ids(df: DataFrame, id_col: str, idx_col: str, start: int | F.Column =
     partition, take the in-partition position from
     ``monotonically_increasing_id`` and add the count of all earlier
     partitions (a table with one row per partition, broadcast).  No global
-    single-partition window, no driver round trip.
+    single-partition window over the ids, no driver round trip.  The
+    positioned ids are checkpointed once so that positions and counts agree
+    even if a stage is recomputed after an executor loss.
     """
     ids = df.select(id_col).where(F.col(id_col).isNotNull()).distinct()
     ranged = (ids.repartitionByRange(num_partitions, id_col) if num_partitions
@@ -30,6 +32,12 @@ def assign_ids(df: DataFrame, id_col: str, idx_col: str, start: int | F.Column =
         F.shiftright("_mid", _POS_BITS).alias("_pid"),
         F.col("_mid").bitwiseAND((1 << _POS_BITS) - 1).alias("_pos"),
     )
+    # Range bounds come from sampling, which may differ if the exchange is
+    # recomputed; positions and per-partition counts must come from one
+    # materialisation, so cut the lineage here (shared checkpoint dir).
+    from driftrank.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = ranged.checkpoint(eager=True)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a proven-small table, safe to broadcast
     offsets = counts.select(

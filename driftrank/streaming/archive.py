@@ -18,9 +18,12 @@ def archive_batch(out: str, metrics_out: str | None = None):
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
+        target = f"{out.rstrip('/')}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(target)
         if metrics_out:
-            (count_by_type(batch).write.mode("overwrite")
+            # count from the written files instead of recomputing the batch
+            written = batch.sparkSession.read.parquet(target)
+            (count_by_type(written).write.mode("overwrite")
              .parquet(f"{metrics_out.rstrip('/')}/batch_id={batch_id}"))
 
     return run
