@@ -21,28 +21,29 @@ def mmr_select(scores: np.ndarray, vectors: np.ndarray, lam: float, k: int) -> n
     Relevance is min-max scaled per list (all ones when the range is 0);
     the running max similarity starts at 0, so a negative similarity never
     helps; argmax takes the first maximum (the better-ranked candidate).
-    Computed in float32 like the original service.
+    Computed in float64 (the service used float32; only near-ties can
+    differ).
     """
-    s = np.asarray(scores, dtype=np.float32)
+    s = np.asarray(scores, dtype=np.float64)
     B, n = s.shape
     if n == 0:
         return np.zeros((B, 0), dtype=np.int64)
     k = min(k, n)
     lo, hi = s.min(axis=1, keepdims=True), s.max(axis=1, keepdims=True)
     rng = hi - lo
-    rel = np.where(rng > 0, (s - lo) / np.where(rng > 0, rng, 1), np.float32(1.0)).astype(np.float32)
-    v = np.asarray(vectors, dtype=np.float32)
+    rel = np.where(rng > 0, (s - lo) / np.where(rng > 0, rng, 1), 1.0)
+    v = np.asarray(vectors, dtype=np.float64)
     norms = np.linalg.norm(v, axis=2, keepdims=True)
     norms[norms == 0] = 1
     u = v / norms
     sim = np.einsum("bid,bjd->bij", u, u)
-    max_sims = np.zeros((B, n), dtype=np.float32)
+    max_sims = np.zeros((B, n), dtype=np.float64)
     taken = np.zeros((B, n), dtype=bool)
     out = np.zeros((B, k), dtype=np.int64)
-    lam32 = np.float32(lam)
+    lam = float(lam)
     rows = np.arange(B)
     for step in range(k):
-        m = lam32 * rel - (np.float32(1.0) - lam32) * max_sims
+        m = lam * rel - (1.0 - lam) * max_sims
         m[taken] = -np.inf
         best = np.argmax(m, axis=1)
         out[:, step] = best
@@ -71,7 +72,7 @@ def _rerank_batches(batches, lam: float, k: int):
                 continue
             ids = np.stack([np.asarray(x, dtype=np.int64) for x in sub["ids"]])
             sc = np.stack([np.asarray(x, dtype=np.float64) for x in sub["scores"]])
-            vec = np.stack([np.stack([np.asarray(v, dtype=np.float32) for v in vs])
+            vec = np.stack([np.stack([np.asarray(v, dtype=np.float64) for v in vs])
                             for vs in sub["vecs"]])
             pick = mmr_select(sc, vec, lam, k)
             B, kk = pick.shape

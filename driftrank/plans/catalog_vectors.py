@@ -356,14 +356,53 @@ def q_recommend_fallback(spark, d):
     return _reco(spark, d, 1.0).where(F.col("source") == S.SOURCE_TRENDING)
 
 
-@register("recommend_mmr")
+def _mmr_sql(cands: str, lam: float, k: int) -> list[tuple[str, str]]:
+    """Recursive twin of greedy MMR over (user_idx, rank, item_idx, score)
+    candidates: each step picks, per user, the unpicked candidate with the
+    best lambda*rel - (1-lambda)*max_sim (ties: better rank), then raises
+    every candidate's max_sim by its similarity to the pick."""
+    lam_s = f"CAST({lam!r} AS DOUBLE)"
+    return [
+        ("mc", f"SELECT c.user_idx, c.rank AS pos, c.item_idx, c.score, i.v FROM {cands} c "
+               "JOIN iv i ON c.item_idx = i.item_idx"),
+        ("mrel", "SELECT *, count(*) OVER w AS n, CASE WHEN max(score) OVER w - min(score) OVER w > 0 "
+                 "THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) "
+                 "ELSE 1.0 END AS ns FROM mc WINDOW w AS (PARTITION BY user_idx)"),
+        ("mm(step, user_idx, pos, item_idx, score, v, n, ns, ms, picked)",
+         "SELECT 0, user_idx, pos, item_idx, score, v, n, ns, CAST(0.0 AS DOUBLE), 0 FROM mrel "
+         "UNION ALL "
+         "SELECT step + 1, user_idx, pos, item_idx, score, v, n, ns, "
+         "greatest(ms, " + cos_sql("v", "bv") + "), CASE WHEN pos = bpos THEN step + 1 ELSE picked END "
+         "FROM (SELECT *, first_value(pos) OVER w AS bpos, first_value(v) OVER w AS bv FROM mm "
+         f"WINDOW w AS (PARTITION BY user_idx ORDER BY (picked > 0), "
+         f"{lam_s} * ns - (CAST(1.0 AS DOUBLE) - {lam_s}) * ms DESC, pos)) "
+         f"WHERE step < least({k}, n)"),
+        ("mpick", f"SELECT user_idx, CAST(picked AS INTEGER) AS rank, item_idx, score FROM mm "
+                  f"WHERE step = least({k}, n) AND picked > 0"),
+    ]
+
+
+_MMR_RECO_SQL = KNN_SQL + TREND_SQL + [("k20", "SELECT * FROM kr WHERE rank <= 20")] + _mmr_sql(
+    "k20", S.DEFAULT_LAMBDA, K) + [
+    ("personal", "SELECT user_idx, rank, item_idx, score, 'personalized' AS source, 'known' AS user_type, "
+                 "CAST(NULL AS VARCHAR) AS reason FROM mpick"),
+] + RECO_SQL[len(KNN_SQL) + len(TREND_SQL) + 1:]
+
+
+@register("recommend_mmr", sql=with_views("ev_l", "index_l", "tx_l", "item_map_l", extra=_MMR_RECO_SQL)
+          + "SELECT * FROM reco")
 def q_recommend_mmr(spark, d):
-    """RC1 with MMR (lambda = 0.8, over-fetch 20): rows-only check; the MMR
-    kernel is unit-tested against the golden cases."""
+    """RC1 with MMR (lambda = 0.8, over-fetch 20 -> 10), trending fallback."""
     return _reco(spark, d, S.DEFAULT_LAMBDA)
 
 
-@register("mmr_rerank")
+@register("mmr_rerank", sql=with_views("ev_l", "index_l", extra=STATE_SQL + [
+    ("kp0", "SELECT q.user_idx, i.item_idx, round(" + cos_sql("q.u", "i.v") + ", 6) AS score "
+            "FROM uq q JOIN iv i ON true"),
+    ("k0", "SELECT user_idx, CAST(row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) "
+           "AS INTEGER) AS rank, item_idx, score FROM kp0"),
+    ("k20", "SELECT * FROM k0 WHERE rank <= 20"),
+] + _mmr_sql("k20", 0.5, K)) + "SELECT * FROM mpick")
 def q_mmr_rerank(spark, d):
     """M1: MMR re-rank (lambda 0.5) of each user's 20 nearest items."""
     from driftrank.operators.knn import knn
