@@ -325,3 +325,92 @@ def lookup(index: DataFrame, ids: DataFrame, id_col: str = "item_idx",
     """V5: fetch vectors/payload for the requested ids (left join keeps
     misses as nulls)."""
     return ids.join(index.select(F.col("item_idx").alias(id_col), *cols), id_col, "left")
+
+
+# --------------------------------------------------------------------------
+# V4: approximate search by random-hyperplane LSH, re-ranked exactly
+
+_SIG_OUT = T.StructType([
+    T.StructField("id", T.LongType()),
+    T.StructField("lsh_table", T.IntegerType()),
+    T.StructField("bucket", T.LongType()),
+])
+
+
+def hyperplanes(dim: int, n_tables: int, n_bits: int, seed: int) -> np.ndarray:
+    """(n_tables, n_bits, dim) Gaussian hyperplanes from a fixed seed; a small
+    parameter array (tables x bits x dim floats), shipped with the task."""
+    return np.random.default_rng(seed).standard_normal((n_tables, n_bits, dim))
+
+
+def _signatures(batches, planes: np.ndarray, id_col: str, vec_col: str):
+    weights = (1 << np.arange(planes.shape[1], dtype=np.int64))
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        m = _stack(list(pdf[vec_col]), planes.shape[2])
+        proj = np.einsum("nd,tbd->ntb", m, planes) > 0
+        buckets = (proj.astype(np.int64) * weights).sum(axis=2)  # (n, tables)
+        n, t = buckets.shape
+        yield pd.DataFrame({
+            "id": np.repeat(pdf[id_col].to_numpy(dtype=np.int64), t),
+            "lsh_table": np.tile(np.arange(t, dtype=np.int32), n),
+            "bucket": buckets.ravel(),
+        })
+
+
+def _lsh_groups(df: DataFrame, id_col: str, vec_col: str, planes: np.ndarray,
+                rows_per_group: int) -> DataFrame:
+    """(id, lsh_table, bucket, grp): each (table, bucket) is split into groups
+    of about ``rows_per_group`` rows, so a hot bucket is several bounded
+    groups rather than one huge one."""
+    sig = df.select(id_col, vec_col).mapInPandas(
+        lambda it: _signatures(it, planes, id_col, vec_col), _SIG_OUT)
+    counts = sig.groupBy("lsh_table", "bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per (table, bucket): at most tables x 2^bits rows
+    nsub = counts.select("lsh_table", "bucket",
+                         F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_group)))
+                         .cast("long").alias("_nsub"))
+    return (sig.join(F.broadcast(nsub), ["lsh_table", "bucket"])
+            .withColumn("grp", F.pmod(F.xxhash64("id"), F.col("_nsub")))
+            .drop("_nsub"))
+
+
+def knn_lsh(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx",
+            vector: str = "features", exclude: str | None = None,
+            item_filter: Column | None = None, n_tables: int = 4, n_bits: int = 6,
+            seed: int = 42, shard_rows: int = DEFAULT_SHARD_ROWS,
+            query_rows: int = 4096) -> DataFrame:
+    """V4: approximate top-k.  Queries meet only the items that share an LSH
+    bucket with them in at least one of ``n_tables`` tables (sign patterns
+    of ``n_bits`` random hyperplanes, i.e. angular / cosine LSH); those
+    candidates are scored exactly and ranked like ``knn``.  Recall grows
+    with tables and shrinks with bits; compare against ``knn``."""
+    items = index if item_filter is None else index.where(item_filter)
+    items = items.where(F.col("features").isNotNull())
+    dim = len(items.select("features").first()[0])
+    planes = hyperplanes(dim, n_tables, n_bits, seed)
+
+    ig = _lsh_groups(items.select(F.col("item_idx").cast("long").alias("id"), "features"),
+                     "id", "features", planes, shard_rows)
+    shards = (ig.join(items.select(F.col("item_idx").cast("long").alias("id"), "features"), "id")
+              .groupBy("lsh_table", "bucket", "grp")
+              .agg(F.collect_list(F.col("id").cast("int")).alias("ids"),
+                   F.collect_list("features").alias("vecs"))
+              .drop("grp"))
+    q = queries.where(F.col(vector).isNotNull()).select(
+        F.col(query_id).cast("long").alias("qid"), F.col(vector).alias("qvec"),
+        *([F.coalesce(F.col(exclude), F.array().cast("array<int>")).alias("qexcl")] if exclude else []))
+    qg = _lsh_groups(q, "qid", "qvec", planes, query_rows).withColumnRenamed("id", "qid")
+    qcols = [F.collect_list("qid").alias("qids"), F.collect_list("qvec").alias("qvecs")]
+    if exclude:
+        qcols.append(F.collect_list("qexcl").alias("qexcl"))
+    blocks = (qg.join(q, "qid").groupBy("lsh_table", "bucket", "grp").agg(*qcols).drop("grp"))
+    pairs = blocks.join(shards, ["lsh_table", "bucket"])
+    has_excl = bool(exclude)
+    scored = pairs.mapInPandas(lambda it: _score_pairs(it, k, has_excl, False), _PAIR_OUT)
+    best = scored.groupBy("qid", "item_idx").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("item_idx").asc())
+    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(F.col("qid").cast(queries.schema[query_id].dataType).alias(query_id),
+                         F.col("rank").cast("int"), "item_idx", "score")

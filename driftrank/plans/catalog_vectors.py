@@ -305,6 +305,18 @@ def q_knn_users(spark, d):
     return knn(q, t.item_index, K, query_id="user_idx", exclude="history")
 
 
+@register("knn_lsh")
+def q_knn_lsh(spark, d):
+    """V4: approximate top-10 per user (cosine LSH, 4 tables x 6 bits),
+    candidates re-ranked exactly, history excluded.  Rows-only check;
+    recall against knn_users is tested."""
+    from driftrank.operators.knn import knn_lsh
+    from driftrank.operators.recommend import history_arrays
+    t = _t(spark, d)
+    q = t.user_vectors.join(history_arrays(t.history), "user_idx", "left")
+    return knn_lsh(q, t.item_index, K, query_id="user_idx", exclude="history")
+
+
 @register("exclude_history", sql=with_views("ev_l", "index_l", extra=STATE_SQL) + (
     "SELECT DISTINCT k.user_idx, k.item_idx FROM acc k WHERE k.event_type = 'click' AND NOT EXISTS "
     "(SELECT 1 FROM hist h WHERE h.user_idx = k.user_idx AND h.item_idx = k.item_idx)"))
