@@ -89,6 +89,25 @@ def q_event_weights(spark, d):
                                           event_weight("event_type").alias("weight"))
 
 
+@register("parse_filter_lists", sql=with_views("ev_l", extra=[
+    ("lists", "SELECT user_idx, ' ' || string_agg(CAST(item_idx AS VARCHAR), ' , ' ORDER BY item_idx) || ',,' "
+              "AS ids_text FROM (SELECT DISTINCT user_idx, item_idx FROM ev_l WHERE event_type = 'click') "
+              "GROUP BY user_idx"),
+    ("parts", "SELECT user_idx, unnest(string_split(ids_text, ',')) AS p FROM lists"),
+]) + ("SELECT user_idx, TRY_CAST(trim(p) AS INTEGER) AS item_idx FROM parts "
+      "WHERE trim(p) <> '' AND TRY_CAST(trim(p) AS INTEGER) IS NOT NULL"))
+def q_parse_filter_lists(spark, d):
+    """P10: each user's clicked items as a padded comma list (' 3 , 5,,'),
+    parsed back into ids (trimmed, blanks dropped, ints)."""
+    from driftrank.functions.columns import parse_csv_list
+    ev = shared_tables(spark, d).events.where(F.col("event_type") == "click")
+    lists = ev.select("user_idx", "item_idx").distinct().groupBy("user_idx").agg(
+        F.concat(F.lit(" "), F.concat_ws(" , ", F.array_sort(F.collect_list(
+            F.col("item_idx").cast("string")))), F.lit(",,")).alias("ids_text"))
+    return lists.select("user_idx", F.explode(parse_csv_list("ids_text", as_int=True))
+                        .alias("item_idx"))
+
+
 @register("known_events", sql=with_views("ev_l") + (
     "SELECT * FROM ev_l WHERE event_type IN ('purchase', 'add_to_cart', 'click')"))
 def q_known_events(spark, d):
