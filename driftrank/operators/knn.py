@@ -25,6 +25,8 @@ from driftrank.functions.columns import unit
 
 SCORE_DIGITS = 6  # scores are compared and ranked at 1e-6 resolution
 DEFAULT_SHARD_ROWS = 32768
+DEFAULT_QUERY_ROWS = 512
+MAX_QUERY_GROUPS = 8
 
 FILTER_COLS = ("must_group", "must_type", "not_groups", "not_types")
 
@@ -185,27 +187,27 @@ _PAIR_OUT = T.StructType([
 ])
 
 
-def _pack_queries(batches, has_excl: bool, has_filters: bool):
-    """One packed row per Arrow batch of queries (a bounded block)."""
+def _pack_queries(batches, has_excl: bool, has_filters: bool, query_rows: int):
+    """One packed row per ``query_rows`` queries (a bounded block)."""
     import pyspark
     ctx = pyspark.TaskContext.get()
     part = ctx.partitionId() if ctx else 0
     n = 0
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        out = {
-            "qblock": [(part << 24) + n],
-            "qids": [pdf["qid"].astype("int64").tolist()],
-            "qvecs": [list(pdf["qvec"])],
-        }
-        if has_excl:
-            out["qexcl"] = [list(pdf["qexcl"])]
-        if has_filters:
-            for c in FILTER_COLS:
-                out[c] = [list(pdf[c])]
-        n += 1
-        yield pd.DataFrame(out)
+    for whole in batches:
+        for lo in range(0, len(whole), query_rows):
+            pdf = whole.iloc[lo:lo + query_rows]
+            out = {
+                "qblock": [(part << 24) + n],
+                "qids": [pdf["qid"].astype("int64").tolist()],
+                "qvecs": [list(pdf["qvec"])],
+            }
+            if has_excl:
+                out["qexcl"] = [list(pdf["qexcl"])]
+            if has_filters:
+                for c in FILTER_COLS:
+                    out[c] = [list(pdf[c])]
+            n += 1
+            yield pd.DataFrame(out)
 
 
 def _score_pairs(batches, k: int, has_excl: bool, has_filters: bool):
@@ -239,7 +241,8 @@ def _score_pairs(batches, k: int, has_excl: bool, has_filters: bool):
 def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx",
         vector: str = "features", exclude: str | None = None,
         item_filter: Column | None = None, per_query_filters: bool = False,
-        shard_rows: int = DEFAULT_SHARD_ROWS) -> DataFrame:
+        shard_rows: int = DEFAULT_SHARD_ROWS, query_rows: int = DEFAULT_QUERY_ROWS,
+        max_groups: int = MAX_QUERY_GROUPS) -> DataFrame:
     """V2: exact top-k items by cosine for every query row.
 
     ``exclude`` names an array<int> column of item ids to skip for that
@@ -248,11 +251,20 @@ def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx"
     query rows carry must_group / must_type / not_groups / not_types.
     Filters and exclusions act before the cut, so k results survive when k
     items qualify.  Output: (query_id, rank, item_idx, score).
+
+    Work split: S = ceil(items / shard_rows) item shards; query blocks are
+    spread over G = ceil(2 x cores / S) groups (at most ``max_groups``) and
+    each shard is replicated once per group, so the (block, shard) pairs
+    land in S x G join partitions -- enough tasks even when the catalog is
+    one shard, without ever pairing single queries with single items.
     """
     items = index if item_filter is None else index.where(item_filter)
     items = items.where(F.col("features").isNotNull())
     n_items = items.agg(F.count(F.lit(1))).scalar()
     n_shards = F.greatest(F.lit(1), F.ceil(n_items / F.lit(shard_rows)).cast("int"))
+    cores = max(1, index.sparkSession.sparkContext.defaultParallelism)
+    n_groups = F.least(F.lit(max_groups), F.greatest(
+        F.lit(1), F.ceil(F.lit(2 * cores) / n_shards).cast("int")))
 
     item_cols = [F.collect_list("item_idx").alias("ids"),
                  F.collect_list("features").alias("vecs")]
@@ -260,7 +272,8 @@ def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx"
         item_cols += [F.collect_list("product_group_name").alias("groups"),
                       F.collect_list("product_type_name").alias("types")]
     shards = (items.withColumn("shard", F.pmod(F.xxhash64("item_idx"), n_shards).cast("int"))
-              .groupBy("shard").agg(*item_cols))
+              .groupBy("shard").agg(*item_cols)
+              .withColumn("qgroup", F.explode(F.sequence(F.lit(0), n_groups - 1))))
 
     qcols = [F.col(query_id).cast("long").alias("qid"), F.col(vector).alias("qvec")]
     qschema = [T.StructField("qblock", T.LongType()), T.StructField("qids", T.ArrayType(T.LongType())),
@@ -277,9 +290,11 @@ def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx"
                     T.StructField("not_types", T.ArrayType(T.ArrayType(T.StringType())))]
     q = queries.where(F.col(vector).isNotNull()).select(*qcols)
     has_excl, has_f = bool(exclude), per_query_filters
-    blocks = q.mapInPandas(lambda it: _pack_queries(it, has_excl, has_f), T.StructType(qschema))
-    pairs = (blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), n_shards - 1)))
-             .join(shards, "shard"))
+    qr = int(query_rows)
+    blocks = q.mapInPandas(lambda it: _pack_queries(it, has_excl, has_f, qr), T.StructType(qschema))
+    pairs = (blocks.withColumn("qgroup", F.pmod(F.xxhash64("qblock"), n_groups).cast("int"))
+             .withColumn("shard", F.explode(F.sequence(F.lit(0), n_shards - 1)))
+             .join(shards, ["shard", "qgroup"]))
     scored = pairs.mapInPandas(lambda it: _score_pairs(it, k, has_excl, has_f), _PAIR_OUT)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("item_idx").asc())
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
