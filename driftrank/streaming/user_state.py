@@ -1,8 +1,8 @@
 """ST4 stateful user-profile stream: F4 -> ST1 -> F5 -> ST2 -> ST3 per user,
 in (timestamp, event_id) order, with checkpointed state keyed by user_idx.
 
-State per user: the vector (value state), debounce anchors per (item, type)
-(map state) and the bounded purchase set (map state item -> last time).
+State per user (one value state): the vector, the debounce anchors per
+(item, type) and the bounded purchase set (item -> last time).
 Item vectors enter by a stream-static left join before the keyed operator,
 so a missing item still arms the debounce (checks run in the service's
 order: type, debounce, item lookup, update).
@@ -66,17 +66,20 @@ def step(vec, anchors: dict, history: dict, ev: dict, lr: float = S.LEARNING_RAT
     return new, action
 
 
-_ANCHORS = T.StructType([T.StructField("a", T.ArrayType(T.StructType([
-    T.StructField("item_idx", T.IntegerType()), T.StructField("event_type", T.StringType()),
-    T.StructField("ts", T.DoubleType())])))])
-_HISTORY = T.StructType([T.StructField("h", T.ArrayType(T.StructType([
-    T.StructField("item_idx", T.IntegerType()), T.StructField("ts", T.DoubleType())])))])
+_STATE = T.StructType([
+    T.StructField("v", T.ArrayType(T.DoubleType())),
+    T.StructField("anchors", T.ArrayType(T.StructType([
+        T.StructField("item_idx", T.IntegerType()), T.StructField("event_type", T.StringType()),
+        T.StructField("ts", T.DoubleType())]))),
+    T.StructField("history", T.ArrayType(T.StructType([
+        T.StructField("item_idx", T.IntegerType()), T.StructField("ts", T.DoubleType())]))),
+])
 
 
 class UserStateProcessor(StatefulProcessor):
-    """Three value states per user, read once and written once per
-    micro-batch: the vector, the live debounce anchors and the bounded
-    purchase set.  Anchors older than the window behind the user's newest
+    """One value state per user holding the vector, the live debounce
+    anchors and the bounded purchase set: read once and written once per
+    micro-batch.  Anchors older than the window behind the user's newest
     event can no longer block anything in arrival order and are pruned,
     as the original keys expired after the window."""
 
@@ -85,23 +88,19 @@ class UserStateProcessor(StatefulProcessor):
         self.window = window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.vec = handle.getValueState(
-            "vector", T.StructType([T.StructField("v", T.ArrayType(T.DoubleType()))]))
-        self.anchors = handle.getValueState("anchors", _ANCHORS)
-        self.history = handle.getValueState("history", _HISTORY)
+        self.state = handle.getValueState("user", _STATE)
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True)
         pdf = pdf.sort_values(["timestamp", "event_id"], kind="stable")
         user = int(key[0])
-        vec = None
-        if self.vec.exists():
-            vec = np.asarray(self.vec.get()[0], dtype=np.float64)
-        anchors, history = {}, {}
-        if self.anchors.exists():
-            anchors = {(int(a[0]), a[1]): float(a[2]) for a in self.anchors.get()[0]}
-        if self.history.exists():
-            history = {int(h[0]): float(h[1]) for h in self.history.get()[0]}
+        vec, anchors, history = None, {}, {}
+        if self.state.exists():
+            v, a, h = self.state.get()
+            if v is not None:
+                vec = np.asarray(v, dtype=np.float64)
+            anchors = {(int(x[0]), x[1]): float(x[2]) for x in (a or [])}
+            history = {int(x[0]): float(x[1]) for x in (h or [])}
         out = []
         for ev in pdf.to_dict("records"):
             iv = ev.get("item_vector")
@@ -110,12 +109,10 @@ class UserStateProcessor(StatefulProcessor):
             if action in ("created", "updated"):
                 out.append((user, int(ev["event_id"]), float(ev["timestamp"]), action,
                             vec.astype(np.float32).tolist(), len(history)))
-        if vec is not None:
-            self.vec.update((vec.tolist(),))
         newest = float(pdf["timestamp"].max())
         live = [(k[0], k[1], t) for k, t in anchors.items() if newest - t < self.window]
-        self.anchors.update((live,))
-        self.history.update(([(k, t) for k, t in history.items()],))
+        self.state.update((None if vec is None else vec.tolist(), live,
+                           [(k, t) for k, t in history.items()]))
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
         else:
