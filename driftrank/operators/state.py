@@ -18,10 +18,29 @@ from pyspark.sql import types as T
 
 from driftrank import schema as S
 from driftrank.functions.columns import event_weight
+from driftrank.operators.ordered import PID, key_change, not_null, ranged
 
 DEBOUNCE_KEYS = ("user_idx", "item_idx", "event_type")
 
 
+def _next_accept(ts: np.ndarray, window: float) -> np.ndarray:
+    """nxt[i] = first j > i with ts[j] - ts[i] >= window (n if none), using
+    the exact subtraction test of the fold."""
+    n = len(ts)
+    nxt = np.searchsorted(ts, ts + window, side="left")
+    idx = np.arange(n)
+    nxt = np.maximum(nxt, idx + 1)
+    for _ in range(4):  # float rounding of ts + window: settle both ways
+        c = np.minimum(nxt, n - 1)
+        fwd = (nxt < n) & (ts[c] - ts < window)
+        prev = np.maximum(nxt - 1, 0)
+        back = (nxt - 1 > idx) & (ts[prev] - ts >= window)
+        if not (fwd.any() or back.any()):
+            break
+        nxt = np.where(fwd, nxt + 1, np.where(back, nxt - 1, nxt))
+    return nxt
+
+
 def debounce_fold(ts: np.ndarray, window: float, anchor: float | None = None) -> np.ndarray:
     """Accept flags for one key's time-sorted events: an event is accepted iff
     ``ts - last_accepted >= window`` (the anchor moves only on accepts)."""
@@ -29,49 +48,116 @@ def debounce_fold(ts: np.ndarray, window: float, anchor: float | None = None) ->
     acc = np.zeros(n, dtype=bool)
     if n == 0:
         return acc
-    nxt = np.searchsorted(ts, ts + window, side="left")
-    i = 0 if anchor is None else int(np.searchsorted(ts, anchor + window, side="left"))
+    nxt = _next_accept(ts, window)
+    i = 0
     if anchor is not None:
+        i = int(np.searchsorted(ts, anchor + window, side="left"))
         while i < n and ts[i] - anchor < window:
             i += 1
         while i > 0 and ts[i - 1] - anchor >= window:
             i -= 1
     while i < n:
         acc[i] = True
-        j = max(int(nxt[i]), i + 1)
-        while j < n and ts[j] - ts[i] < window:
-            j += 1
-        while j - 1 > i and ts[j - 1] - ts[i] >= window:
-            j -= 1
-        i = j
+        i = int(nxt[i])
     return acc
 
 
-def _debounce_partition(batches, keys: Sequence[str], ts_col: str, window: float):
-    """Stream a partition sorted by (keys, ts, order); carry the anchor of the
-    last key across Arrow batches.  Memory is one batch plus one anchor."""
+def segment_summary(ts: np.ndarray, window: float):
+    """How a key segment maps an incoming anchor to its outgoing anchor.
+
+    An incoming anchor A comes from earlier partitions, so A <= ts[0]; the
+    first accepted event is then one of the events within ``window`` of
+    ts[0] (or the first one after them).  Returns (head_ts, head_last):
+    the candidate first events' times and, per candidate start, the time
+    of the last event the chain from it accepts (right-to-left DP)."""
+    n = len(ts)
+    nxt = _next_accept(ts, window)
+    last = np.empty(n, dtype=np.float64)
+    for i in range(n - 1, -1, -1):
+        last[i] = last[nxt[i]] if nxt[i] < n else ts[i]
+    h = int(np.searchsorted(ts, ts[0] + window, side="left"))
+    while h < n and ts[h] - ts[0] < window:
+        h += 1
+    while h > 1 and ts[h - 1] - ts[0] >= window:
+        h -= 1
+    return ts[:h].tolist(), last[:min(h + 1, n)].tolist()
+
+
+def apply_summary(head_ts, head_last, n: int, window: float, anchor):
+    """Outgoing anchor of a segment for an incoming anchor (None = none)."""
+    if anchor is None:
+        return head_last[0]
+    for i, t in enumerate(head_ts):
+        if t - anchor >= window:
+            return head_last[i]
+    h = len(head_ts)
+    return head_last[h] if h < n else anchor
+
+
+def _summaries(batches, keys: Sequence[str], ts_col: str, window: float):
+    """Pass 1: per partition, the summary of its first and last key segment
+    (the only ones that can continue into a neighbour partition)."""
+    first_key = first_ts = None
+    cur_key, cur_ts = None, []
+    first_done = False
+    pid = None
+    for pdf in batches:
+        n = len(pdf)
+        if n == 0:
+            continue
+        pid = int(pdf[PID].iloc[0])
+        ts = pdf[ts_col].to_numpy(dtype=np.float64)
+        kdf = pdf[list(keys)]
+        change = key_change(kdf, n)
+        starts = np.flatnonzero(change)
+        ends = np.append(starts[1:], n)
+        for s, e in zip(starts, ends):
+            k = tuple(kdf.iloc[s].tolist())
+            if cur_key is not None and k == cur_key:
+                cur_ts.append(ts[s:e])
+                continue
+            if cur_key is not None and not first_done:
+                first_key, first_ts, first_done = cur_key, cur_ts, True
+            cur_key, cur_ts = k, [ts[s:e]]
+    if cur_key is None:
+        return
+    segs = []
+    if first_done:
+        segs.append((first_key, first_ts))
+    segs.append((cur_key, cur_ts))
+    rows = []
+    for k, parts in segs:
+        t = np.concatenate(parts)
+        head_ts, head_last = segment_summary(t, window)
+        rows.append((*k, pid, len(t), head_ts, head_last))
+    yield pd.DataFrame(rows, columns=[*keys, PID, "_n", "_head_ts", "_head_last"])
+
+
+def _compose(pdf: pd.DataFrame, keys: Sequence[str], window: float) -> pd.DataFrame:
+    """Pass 1.5, one key: walk its partitions in order, carrying the anchor."""
+    pdf = pdf.sort_values(PID)
+    anchor = None
+    out = []
+    for d in pdf.to_dict("records"):
+        out.append((*[d[k] for k in keys], d[PID], anchor))
+        anchor = apply_summary(list(d["_head_ts"]), list(d["_head_last"]), int(d["_n"]), window, anchor)
+    return pd.DataFrame(out, columns=[*keys, PID, "_ain"])
+
+
+def _debounce_partition(batches, keys: Sequence[str], ts_col: str, window: float,
+                        ain_col: str | None = None):
+    """Pass 2: stream a partition sorted by (keys, ts, order); a segment
+    starts from its boundary anchor (``ain_col``) or the anchor carried from
+    the previous Arrow batch.  Memory is one batch plus one anchor."""
     carry_key = None
     carry_anchor = None
     for pdf in batches:
         n = len(pdf)
         if n == 0:
-            yield pdf.assign(accepted=pd.Series([], dtype=bool))
             continue
         ts = pdf[ts_col].to_numpy(dtype=np.float64)
         kdf = pdf[list(keys)]
-        change = np.ones(n, dtype=bool)
-        if n > 1:
-            same = np.ones(n - 1, dtype=bool)
-            for k in keys:
-                col = kdf[k].to_numpy()
-                a, b = col[1:], col[:-1]
-                eq = (a == b)
-                try:
-                    eq = eq & ~(pd.isna(a) | pd.isna(b))
-                except TypeError:
-                    pass
-                same &= np.asarray(eq, dtype=bool)
-            change[1:] = ~same
+        change = key_change(kdf, n)
         gap_new = np.ones(n, dtype=bool)
         gap_new[1:] = (ts[1:] - ts[:-1]) >= window
         # a session starts on a key change or a gap >= window: its first
@@ -80,11 +166,14 @@ def _debounce_partition(batches, keys: Sequence[str], ts_col: str, window: float
         acc = np.zeros(n, dtype=bool)
         starts = np.flatnonzero(session)
         ends = np.append(starts[1:], n)
+        ain = pdf[ain_col].to_numpy() if ain_col else None
         first_key = tuple(kdf.iloc[0].tolist())
         for s, e in zip(starts, ends):
             anchor = None
             if s == 0 and carry_key is not None and first_key == carry_key:
                 anchor = carry_anchor
+            elif change[s] and ain is not None and not pd.isna(ain[s]):
+                anchor = float(ain[s])
             if e - s == 1 and anchor is None:
                 acc[s] = True
             else:
@@ -95,29 +184,56 @@ def _debounce_partition(batches, keys: Sequence[str], ts_col: str, window: float
         hits = np.flatnonzero(acc[key_start:])
         if hits.size:
             carry_anchor = float(ts[key_start + hits[-1]])
-        elif not (key_start == 0 and carry_key == last_key):
+        elif key_start == 0 and carry_key == last_key:
+            pass
+        elif ain is not None and not pd.isna(ain[key_start]):
+            carry_anchor = float(ain[key_start])
+        else:
             carry_anchor = None
         carry_key = last_key
-        yield pdf.assign(accepted=acc)
+        out = pdf.drop(columns=[c for c in (ain_col, PID) if c and c in pdf.columns])
+        yield out.assign(accepted=acc)
 
 
 def debounce(events: DataFrame, keys: Sequence[str] = DEBOUNCE_KEYS,
              seconds: float = S.DEBOUNCE_SECONDS, ts: str = "timestamp",
-             order: str = "event_id", keep_rejected: bool = False) -> DataFrame:
+             order: str = "event_id", keep_rejected: bool = False,
+             num_partitions: int | None = None) -> DataFrame:
     """ST1: drop an event when the same key had an *accepted* event less than
     ``seconds`` before it.  Anchored on accepted events only: 0,100,400,700 s
     keep 0,400,700 (``dropDuplicatesWithinWatermark`` and a plain ``lag``
     are both wrong here).
 
-    Plan: hash-partition by key, sort inside partitions by (key, ts, order)
-    and fold each partition as a stream of Arrow batches (bounded memory;
-    a hot key is streamed, never collected).  Events with a gap >= window
-    to the previous event of their key are accepted without the fold.
+    Plan (skew-safe, exact): range-partition by (key, ts, order) so a hot
+    key is split over many sorted partitions; pass 1 summarises each
+    partition's boundary segments (how an incoming anchor maps to the
+    outgoing one); a per-key walk over those few rows (at most two per
+    partition) gives every boundary segment its incoming anchor; pass 2
+    folds all partitions in parallel, streaming Arrow batches.  Events with
+    a gap >= window to their predecessor bypass the fold.
     """
-    schema = T.StructType(events.schema.fields + [T.StructField("accepted", T.BooleanType())])
-    parted = events.repartition(*keys).sortWithinPartitions(*keys, ts, order)
     keys_t, window = tuple(keys), float(seconds)
-    out = parted.mapInPandas(lambda it: _debounce_partition(it, keys_t, ts, window), schema)
+    out_schema = T.StructType(events.schema.fields + [T.StructField("accepted", T.BooleanType())])
+    keyed = events.where(not_null(keys_t))
+    nulls = events.where(~not_null(keys_t)).withColumn("accepted", F.lit(True))
+    r = ranged(keyed, keys_t, (ts, order), num_partitions)
+
+    key_fields = [r.schema[k] for k in keys_t]
+    summ_schema = T.StructType(key_fields + [
+        T.StructField(PID, T.IntegerType()), T.StructField("_n", T.LongType()),
+        T.StructField("_head_ts", T.ArrayType(T.DoubleType())),
+        T.StructField("_head_last", T.ArrayType(T.DoubleType()))])
+    summ = r.mapInPandas(lambda it: _summaries(it, keys_t, ts, window), summ_schema)
+    ain_schema = T.StructType(key_fields + [T.StructField(PID, T.IntegerType()),
+                                            T.StructField("_ain", T.DoubleType())])
+    ain = summ.groupBy(*keys_t).applyInPandas(lambda pdf: _compose(pdf, keys_t, window), ain_schema)
+    # at most two rows per partition: a proven-small broadcast
+    joined = (r.join(F.broadcast(ain), [*keys_t, PID], "left")
+              .sortWithinPartitions(*keys_t, ts, order))
+    joined = joined.select(*events.columns, PID, "_ain")
+    out = joined.mapInPandas(lambda it: _debounce_partition(it, keys_t, ts, window, "_ain"),
+                             out_schema)
+    out = out.unionByName(nulls)
     if keep_rejected:
         return out
     return out.where("accepted").drop("accepted")

@@ -153,3 +153,38 @@ def test_stream_step_matches_rules():
     assert a == "debounced"
     vec, a = step(vec, anchors, hist, {"event_type": "purchase", "timestamp": 20, "item_idx": 1, **iv})
     assert a == "created" and list(hist) == [1]
+
+
+def test_debounce_hot_key_split_over_partitions(spark):
+    """One key holding most rows, cut into many range partitions and small
+    Arrow batches, gives exactly the sequential fold."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = np.random.default_rng(21)
+        hot = np.sort(rng.uniform(0, 20000, size=400)).round(3)
+        rows = [(i, 1, 1, "click", float(t)) for i, t in enumerate(hot)]
+        cold = np.sort(rng.uniform(0, 20000, size=60)).round(3)
+        rows += [(1000 + i, 2 + (i % 3), 1, "click", float(t)) for i, t in enumerate(cold)]
+        ev = _events(spark, rows)
+        out = debounce(ev, num_partitions=9).collect()
+        got_hot = sorted(r.timestamp for r in out if r.user_idx == 1)
+        assert got_hot == naive_debounce(hot.tolist(), 300.0)
+        for u in (2, 3, 4):
+            ts = [float(t) for i, t in enumerate(cold) if 2 + (i % 3) == u]
+            assert sorted(r.timestamp for r in out if r.user_idx == u) == naive_debounce(ts, 300.0)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_segment_summary_composes():
+    from driftrank.operators.state import apply_summary, segment_summary
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        t = np.sort(rng.uniform(0, 5000, size=int(rng.integers(2, 60))))
+        cut = int(rng.integers(1, len(t)))
+        a, b = t[:cut], t[cut:]
+        ha, la = segment_summary(a, 300.0)
+        anchor = apply_summary(ha, la, len(a), 300.0, None)
+        kept_b = b[debounce_fold(b, 300.0, anchor)].tolist()
+        full = naive_debounce(t.tolist(), 300.0)
+        assert [x for x in full if x >= b[0]] == kept_b
