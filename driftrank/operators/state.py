@@ -250,18 +250,111 @@ def drop_missing_items(events: DataFrame, item_vectors: DataFrame) -> DataFrame:
     return attach_item_vectors(events, item_vectors).where(F.col("item_vector").isNotNull())
 
 
+def _ema_summaries(batches, ts_col: str):
+    """Pass 1: per partition, sum of log1p(-c) of its first and last user
+    segments (the only ones that can continue into a neighbour)."""
+    first = None
+    cur_user, cur_sum = None, 0.0
+    pid = None
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        pid = int(pdf[PID].iloc[0])
+        users = pdf["user_idx"].to_numpy()
+        logs = np.log1p(-pdf["c"].to_numpy(dtype=np.float64))
+        change = key_change(pdf[["user_idx"]], len(pdf))
+        starts = np.flatnonzero(change)
+        ends = np.append(starts[1:], len(pdf))
+        for s, e in zip(starts, ends):
+            u = int(users[s])
+            if cur_user is not None and u == cur_user:
+                cur_sum += float(logs[s:e].sum())
+                continue
+            if cur_user is not None and first is None:
+                first = (cur_user, cur_sum)
+            cur_user, cur_sum = u, float(logs[s:e].sum())
+    if cur_user is None:
+        return
+    rows = ([first] if first is not None else []) + [(cur_user, cur_sum)]
+    yield pd.DataFrame({"user_idx": [r[0] for r in rows], PID: [pid] * len(rows),
+                        "_tot": [r[1] for r in rows]})
+
+
+def _ema_compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pass 1.5, one user: for each of its partitions, the log-sum of all
+    later partitions and whether an earlier partition holds the user."""
+    pdf = pdf.sort_values(PID)
+    tots = pdf["_tot"].to_numpy(dtype=np.float64)
+    later = np.concatenate([np.cumsum(tots[::-1])[::-1][1:], [0.0]])
+    return pd.DataFrame({"user_idx": pdf["user_idx"].to_numpy(), PID: pdf[PID].to_numpy(),
+                         "_later": later, "_earlier": np.arange(len(pdf)) > 0})
+
+
+_COEF_OUT = T.StructType([
+    T.StructField("user_idx", T.IntegerType()),
+    T.StructField("coef", T.DoubleType()),
+    T.StructField("item_vector", T.ArrayType(T.FloatType())),
+])
+
+
+def _ema_coefficients(batches):
+    """Pass 2: buffer one user segment at a time (bounded by the partition),
+    suffix log-sums within it plus the later partitions' sum, then the
+    coefficient c_i * prod_{j>i}(1 - c_j) (1 for a cold first event)."""
+    buf: list[pd.DataFrame] = []
+
+    def flush():
+        seg = pd.concat(buf, ignore_index=True)
+        logs = np.log1p(-seg["c"].to_numpy(dtype=np.float64))
+        suffix = np.concatenate([np.cumsum(logs[::-1])[::-1][1:], [0.0]])
+        later = seg["_later"].iloc[0]
+        suffix = suffix + (0.0 if pd.isna(later) else float(later))
+        earlier = seg["_earlier"].iloc[0]
+        earlier = False if pd.isna(earlier) else bool(earlier)
+        has_init = bool(seg["_has_init"].iloc[0])
+        c = seg["c"].to_numpy(dtype=np.float64)
+        if not (earlier or has_init):
+            c = c.copy()
+            c[0] = 1.0
+        return pd.DataFrame({"user_idx": seg["user_idx"].to_numpy(dtype=np.int32),
+                             "coef": c * np.exp(suffix), "item_vector": seg["item_vector"]})
+
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        change = key_change(pdf[["user_idx"]], len(pdf))
+        starts = np.flatnonzero(change)
+        ends = np.append(starts[1:], len(pdf))
+        outs = []
+        for s, e in zip(starts, ends):
+            part = pdf.iloc[s:e]
+            if buf and int(buf[-1]["user_idx"].iloc[0]) == int(part["user_idx"].iloc[0]):
+                buf.append(part)
+                continue
+            if buf:
+                outs.append(flush())
+            buf = [part]
+        if outs:
+            yield pd.concat(outs, ignore_index=True)
+    if buf:
+        yield flush()
+
+
 def ema_vectors(accepted: DataFrame, item_vectors: DataFrame,
                 user_vectors: DataFrame | None = None, lr: float = S.LEARNING_RATE,
                 weights: Mapping[str, float] = S.EVENT_WEIGHTS,
-                ts: str = "timestamp", order: str = "event_id") -> DataFrame:
+                ts: str = "timestamp", order: str = "event_id",
+                num_partitions: int | None = None) -> DataFrame:
     """ST2: fold ``u <- u (1 - lr w) + v lr w`` over each user's accepted
     events in time order; a user without a vector starts at the first item
     vector (coefficient 1, whatever the weight).
 
     Closed form, fully associative: event i contributes
     ``c_i * prod_{j>i} (1 - c_j)`` times its item vector, the prior vector
-    contributes ``prod_j (1 - c_j)``.  The suffix products come from one
-    ordered window per user (sum of log1p(-c) over the following rows); the
+    contributes ``prod_j (1 - c_j)``.  The suffix products are log-sums over
+    a user's later events; they are computed on range-partitioned slices
+    (a hot user spans many partitions) with the later partitions' sums
+    carried by a boundary table of at most two rows per partition.  The
     weighted sum is a per-(user, dimension) aggregate with map-side partial
     sums, so no user's events are ever gathered in one place.
     Output: (user_idx, features array<float>).
@@ -272,30 +365,33 @@ def ema_vectors(accepted: DataFrame, item_vectors: DataFrame,
     ev = drop_missing_items(accepted.where(F.col("event_type").isin(list(weights))),
                             item_vectors)
     c = F.lit(lr) * event_weight("event_type", weights)
-    ev = ev.select("user_idx", ts, order, "item_vector", c.alias("c"))
+    ev = ev.select(F.col("user_idx").cast("int").alias("user_idx"), ts, order, "item_vector",
+                   c.alias("c"))
     has_init = user_vectors is not None
     if has_init:
         init = user_vectors.select(F.col("id").cast("int").alias("user_idx"),
                                    F.lit(True).alias("_has_init"))
-        ev = ev.join(init, "user_idx", "left")
+        ev = ev.join(init, "user_idx", "left").withColumn(
+            "_has_init", F.coalesce("_has_init", F.lit(False)))
     else:
         ev = ev.withColumn("_has_init", F.lit(False))
-    w = Window.partitionBy("user_idx").orderBy(F.col(ts), F.col(order))
-    ev = ev.select(
-        "*",
-        F.row_number().over(w).alias("_rn"),
-        F.coalesce(F.sum(F.log1p(-F.col("c"))).over(
-            w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)).alias("_suffix"),
-    )
-    first_cold = (F.col("_rn") == 1) & ~F.coalesce(F.col("_has_init"), F.lit(False))
-    coef = F.when(first_cold, F.lit(1.0)).otherwise(F.col("c")) * F.exp("_suffix")
-    terms = ev.select("user_idx", coef.alias("coef"),
-                      F.posexplode("item_vector").alias("pos", "x"))
+    r = ranged(ev.where(F.col("user_idx").isNotNull()), ["user_idx"], [ts, order], num_partitions)
+    summ = r.mapInPandas(lambda it: _ema_summaries(it, ts), T.StructType([
+        T.StructField("user_idx", T.IntegerType()), T.StructField(PID, T.IntegerType()),
+        T.StructField("_tot", T.DoubleType())]))
+    bounds = summ.groupBy("user_idx").applyInPandas(_ema_compose, T.StructType([
+        T.StructField("user_idx", T.IntegerType()), T.StructField(PID, T.IntegerType()),
+        T.StructField("_later", T.DoubleType()), T.StructField("_earlier", T.BooleanType())]))
+    # at most two rows per partition: a proven-small broadcast
+    j = (r.join(F.broadcast(bounds), ["user_idx", PID], "left")
+         .sortWithinPartitions("user_idx", ts, order)
+         .select("user_idx", "c", "item_vector", "_has_init", "_later", "_earlier"))
+    coefs = j.mapInPandas(_ema_coefficients, _COEF_OUT)
+    terms = coefs.select("user_idx", "coef", F.posexplode("item_vector").alias("pos", "x"))
     terms = terms.select("user_idx", "pos", (F.col("coef") * F.col("x").cast("double")).alias("y"))
     if has_init:
         # prior vector term: prod over all of the user's events of (1 - c)
-        total = (ev.where(F.col("_rn") == 1)
-                 .select("user_idx", (F.col("_suffix") + F.log1p(-F.col("c"))).alias("_all")))
+        total = ev.groupBy("user_idx").agg(F.sum(F.log1p(-F.col("c"))).alias("_all"))
         prior = (user_vectors.select(F.col("id").cast("int").alias("user_idx"), "features")
                  .join(total, "user_idx", "left")
                  .select("user_idx", F.exp(F.coalesce("_all", F.lit(0.0))).alias("coef"),

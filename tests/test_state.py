@@ -188,3 +188,23 @@ def test_segment_summary_composes():
         kept_b = b[debounce_fold(b, 300.0, anchor)].tolist()
         full = naive_debounce(t.tolist(), 300.0)
         assert [x for x in full if x >= b[0]] == kept_b
+
+
+def test_ema_hot_user_split_over_partitions(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rng = np.random.default_rng(8)
+        vecs = {i: rng.normal(size=4).tolist() for i in range(10)}
+        types = ["purchase", "add_to_cart", "click"]
+        rows, evs = [], {1: [], 2: []}
+        for j in range(300):
+            u = 1 if j % 10 else 2
+            item, et = int(rng.integers(0, 10)), types[int(rng.integers(0, 3))]
+            rows.append((j, u, item, et, float(j)))
+            evs[u].append((j, item, et))
+        got = {r.user_idx: r.features for r in
+               ema_vectors(_events(spark, rows), _item_vectors(spark, vecs), num_partitions=7).collect()}
+        for u in (1, 2):
+            assert np.allclose(got[u], fold_ema(evs[u], vecs).astype(np.float32), atol=1e-6)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
