@@ -425,22 +425,34 @@ def user_history(accepted: DataFrame, item_vectors: DataFrame | None = None,
     silent gap >= ttl are gone, and a user whose last purchase is older than
     ttl at ``as_of`` (default: the data's last event time) has no history.
     Output: (user_idx, item_idx, last_purchase_at).
+
+    Skew-safe: no per-user window over purchases.  With ttl-wide time
+    buckets, only a bucket's first purchase can follow a silent gap, and it
+    does iff the previous bucket's last purchase is >= ttl older (or the
+    previous bucket is empty).  So the live epoch comes from per-(user,
+    bucket) min/max aggregates (partial, map-side) and the item times from
+    a per-(user, item) max; the 100-item cut is a per-user top-n whose
+    partial limit runs before the shuffle.
     """
     p = accepted.where(F.col("event_type") == "purchase")
     if item_vectors is not None:
         p = p.join(item_vectors.select("item_idx"), "item_idx", "left_semi")
     ttl = float(ttl_days) * 86400.0
-    w = Window.partitionBy("user_idx").orderBy(F.col(ts))
-    gaps = p.select("user_idx", "item_idx", ts,
-                    F.lag(ts).over(w).alias("_prev"))
-    # start of the live epoch: the last purchase that followed a >= ttl gap
-    epoch = F.max(F.when(F.col("_prev").isNull() | (F.col(ts) - F.col("_prev") >= ttl),
-                         F.col(ts))).over(Window.partitionBy("user_idx"))
-    live = gaps.withColumn("_epoch", epoch).where(F.col(ts) >= F.col("_epoch"))
-    hist = latest_items(live.select("user_idx", "item_idx", ts), n, ts)
+    p = p.select(F.col("user_idx").cast("int").alias("user_idx"),
+                 F.col("item_idx").cast("int").alias("item_idx"), F.col(ts).alias("_t"))
+    buckets = (p.groupBy("user_idx", F.floor(F.col("_t") / ttl).alias("_b"))
+               .agg(F.min("_t").alias("_mn"), F.max("_t").alias("_mx")))
+    prev = buckets.select("user_idx", (F.col("_b") + 1).alias("_b"), F.col("_mx").alias("_pmx"))
+    epoch = (buckets.join(prev, ["user_idx", "_b"], "left")
+             .where(F.col("_pmx").isNull() | (F.col("_mn") - F.col("_pmx") >= ttl))
+             .groupBy("user_idx").agg(F.max("_mn").alias("_epoch"), F.max("_mx").alias("_last")))
+    items = p.groupBy("user_idx", "item_idx").agg(F.max("_t").alias("last_purchase_at"))
     clock = (F.lit(float(as_of)) if as_of is not None
              else accepted.agg(F.max(ts)).scalar())
-    alive = hist.withColumn("_last", F.max("last_purchase_at").over(Window.partitionBy("user_idx")))
-    return (alive.where(clock - F.col("_last") < F.lit(ttl))
-            .select(F.col("user_idx").cast("int"), F.col("item_idx").cast("int"),
-                    "last_purchase_at"))
+    live = (items.join(epoch, "user_idx")
+            .where((F.col("last_purchase_at") >= F.col("_epoch"))
+                   & (clock - F.col("_last") < F.lit(ttl))))
+    w = Window.partitionBy("user_idx").orderBy(F.col("last_purchase_at").desc(),
+                                               F.col("item_idx").cast("string").desc())
+    return (live.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+            .select("user_idx", "item_idx", "last_purchase_at"))

@@ -208,3 +208,30 @@ def test_ema_hot_user_split_over_partitions(spark):
             assert np.allclose(got[u], fold_ema(evs[u], vecs).astype(np.float32), atol=1e-6)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_history_matches_sequential_rules(spark):
+    """Batch history == replaying the stream rules event by event."""
+    rng = np.random.default_rng(13)
+    year = 365 * 86400.0
+    rows, expected = [], {}
+    eid = 0
+    for user in range(6):
+        t = 0.0
+        hist, anchors = {}, {}
+        for _ in range(int(rng.integers(5, 160))):
+            t += float(rng.choice([10.0, 4000.0, 0.6 * year, 1.2 * year], p=[.6, .3, .07, .03]))
+            item = int(rng.integers(0, 150))
+            rows.append((eid, user, item, "purchase", t))
+            step(None, anchors, hist, {"event_type": "purchase", "timestamp": t,
+                                       "item_idx": item, "item_vector": [1.0]})
+            eid += 1
+        expected[user] = (hist, t)
+    clock = max(r[4] for r in rows)
+    h = user_history(_events(spark, rows), as_of=clock).collect()
+    got = {}
+    for r in h:
+        got.setdefault(r.user_idx, {})[r.item_idx] = r.last_purchase_at
+    for user, (hist, last) in expected.items():
+        want = hist if clock - last < year else {}
+        assert got.get(user, {}) == want
