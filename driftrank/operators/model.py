@@ -15,6 +15,10 @@ def train(interactions: DataFrame, seed: int = 42, user_col: str = "user_idx",
     iterations, cold-start rows dropped) with a fixed seed.  The session's
     checkpoint dir cuts the iteration lineage (checkpointInterval)."""
     params = {**S.ALS_PARAMS, **overrides}
+    if "numUserBlocks" not in params:
+        # factor blocks follow the cluster: a few per core pair, capped
+        blocks = max(2, min(200, interactions.sparkSession.sparkContext.defaultParallelism // 2))
+        params.update(numUserBlocks=blocks, numItemBlocks=blocks)
     als = ALS(userCol=user_col, itemCol=item_col, ratingCol=rating_col, seed=seed, **params)
     return als.fit(interactions)
 

@@ -96,10 +96,10 @@ def apply_summary(head_ts, head_last, n: int, window: float, anchor):
 
 def _summaries(batches, keys: Sequence[str], ts_col: str, window: float):
     """Pass 1: per partition, the summary of its first and last key segment
-    (the only ones that can continue into a neighbour partition)."""
-    first_key = first_ts = None
+    (the only ones that can continue into a neighbour partition).  Middle
+    segments of a batch are skipped without a per-segment loop."""
+    first = None
     cur_key, cur_ts = None, []
-    first_done = False
     pid = None
     for pdf in batches:
         n = len(pdf)
@@ -108,23 +108,23 @@ def _summaries(batches, keys: Sequence[str], ts_col: str, window: float):
         pid = int(pdf[PID].iloc[0])
         ts = pdf[ts_col].to_numpy(dtype=np.float64)
         kdf = pdf[list(keys)]
-        change = key_change(kdf, n)
-        starts = np.flatnonzero(change)
-        ends = np.append(starts[1:], n)
-        for s, e in zip(starts, ends):
-            k = tuple(kdf.iloc[s].tolist())
-            if cur_key is not None and k == cur_key:
-                cur_ts.append(ts[s:e])
-                continue
-            if cur_key is not None and not first_done:
-                first_key, first_ts, first_done = cur_key, cur_ts, True
-            cur_key, cur_ts = k, [ts[s:e]]
+        starts = np.flatnonzero(key_change(kdf, n))
+        e0 = int(starts[1]) if len(starts) > 1 else n
+        k0 = tuple(kdf.iloc[0].tolist())
+        if cur_key is not None and k0 == cur_key:
+            cur_ts.append(ts[:e0])
+        else:
+            if cur_key is not None and first is None:
+                first = (cur_key, cur_ts)
+            cur_key, cur_ts = k0, [ts[:e0]]
+        if len(starts) > 1:
+            if first is None:
+                first = (cur_key, cur_ts)
+            sl = int(starts[-1])
+            cur_key, cur_ts = tuple(kdf.iloc[sl].tolist()), [ts[sl:]]
     if cur_key is None:
         return
-    segs = []
-    if first_done:
-        segs.append((first_key, first_ts))
-    segs.append((cur_key, cur_ts))
+    segs = ([first] if first is not None else []) + [(cur_key, cur_ts)]
     rows = []
     for k, parts in segs:
         t = np.concatenate(parts)
@@ -168,16 +168,20 @@ def _debounce_partition(batches, keys: Sequence[str], ts_col: str, window: float
         ends = np.append(starts[1:], n)
         ain = pdf[ain_col].to_numpy() if ain_col else None
         first_key = tuple(kdf.iloc[0].tolist())
-        for s, e in zip(starts, ends):
+        has_ain = (np.zeros(n, dtype=bool) if ain is None
+                   else ~np.asarray(pd.isna(ain), dtype=bool))
+        lens = ends - starts
+        # single-event sessions with no anchor to honour: accepted outright
+        plain = (lens == 1) & ~(change[starts] & has_ain[starts])
+        plain[0] &= not (carry_key is not None and first_key == carry_key)
+        acc[starts[plain]] = True
+        for s, e in zip(starts[~plain], ends[~plain]):
             anchor = None
             if s == 0 and carry_key is not None and first_key == carry_key:
                 anchor = carry_anchor
-            elif change[s] and ain is not None and not pd.isna(ain[s]):
+            elif change[s] and has_ain[s]:
                 anchor = float(ain[s])
-            if e - s == 1 and anchor is None:
-                acc[s] = True
-            else:
-                acc[s:e] = debounce_fold(ts[s:e], window, anchor)
+            acc[s:e] = debounce_fold(ts[s:e], window, anchor)
         # carry: last accepted ts of the last key in this batch
         last_key = tuple(kdf.iloc[n - 1].tolist())
         key_start = int(np.flatnonzero(change)[-1])
@@ -297,47 +301,47 @@ _COEF_OUT = T.StructType([
 ])
 
 
-def _ema_coefficients(batches):
-    """Pass 2: buffer one user segment at a time (bounded by the partition),
-    suffix log-sums within it plus the later partitions' sum, then the
-    coefficient c_i * prod_{j>i}(1 - c_j) (1 for a cold first event)."""
-    buf: list[pd.DataFrame] = []
-
-    def flush():
-        seg = pd.concat(buf, ignore_index=True)
-        logs = np.log1p(-seg["c"].to_numpy(dtype=np.float64))
-        suffix = np.concatenate([np.cumsum(logs[::-1])[::-1][1:], [0.0]])
-        later = seg["_later"].iloc[0]
-        suffix = suffix + (0.0 if pd.isna(later) else float(later))
-        earlier = seg["_earlier"].iloc[0]
-        earlier = False if pd.isna(earlier) else bool(earlier)
-        has_init = bool(seg["_has_init"].iloc[0])
-        c = seg["c"].to_numpy(dtype=np.float64)
-        if not (earlier or has_init):
-            c = c.copy()
-            c[0] = 1.0
-        return pd.DataFrame({"user_idx": seg["user_idx"].to_numpy(dtype=np.int32),
-                             "coef": c * np.exp(suffix), "item_vector": seg["item_vector"]})
+def _segment_coefficients(seg: pd.DataFrame) -> pd.DataFrame:
+    """Coefficients for whole user segments (several users at once):
+    c_i * exp(sum of log1p(-c) over the user's later rows here + later
+    partitions), with c = 1 for the first event of a cold user."""
+    users = seg["user_idx"].to_numpy()
+    c = seg["c"].to_numpy(dtype=np.float64).copy()
+    logs = np.log1p(-c)
+    n = len(seg)
+    change = key_change(seg[["user_idx"]], n)
+    sid = np.cumsum(change) - 1
+    csum = np.cumsum(logs)
+    ends = np.append(np.flatnonzero(change)[1:], n) - 1
+    suffix = csum[ends][sid] - csum
+    later = seg["_later"].to_numpy(dtype=np.float64, na_value=0.0)
+    earlier = seg["_earlier"].to_numpy(dtype=object)
+    earlier = np.array([False if pd.isna(x) else bool(x) for x in earlier])
+    init = seg["_has_init"].to_numpy(dtype=bool)
+    cold_first = change & ~earlier & ~init
+    c[cold_first] = 1.0
+    return pd.DataFrame({"user_idx": users.astype(np.int32),
+                         "coef": c * np.exp(suffix + later),
+                         "item_vector": seg["item_vector"]})
+
 
+def _ema_coefficients(batches):
+    """Pass 2: complete user segments of a batch are handled vectorised; the
+    batch's last segment is held back until its user ends (bounded by the
+    partition), since its suffix sums need the rows still to come."""
+    held = None
     for pdf in batches:
         if len(pdf) == 0:
             continue
-        change = key_change(pdf[["user_idx"]], len(pdf))
-        starts = np.flatnonzero(change)
-        ends = np.append(starts[1:], len(pdf))
-        outs = []
-        for s, e in zip(starts, ends):
-            part = pdf.iloc[s:e]
-            if buf and int(buf[-1]["user_idx"].iloc[0]) == int(part["user_idx"].iloc[0]):
-                buf.append(part)
-                continue
-            if buf:
-                outs.append(flush())
-            buf = [part]
-        if outs:
-            yield pd.concat(outs, ignore_index=True)
-    if buf:
-        yield flush()
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        starts = np.flatnonzero(key_change(pdf[["user_idx"]], len(pdf)))
+        last = int(starts[-1])
+        held = pdf.iloc[last:]
+        if last > 0:
+            yield _segment_coefficients(pdf.iloc[:last].reset_index(drop=True))
+    if held is not None and len(held):
+        yield _segment_coefficients(held.reset_index(drop=True))
 
 
 def ema_vectors(accepted: DataFrame, item_vectors: DataFrame,
