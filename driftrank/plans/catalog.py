@@ -302,3 +302,4 @@ def q_trending_enriched(spark, d):
 # the vector / state / recommendation layers register themselves on import
 from driftrank.plans import catalog_vectors  # noqa: E402,F401
 from driftrank.plans import catalog_stream  # noqa: E402,F401
+from driftrank.plans import catalog_extra  # noqa: E402,F401
