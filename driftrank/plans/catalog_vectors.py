@@ -195,14 +195,14 @@ def q_similar_items_status(spark, d):
 ]) + ("SELECT c.event_id, c.prev_event_id, round(" + cos_sql("a.v", "b.v") + ", 6) AS similarity "
       "FROM cp c JOIN index_l a ON c.item_idx = a.item_idx JOIN index_l b ON c.prev_item_idx = b.item_idx"))
 def q_cosine_pairs(spark, d):
-    """Cosine between the items of consecutive events of a user."""
-    from pyspark.sql import Window
-
+    """Cosine between the items of consecutive events of a user (the
+    previous event comes from a skew-safe ordered lag)."""
     from driftrank.functions.columns import cosine
+    from driftrank.operators.ordered import ordered_lag
     t = _t(spark, d)
-    w = Window.partitionBy("user_idx").orderBy("timestamp", "event_id")
-    ev = t.events.select("event_id", "item_idx", F.lag("event_id").over(w).alias("prev_event_id"),
-                         F.lag("item_idx").over(w).alias("prev_item_idx"))
+    ev = ordered_lag(t.events.select("user_idx", "timestamp", "event_id", "item_idx"),
+                     ["user_idx"], ["timestamp", "event_id"], ["event_id", "item_idx"])
+    ev = ev.where(F.col("user_idx").isNotNull())
     a = t.item_index.select("item_idx", F.col("features").alias("_a"))
     b = t.item_index.select(F.col("item_idx").alias("prev_item_idx"), F.col("features").alias("_b"))
     return (ev.join(a, "item_idx").join(b, "prev_item_idx")
@@ -273,17 +273,16 @@ def q_events_missing_item(spark, d):
     "SELECT CASE WHEN rn = 1 THEN 'created' ELSE 'updated' END AS type, count(*) AS count "
     "FROM eco GROUP BY 1"))
 def q_vector_updates(spark, d):
-    """ME3: vector writes split into created (first update) and updated."""
-    from pyspark.sql import Window
-
+    """ME3: vector writes split into created (a user's first update) and
+    updated -- one aggregate: created = users, updated = writes - users."""
     from driftrank.operators.interactions import known_events
     from driftrank.operators.state import drop_missing_items
     t = _t(spark, d)
     ev = drop_missing_items(known_events(t.accepted_events), t.item_vectors)
-    w = Window.partitionBy("user_idx").orderBy("timestamp", "event_id")
-    return (ev.withColumn("_rn", F.row_number().over(w))
-            .groupBy(F.when(F.col("_rn") == 1, "created").otherwise("updated").alias("type"))
-            .agg(F.count(F.lit(1)).alias("count")))
+    tot = ev.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_idx").alias("u"))
+    return tot.select(F.inline(F.array(
+        F.struct(F.lit("created").alias("type"), F.col("u").alias("count")),
+        F.struct(F.lit("updated").alias("type"), (F.col("n") - F.col("u")).alias("count")))))
 
 
 @register("active_users", sql=with_views("ev_l", "index_l", extra=STATE_SQL)
