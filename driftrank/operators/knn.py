@@ -142,12 +142,14 @@ def _filter_mask(groups: np.ndarray, types: np.ndarray, must_group, must_type,
 
 
 def score_block(qvecs: np.ndarray, ivecs: np.ndarray, item_ids: np.ndarray, k: int,
-                excludes=None, filters=None, groups=None, types=None):
-    """Cosine scores of a query block against an item shard, masked, top-k.
-
-    Returns (row, item_id, score) arrays.
+                excludes=None, filters=None, groups=None, types=None, metric: str = "cosine"):
+    """Cosine (or dot-product) scores of a query block against an item
+    shard, masked, top-k.  Returns (row, item_id, score) arrays.
     """
-    scores = _unit_rows(qvecs) @ _unit_rows(ivecs).T
+    if metric == "dot":
+        scores = qvecs @ ivecs.T
+    else:
+        scores = _unit_rows(qvecs) @ _unit_rows(ivecs).T
     scores = np.round(scores, SCORE_DIGITS)
     if excludes is not None and len(item_ids):
         order = np.argsort(item_ids, kind="stable")
@@ -210,7 +212,7 @@ def _pack_queries(batches, has_excl: bool, has_filters: bool, query_rows: int):
             yield pd.DataFrame(out)
 
 
-def _score_pairs(batches, k: int, has_excl: bool, has_filters: bool):
+def _score_pairs(batches, k: int, has_excl: bool, has_filters: bool, metric: str = "cosine"):
     for pdf in batches:
         outs = []
         for row in pdf.itertuples(index=False):
@@ -226,7 +228,7 @@ def _score_pairs(batches, k: int, has_excl: bool, has_filters: bool):
                 filters = list(zip(row.must_group, row.must_type, row.not_groups, row.not_types))
                 groups = np.asarray(row.groups, dtype=object)
                 types = np.asarray(row.types, dtype=object)
-            r, items, sc = score_block(qvecs, ivecs, ids, k, excl, filters, groups, types)
+            r, items, sc = score_block(qvecs, ivecs, ids, k, excl, filters, groups, types, metric)
             qids = np.asarray(row.qids, dtype=np.int64)
             outs.append(pd.DataFrame({"qid": qids[r], "item_idx": items.astype(np.int32),
                                       "score": sc}))
@@ -242,8 +244,9 @@ def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx"
         vector: str = "features", exclude: str | None = None,
         item_filter: Column | None = None, per_query_filters: bool = False,
         shard_rows: int = DEFAULT_SHARD_ROWS, query_rows: int = DEFAULT_QUERY_ROWS,
-        max_groups: int = MAX_QUERY_GROUPS) -> DataFrame:
-    """V2: exact top-k items by cosine for every query row.
+        max_groups: int = MAX_QUERY_GROUPS, metric: str = "cosine") -> DataFrame:
+    """V2: exact top-k items by cosine (``metric='dot'``: dot product) for
+    every query row.
 
     ``exclude`` names an array<int> column of item ids to skip for that
     query (history plus explicit ids); ``item_filter`` is a catalog-wide
@@ -295,7 +298,8 @@ def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx"
     pairs = (blocks.withColumn("qgroup", F.pmod(F.xxhash64("qblock"), n_groups).cast("int"))
              .withColumn("shard", F.explode(F.sequence(F.lit(0), n_shards - 1)))
              .join(shards, ["shard", "qgroup"]))
-    scored = pairs.mapInPandas(lambda it: _score_pairs(it, k, has_excl, has_f), _PAIR_OUT)
+    m = metric
+    scored = pairs.mapInPandas(lambda it: _score_pairs(it, k, has_excl, has_f, m), _PAIR_OUT)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("item_idx").asc())
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("qid").cast(queries.schema[query_id].dataType).alias(query_id),

@@ -28,9 +28,22 @@ def factors(model: ALSModel) -> tuple[DataFrame, DataFrame]:
     return model.userFactors, model.itemFactors
 
 
-def batch_recommend(model: ALSModel, n: int) -> DataFrame:
-    """ALS3: top-n items for every user by dot product."""
-    return model.recommendForAllUsers(n)
+def batch_recommend(model: ALSModel, n: int, user_col: str = "user_idx") -> DataFrame:
+    """ALS3: top-n items for every user by dot product, in the shape of
+    ``recommendForAllUsers`` (user, recommendations array<item_idx, rating>).
+
+    Scored with the sharded block kNN (``metric='dot'``) instead of the
+    built-in, which cross-joins user and item factor blocks; ties go to the
+    smaller item id.  Each user's list holds n entries (a bounded group).
+    """
+    from driftrank.operators.knn import knn
+    users = model.userFactors.select(F.col("id").alias(user_col), "features")
+    items = model.itemFactors.select(F.col("id").alias("item_idx"), "features")
+    top = knn(users, items, n, query_id=user_col, metric="dot")
+    return top.groupBy(user_col).agg(F.sort_array(F.collect_list(F.struct(
+        "rank", "item_idx", F.col("score").cast("float").alias("rating")))).alias("_r")).select(
+        user_col, F.transform("_r", lambda x: F.struct(x["item_idx"].alias("item_idx"),
+                                                       x["rating"].alias("rating"))).alias("recommendations"))
 
 
 def explode_recs(recs: DataFrame, list_col: str = "recommendations",
