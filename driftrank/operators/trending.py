@@ -13,18 +13,22 @@ from driftrank.functions.columns import image_code, item_metadata
 
 
 def recent(tx: DataFrame, days: int = S.TRENDING_DAYS, as_of: dt.date | str | None = None,
-           date_col: str = "t_dat") -> DataFrame:
+           date_col: str = "t_dat", month_col: str = "t_month") -> DataFrame:
     """rows with ``date >= anchor - days`` (inclusive).
 
     The anchor is the data's own max date (a scalar subquery, same plan) or
     a literal ``as_of``; a literal bound reaches the Parquet scan as a
-    pushed filter.
+    pushed filter.  When the table carries the month partition column the
+    same bound is applied to it too, so whole months are pruned.
     """
     if as_of is not None:
         bound: Column = F.date_sub(F.lit(as_of).cast("date"), days)
     else:
         bound = F.date_sub(tx.agg(F.max(date_col)).scalar(), days)
-    return tx.where(F.col(date_col) >= bound)
+    out = tx.where(F.col(date_col) >= bound)
+    if month_col in tx.columns:
+        out = out.where(F.col(month_col) >= F.date_format(bound, "yyyy-MM"))
+    return out
 
 
 def distinct_buyers(tx: DataFrame, item: str = "article_id", user: str = "customer_id",
