@@ -407,7 +407,8 @@ def knn_lsh(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_
     with tables and shrinks with bits; compare against ``knn``."""
     items = index if item_filter is None else index.where(item_filter)
     items = items.where(F.col("features").isNotNull())
-    dim = len(items.select("features").first()[0])
+    first = items.select("features").first()  # one row, to size the hyperplanes
+    dim = len(first[0]) if first is not None else 1
     planes = hyperplanes(dim, n_tables, n_bits, seed)
 
     ig = _lsh_groups(items.select(F.col("item_idx").cast("long").alias("id"), "features"),
