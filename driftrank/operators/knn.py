@@ -27,6 +27,7 @@ SCORE_DIGITS = 6  # scores are compared and ranked at 1e-6 resolution
 DEFAULT_SHARD_ROWS = 32768
 DEFAULT_QUERY_ROWS = 512
 MAX_QUERY_GROUPS = 8
+MAX_SHARDS = 256
 
 FILTER_COLS = ("must_group", "must_type", "not_groups", "not_types")
 
@@ -244,7 +245,8 @@ def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx"
         vector: str = "features", exclude: str | None = None,
         item_filter: Column | None = None, per_query_filters: bool = False,
         shard_rows: int = DEFAULT_SHARD_ROWS, query_rows: int = DEFAULT_QUERY_ROWS,
-        max_groups: int = MAX_QUERY_GROUPS, metric: str = "cosine") -> DataFrame:
+        max_groups: int = MAX_QUERY_GROUPS, max_shards: int = MAX_SHARDS,
+        metric: str = "cosine") -> DataFrame:
     """V2: exact top-k items by cosine (``metric='dot'``: dot product) for
     every query row.
 
@@ -255,16 +257,21 @@ def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx"
     Filters and exclusions act before the cut, so k results survive when k
     items qualify.  Output: (query_id, rank, item_idx, score).
 
-    Work split: S = ceil(items / shard_rows) item shards; query blocks are
+    Work split: S = ceil(items / shard_rows) item shards, at most
+    ``max_shards`` (shards grow beyond ``shard_rows`` past that, so a query
+    block is never copied more than ``max_shards`` times); query blocks are
     spread over G = ceil(2 x cores / S) groups (at most ``max_groups``) and
     each shard is replicated once per group, so the (block, shard) pairs
     land in S x G join partitions -- enough tasks even when the catalog is
     one shard, without ever pairing single queries with single items.
+    Exact search costs queries x items x dim; for catalogs of tens of
+    millions use ``knn_lsh``.
     """
     items = index if item_filter is None else index.where(item_filter)
     items = items.where(F.col("features").isNotNull())
     n_items = items.agg(F.count(F.lit(1))).scalar()
-    n_shards = F.greatest(F.lit(1), F.ceil(n_items / F.lit(shard_rows)).cast("int"))
+    n_shards = F.least(F.lit(max_shards),
+                       F.greatest(F.lit(1), F.ceil(n_items / F.lit(shard_rows)).cast("int")))
     cores = max(1, index.sparkSession.sparkContext.defaultParallelism)
     n_groups = F.least(F.lit(max_groups), F.greatest(
         F.lit(1), F.ceil(F.lit(2 * cores) / n_shards).cast("int")))

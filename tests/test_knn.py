@@ -83,3 +83,14 @@ def test_lsh_recall(spark):
     for r in approx:
         by_user.setdefault(r.user_idx, []).append(r.rank)
     assert all(sorted(v) == list(range(1, len(v) + 1)) for v in by_user.values())
+
+
+def test_knn_shard_cap(spark):
+    rng = np.random.default_rng(9)
+    items = rng.normal(size=(50, 4))
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)],
+                                  "item_idx int, features array<float>")
+    q = spark.createDataFrame([(0, items[0].tolist())], "user_idx int, features array<float>")
+    a = [r.item_idx for r in knn(q, index, 5, shard_rows=3, max_shards=2).orderBy("rank").collect()]
+    b = [r.item_idx for r in knn(q, index, 5, shard_rows=1000).orderBy("rank").collect()]
+    assert a == b
