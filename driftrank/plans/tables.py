@@ -81,12 +81,14 @@ class Tables:
     @cached_property
     def user_map(self) -> DataFrame:
         from driftrank.operators.ids import assign_ids
-        return self._keep(assign_ids(self.customers, "customer_id", "user_idx"))
+        # assign_ids checkpoints its positioned ids; the rest is one
+        # broadcast join with a per-partition offset table
+        return assign_ids(self.customers, "customer_id", "user_idx")
 
     @cached_property
     def item_map(self) -> DataFrame:
         from driftrank.operators.ids import assign_ids
-        return self._keep(assign_ids(self.articles, "article_id", "item_idx"))
+        return assign_ids(self.articles, "article_id", "item_idx")
 
     @cached_property
     def item_factors(self) -> DataFrame:
