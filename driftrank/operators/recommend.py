@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftrank import schema as S
-from driftrank.functions.columns import cosine, dot, norm, unit
+from driftrank.functions.columns import dot, unit
 from driftrank.operators.knn import DEFAULT_SHARD_ROWS, catalog_filter, knn
 from driftrank.operators.mmr import mmr_rerank
 
@@ -210,6 +210,3 @@ def list_diversity(lists: DataFrame, vectors: DataFrame, key: str = "user_idx")
                     F.when(F.col("n") < 2, F.lit(0.0))
                     .otherwise((pairs - sim_sum) / pairs).alias("diversity"))
 
-
-__all__ = ["recommend", "explain", "fallback", "exclude_items", "list_diversity",
-           "history_arrays", "norm"]

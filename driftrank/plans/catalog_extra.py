@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from driftrank import schema as S
 from driftrank.plans.catalog import register
-from driftrank.plans.catalog_vectors import (KNN_SQL, RECO_SQL, TREND_SQL, _PURCHASE_SQL,
-                                             _purchase_requests, _topcat_sql)
+from driftrank.plans.catalog_vectors import KNN_SQL, RECO_SQL, TREND_SQL, _PURCHASE_SQL, _topcat_sql
 from driftrank.plans.sql_views import cos_sql, with_views
 from driftrank.plans.tables import shared_tables
 
@@ -101,5 +100,3 @@ def q_als_model_roundtrip(spark, d):
     save_model(model, path)
     return load_model(path).itemFactors
 
-
-__all__ = ["_purchase_requests"]

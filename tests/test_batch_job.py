@@ -1,6 +1,5 @@
 import tempfile
 
-from pyspark.sql import functions as F
 
 from driftrank.plans.batch_job import run_batch
 from driftrank.sources.tables import load_model, read_table

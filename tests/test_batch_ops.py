@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from driftrank import schema as S
 from driftrank.operators.ids import assign_ids, full_mapping, update_mapping

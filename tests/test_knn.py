@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from driftrank.operators.knn import catalog_filter, knn, similar_items, topk_rows
 

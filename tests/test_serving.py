@@ -1,6 +1,5 @@
 """Request/response cases restated as set operations over small tables."""
 import pytest
-from pyspark.sql import functions as F
 
 from driftrank.operators.knn import similar_items, similar_items_status
 from driftrank.operators.profile import user_profiles
