@@ -210,3 +210,33 @@ def list_diversity(lists: DataFrame, vectors: DataFrame, key: str = "user_idx")
                     F.when(F.col("n") < 2, F.lit(0.0))
                     .otherwise((pairs - sim_sum) / pairs).alias("diversity"))
 
+
+
+def nest_recommendations(recs: DataFrame, index: DataFrame,
+                         explanations: DataFrame | None = None) -> DataFrame:
+    """The response shape: one row per user with ``source`` and a ranked
+    ``recommendations`` array of (item_idx, score, metadata, explanation).
+
+    Metadata is the item payload (empty strings when absent, as stored);
+    explanation is null unless ``explanations`` (from ``explain``) has rows
+    for that recommendation.  Each array holds at most k entries.
+    """
+    meta = index.select("item_idx", F.struct(*S.PAYLOAD_COLS).alias("metadata"))
+    rows = recs.join(meta, "item_idx", "left")
+    if explanations is not None:
+        ex = explanations.groupBy("user_idx", F.col("rec_item_idx").alias("item_idx")).agg(
+            F.sort_array(F.collect_list(F.struct(
+                "pos", "hist_item_idx", "item_name", "similarity", "contribution_pct"))).alias("_ex"))
+        rows = rows.join(ex, ["user_idx", "item_idx"], "left").withColumn(
+            "explanation", F.transform("_ex", lambda e: F.struct(
+                e["hist_item_idx"].alias("item_idx"), e["item_name"].alias("item_name"),
+                e["similarity"].alias("similarity"),
+                e["contribution_pct"].alias("contribution_pct"))))
+    else:
+        rows = rows.withColumn("explanation", F.lit(None).cast(
+            "array<struct<item_idx:int,item_name:string,similarity:double,contribution_pct:double>>"))
+    packed = rows.groupBy("user_idx", "source", "user_type").agg(F.sort_array(F.collect_list(F.struct(
+        "rank", "item_idx", "score", "metadata", "explanation"))).alias("_r"))
+    return packed.select("user_idx", "source", "user_type", F.transform("_r", lambda r: F.struct(
+        r["item_idx"].alias("item_idx"), r["score"].alias("score"), r["metadata"].alias("metadata"),
+        r["explanation"].alias("explanation"))).alias("recommendations"))

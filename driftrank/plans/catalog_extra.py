@@ -50,6 +50,17 @@ def q_recommend_filtered(spark, d):
                      exclude_col="cart")
 
 
+@register("recommend_nested")
+def q_recommend_nested(spark, d):
+    """RC1 + E1 in the response shape: per user, source and a ranked array of
+    items with payload metadata and (personalised only) explanations."""
+    from driftrank.operators.recommend import explain, nest_recommendations, recommend
+    t = shared_tables(spark, d)
+    recs = recommend(t.users, t.user_vectors, t.item_index, t.history, t.trending, k=K,
+                     diversity_lambda=S.DEFAULT_LAMBDA)
+    return nest_recommendations(recs, t.item_index, explain(recs, t.history, t.item_index))
+
+
 @register("recs_exploded", sql=_topcat_sql("product_group_name"))
 def q_recs_exploded(spark, d):
     """The profile's ranked group list (array of structs) exploded back

@@ -121,3 +121,15 @@ def test_purchase_intake(spark, world):
     assert len(a) == 1 and a[0].user_id == "customer_abc123" and a[0].item_id == "0000000001"
     assert a[0].event_type == "purchase" and a[0].quantity == 1
     assert rej.count() == 2
+
+
+def test_nested_response(spark, world):
+    from driftrank.operators.recommend import nest_recommendations
+    index, vectors, history, trending = world
+    recs = recommend(_users(spark, [1, 3]), vectors, index, history, trending, k=3,
+                     diversity_lambda=1.0)
+    out = {r.user_idx: r for r in nest_recommendations(recs, index, explain(recs, history, index)).collect()}
+    assert out[1].source == "personalized" and len(out[1].recommendations) == 3
+    assert out[1].recommendations[0].metadata.prod_name.startswith("Item")
+    assert out[1].recommendations[0].explanation is not None
+    assert out[3].source == "trending_now" and out[3].recommendations[0].explanation is None
