@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from driftrank import schema as S
 
 
-def events_to_transactions(events: DataFrame) -> DataFrame:
+def events_to_transactions(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rename ids, unix seconds -> date (session zone pinned to UTC),
-    constant price and channel; user_idx, item_idx and quantity dropped."""
+    constant price and channel; user_idx, item_idx and quantity dropped
+    (``keep`` carries extra columns through)."""
     return events.select(
         F.to_date(F.timestamp_seconds(F.col("timestamp"))).alias("t_dat"),
         F.col("user_id").alias("customer_id"),
@@ -19,6 +20,7 @@ def events_to_transactions(events: DataFrame) -> DataFrame:
         F.lit(S.ARCHIVE_PRICE).cast("double").alias("price"),
         F.lit(S.ARCHIVE_SALES_CHANNEL).cast("int").alias("sales_channel_id"),
         F.col("event_type"),
+        *keep,
     )
 
 

@@ -64,3 +64,19 @@ def test_stream_state_equals_batch_over_microbatches(spark):
     assert streamed.keys() == batch.keys()
     for u in batch:
         assert np.allclose(streamed[u], batch[u], atol=1e-6)
+
+
+def test_archive_stream_counts_rejects(spark):
+    from driftrank.streaming.archive import archive_stream
+    src = tempfile.mkdtemp(prefix="json-src-")
+    spark.createDataFrame([('{bad',), ('{"user_id": "7", "user_idx": 7, "item_id": "0000000003", '
+                                       '"item_idx": 3, "event_type": "click", "timestamp": 86400.5, '
+                                       '"quantity": 1}',)], "value string").write.text(f"{src}/in")
+    values = spark.readStream.schema("value string").text(f"{src}/in")
+    out, ckpt, met = (tempfile.mkdtemp(prefix=p) for p in ("arch-", "arch-ck-", "arch-m-"))
+    q = archive_stream(values, out, ckpt, metrics_out=met, trigger={"availableNow": True})
+    q.awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 1 and rows[0].customer_id == "7" and str(rows[0].t_dat) == "1970-01-02"
+    m = {(r.kind, r.event_type): r["count"] for r in spark.read.parquet(met).collect()}
+    assert m == {("archived", "click"): 1, ("rejected", None): 1}
