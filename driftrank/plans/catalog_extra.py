@@ -43,13 +43,50 @@ def q_recommend_filtered(spark, d):
     w = Window.partitionBy("user_idx").orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
     cart = (t.events.where(F.col("event_type") == "add_to_cart")
             .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= CART_ITEMS)
-            .groupBy("user_idx").agg(F.collect_set(F.col("item_idx").cast("int")).alias("cart")))
+            .groupBy("user_idx").agg(F.collect_list(F.col("item_idx").cast("int")).alias("cart")))
     users = t.users.join(cart, "user_idx", "left")
     return recommend(users, t.user_vectors, t.item_index, t.history, t.trending, k=K,
                      diversity_lambda=1.0, product_group="ECONOMY", exclude_types=["Brand#1"],
                      exclude_col="cart")
 
 
+@register("filter_usage", sql=with_views("ev_l", "index_l", extra=_FILTERED_SQL[:len(KNN_SQL)] + [
+    _FILTERED_SQL[len(KNN_SQL) + len(TREND_SQL)],
+    ("req", "SELECT DISTINCT CAST(c_custkey AS INTEGER) AS user_idx FROM customer"),
+    ("srch", "SELECT r.user_idx FROM req r JOIN uq q ON r.user_idx = q.user_idx"),
+    ("cnt", "SELECT (SELECT count(*) FROM srch) AS searched, "
+            "(SELECT count(*) FROM srch s JOIN hist h ON s.user_idx = h.user_idx) AS hist_items, "
+            "(SELECT count(*) FROM srch s JOIN cart c ON s.user_idx = c.user_idx) AS cart_items, "
+            "(SELECT count(DISTINCT s.user_idx) FROM srch s JOIN cart c ON s.user_idx = c.user_idx) AS cart_users"),
+]) + ("SELECT kind, count FROM (SELECT 'excluded_history' AS kind, hist_items AS count FROM cnt "
+      "UNION ALL SELECT 'excluded_explicit', cart_items FROM cnt "
+      "UNION ALL SELECT 'filter_product_group', searched FROM cnt "
+      "UNION ALL SELECT 'filter_exclude_types', searched FROM cnt "
+      "UNION ALL SELECT 'filter_exclude_ids', cart_users FROM cnt)"))
+def q_filter_usage(spark, d):
+    """ME6 for the filtered request table: items excluded by history and
+    explicitly, and requests per filter kind (counted, as the service did,
+    only for users that reach the vector search)."""
+    t = shared_tables(spark, d)
+    w = Window.partitionBy("user_idx").orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
+    cart = (t.events.where(F.col("event_type") == "add_to_cart")
+            .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= CART_ITEMS)
+            .groupBy("user_idx").agg(F.collect_list(F.col("item_idx").cast("int")).alias("cart")))
+    searched = t.users.join(t.user_vectors.select("user_idx"), "user_idx").join(cart, "user_idx", "left")
+    hist = t.history.groupBy("user_idx").agg(F.count(F.lit(1)).alias("_h"))
+    s = searched.join(hist, "user_idx", "left").agg(
+        F.count(F.lit(1)).alias("searched"),
+        F.coalesce(F.sum("_h"), F.lit(0)).cast("long").alias("hist_items"),
+        F.coalesce(F.sum(F.size(F.coalesce("cart", F.array()))), F.lit(0)).cast("long").alias("cart_items"),
+        F.count(F.when(F.size(F.coalesce("cart", F.array())) > 0, 1)).alias("cart_users"))
+    return s.select(F.inline(F.array(
+        F.struct(F.lit("excluded_history").alias("kind"), F.col("hist_items").alias("count")),
+        F.struct(F.lit("excluded_explicit").alias("kind"), F.col("cart_items").alias("count")),
+        F.struct(F.lit("filter_product_group").alias("kind"), F.col("searched").alias("count")),
+        F.struct(F.lit("filter_exclude_types").alias("kind"), F.col("searched").alias("count")),
+        F.struct(F.lit("filter_exclude_ids").alias("kind"), F.col("cart_users").alias("count")))))
+
+
 @register("recommend_nested")
 def q_recommend_nested(spark, d):
     """RC1 + E1 in the response shape: per user, source and a ranked array of
