@@ -133,3 +133,43 @@ def test_nested_response(spark, world):
     assert out[1].recommendations[0].metadata.prod_name.startswith("Item")
     assert out[1].recommendations[0].explanation is not None
     assert out[3].source == "trending_now" and out[3].recommendations[0].explanation is None
+
+
+def test_fallback_respects_filters_and_newest_history(spark, world):
+    index, vectors, history, trending = world
+    trend = spark.createDataFrame([(1, 1200, 100.0), (2, 1300, 90.0), (3, 500, 80.0)],
+                                  "rank int, item_idx int, score double")
+    out = recommend(_users(spark, [3]), vectors, index, history, trend, k=5, diversity_lambda=1.0,
+                    product_type="T-shirt", fallback_respects_filters=True).collect()
+    # items 1200 and 1300 are odd/even: only T-shirts (odd i) survive, re-ranked densely
+    assert [(r.rank, r.item_idx) for r in sorted(out, key=lambda r: r.rank)] == [(1, 1300), (2, 500)]
+    recs = recommend(_users(spark, [1]), vectors, index, history, trend, k=2, diversity_lambda=1.0)
+    newest = explain(recs, history, index, top_k=3, n_history=1, which="newest").collect()
+    oldest = explain(recs, history, index, top_k=3, n_history=1, which="oldest").collect()
+    assert {r.hist_item_idx for r in newest} == {200}
+    assert {r.hist_item_idx for r in oldest} == {100}
+
+
+def test_lookup_and_string_index(spark, world):
+    from driftrank.operators.ids import apply_index, string_index
+    from driftrank.operators.knn import lookup
+    index, _, _, _ = world
+    ids = spark.createDataFrame([(100,), (7,)], "item_idx int")
+    got = {r.item_idx: r.prod_name for r in lookup(index, ids).collect()}
+    assert got == {100: "Item 1", 7: None}
+    df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",), ("c",)], "v string")
+    labels = string_index(df, "v", "idx")
+    assert {r.v: r.idx for r in labels.collect()} == {"b": 0.0, "c": 1.0, "a": 2.0}
+    new = spark.createDataFrame([("a",), ("zz",)], "v string")
+    assert {r.v: r.idx for r in apply_index(new, labels, "v", "idx").collect()} == {"a": 2.0, "zz": 3.0}
+
+
+def test_sliding_rate_and_approx_buyers(spark):
+    from driftrank.operators.metrics import event_rate
+    from driftrank.operators.trending import distinct_buyers
+    ev = spark.createDataFrame([(0.0, "click"), (30.0, "click"), (70.0, "click")],
+                               "timestamp double, event_type string")
+    rows = {r.window_start: r["count"] for r in event_rate(ev, "1 minute", "30 seconds").collect()}
+    assert rows == {-30: 1, 0: 2, 30: 2, 60: 1}
+    tx = spark.createDataFrame([("u1", "a"), ("u2", "a"), ("u1", "a")], "customer_id string, article_id string")
+    assert distinct_buyers(tx, approx_rsd=0.05).first().score == 2.0
