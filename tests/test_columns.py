@@ -53,3 +53,20 @@ def test_unit_keeps_zero(spark):
 def test_pct_half_even(spark):
     df = spark.createDataFrame([(1, 16), (3, 4), (1, 4)], "p int, t int")
     assert [r[0] for r in df.select(pct(F.col("p"), F.col("t"))).collect()] == [6.2, 75.0, 25.0]
+
+
+@pytest.mark.parametrize("vectors,expected", [
+    ([[1.0, 0.0]], 0.0),                       # one vector
+    ([[1.0, 2.0], [1.0, 2.0]], 0.0),           # identical
+    ([[1.0, 2.0], [2.0, 4.0]], 0.0),           # scaled copy
+    ([[1.0, 0.0], [0.0, 1.0]], 1.0),           # orthogonal
+    ([[1.0, 0.0], [-1.0, 0.0]], 2.0),          # opposite
+    ([[0.0, 0.0], [1.0, 0.0]], 1.0),           # zero vector vs unit
+])
+def test_list_diversity_golden(spark, vectors, expected):
+    from driftrank.operators.recommend import list_diversity
+    vec = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "item_idx int, features array<float>")
+    lists = spark.createDataFrame([(1, i) for i in range(len(vectors))], "user_idx int, item_idx int")
+    got = list_diversity(lists, vec).first().diversity
+    assert got == pytest.approx(expected, abs=1e-9)
+    assert 0.0 <= got <= 2.0
