@@ -2,6 +2,7 @@ import os
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from driftrank import adapters
@@ -34,15 +35,16 @@ def test_archive_replay_is_idempotent(spark):
     assert not os.path.exists(f"{out}/batch_id=1")
 
 
-def test_stream_state_equals_batch_over_microbatches(spark):
+@pytest.mark.parametrize("n_batches", [1, 3, 7])
+def test_stream_state_equals_batch_over_microbatches(spark, n_batches):
     """Events split into time-ordered files, one file per micro-batch: the
     stateful stream ends with the same vectors as the batch closed form."""
     raw = adapters.table(spark, SF, "events")
     src = tempfile.mkdtemp(prefix="events-src-")
     bounds = raw.select(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     lo, hi = bounds.lo, bounds.hi
-    cuts = [lo + (hi - lo) * f for f in (0, 1 / 3, 2 / 3)] + [None]
-    for i in range(3):
+    cuts = [lo + (hi - lo) * i / n_batches for i in range(n_batches)] + [None]
+    for i in range(n_batches):
         part = raw.where(F.col("ts") >= cuts[i])
         if cuts[i + 1] is not None:
             part = part.where(F.col("ts") < cuts[i + 1])
@@ -56,7 +58,7 @@ def test_stream_state_equals_batch_over_microbatches(spark):
     q = (log.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    assert len(q.recentProgress) >= 3
+    assert len(q.recentProgress) >= n_batches
     streamed = {r.user_idx: r.features for r in latest_vectors(spark.read.parquet(out)).collect()}
     ev = adapters.events(spark, SF)
     batch = {r.user_idx: r.features for r in
