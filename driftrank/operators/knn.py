@@ -143,14 +143,16 @@ def _filter_mask(groups: np.ndarray, types: np.ndarray, must_group, must_type,
 
 
 def score_block(qvecs: np.ndarray, ivecs: np.ndarray, item_ids: np.ndarray, k: int,
-                excludes=None, filters=None, groups=None, types=None, metric: str = "cosine"):
+                excludes=None, filters=None, groups=None, types=None, metric: str = "cosine",
+                items_ready: bool = False):
     """Cosine (or dot-product) scores of a query block against an item
     shard, masked, top-k.  Returns (row, item_id, score) arrays.
+    ``items_ready``: ``ivecs`` is already prepared (unit rows for cosine).
     """
     if metric == "dot":
         scores = qvecs @ ivecs.T
     else:
-        scores = _unit_rows(qvecs) @ _unit_rows(ivecs).T
+        scores = _unit_rows(qvecs) @ (ivecs if items_ready else _unit_rows(ivecs)).T
     scores = np.round(scores, SCORE_DIGITS)
     if excludes is not None and len(item_ids):
         order = np.argsort(item_ids, kind="stable")
@@ -214,13 +216,21 @@ def _pack_queries(batches, has_excl: bool, has_filters: bool, query_rows: int):
 
 
 def _score_pairs(batches, k: int, has_excl: bool, has_filters: bool, metric: str = "cosine"):
+    # consecutive pairs usually share an item shard (the join output is
+    # sorted by shard): keep the last prepared shard matrix
+    last_key, last_ivecs = None, None
     for pdf in batches:
         outs = []
         for row in pdf.itertuples(index=False):
             ids = np.asarray(row.ids, dtype=np.int64)
             if len(ids) == 0:
                 continue
-            ivecs = _stack(row.vecs)
+            key = (len(ids), hash(ids.tobytes()))
+            if key != last_key:
+                ivecs = _stack(row.vecs)
+                last_ivecs = ivecs if metric == "dot" else _unit_rows(ivecs)
+                last_key = key
+            ivecs = last_ivecs
             qv = row.qvecs
             qvecs = _stack(qv, ivecs.shape[1])
             excl = row.qexcl if has_excl else None
@@ -229,7 +239,8 @@ def _score_pairs(batches, k: int, has_excl: bool, has_filters: bool, metric: str
                 filters = list(zip(row.must_group, row.must_type, row.not_groups, row.not_types))
                 groups = np.asarray(row.groups, dtype=object)
                 types = np.asarray(row.types, dtype=object)
-            r, items, sc = score_block(qvecs, ivecs, ids, k, excl, filters, groups, types, metric)
+            r, items, sc = score_block(qvecs, ivecs, ids, k, excl, filters, groups, types, metric,
+                                       items_ready=True)
             qids = np.asarray(row.qids, dtype=np.int64)
             outs.append(pd.DataFrame({"qid": qids[r], "item_idx": items.astype(np.int32),
                                       "score": sc}))
