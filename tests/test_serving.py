@@ -173,3 +173,11 @@ def test_sliding_rate_and_approx_buyers(spark):
     assert rows == {-30: 1, 0: 2, 30: 2, 60: 1}
     tx = spark.createDataFrame([("u1", "a"), ("u2", "a"), ("u1", "a")], "customer_id string, article_id string")
     assert distinct_buyers(tx, approx_rsd=0.05).first().score == 2.0
+
+
+def test_known_user_without_survivors_falls_back(spark, world):
+    index, vectors, history, trending = world
+    out = recommend(_users(spark, [1]), vectors, index, history, trending, k=3,
+                    diversity_lambda=1.0, product_group="No such group").collect()
+    assert {(r.source, r.user_type, r.reason) for r in out} == {("trending_now", "known", "no_results")}
+    assert sorted(r.item_idx for r in out) == [1200, 1300]
