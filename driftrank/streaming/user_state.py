@@ -90,6 +90,14 @@ class UserStateProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("user", _STATE)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """Seed a user's vector (e.g. ALS user factors) before the first batch."""
+        if len(initialState) == 0:
+            return
+        v = initialState["features"].iloc[0]
+        if v is not None:
+            self.state.update(([float(x) for x in v], [], []))
+
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True)
         pdf = pdf.sort_values(["timestamp", "event_id"], kind="stable")
@@ -124,17 +132,24 @@ class UserStateProcessor(StatefulProcessor):
 
 
 def user_state_stream(events: DataFrame, item_vectors: DataFrame,
-                      lr: float = S.LEARNING_RATE, window: float = S.DEBOUNCE_SECONDS) -> DataFrame:
+                      lr: float = S.LEARNING_RATE, window: float = S.DEBOUNCE_SECONDS,
+                      initial_vectors: DataFrame | None = None) -> DataFrame:
     """Changelog of vector writes per accepted event: (user_idx, event_id,
     timestamp, action, features, history_size).  Works on streaming and
-    batch inputs alike."""
+    batch inputs alike.  ``initial_vectors`` (user_idx or id, features)
+    seeds users that already have a vector, e.g. from ALS."""
     iv = item_vectors.select("item_idx", F.col("features").alias("item_vector"))
     known = events.where(F.col("event_type").isin(list(S.EVENT_WEIGHTS)))
     j = known.select("user_idx", "item_idx", "event_type", "timestamp", "event_id").join(
         iv, "item_idx", "left")
+    init = None
+    if initial_vectors is not None:
+        key = "id" if "id" in initial_vectors.columns else "user_idx"
+        init = initial_vectors.select(F.col(key).cast("int").alias("user_idx"),
+                                      "features").groupBy("user_idx")
     return j.groupBy("user_idx").transformWithStateInPandas(
         statefulProcessor=UserStateProcessor(lr, window), outputStructType=OUTPUT_SCHEMA,
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="None", initialState=init)
 
 
 def latest_vectors(changelog: DataFrame) -> DataFrame:

@@ -82,3 +82,19 @@ def test_archive_stream_counts_rejects(spark):
     assert len(rows) == 1 and rows[0].customer_id == "7" and str(rows[0].t_dat) == "1970-01-02"
     m = {(r.kind, r.event_type): r["count"] for r in spark.read.parquet(met).collect()}
     assert m == {("archived", "click"): 1, ("rejected", None): 1}
+
+
+def test_stream_with_initial_vectors_equals_batch_with_prior(spark):
+    ev = adapters.events(spark, SF)
+    index = spark.createDataFrame(
+        adapters.item_factors(spark, SF).withColumnRenamed("id", "item_idx").toPandas())
+    prior = spark.createDataFrame([(u, [float((u + j) % 5) - 2.0 for j in range(64)]) for u in range(0, 15, 2)],
+                                  "id int, features array<float>")
+    log = user_state_stream(ev.select("user_idx", "item_idx", "event_type", "timestamp", "event_id"),
+                            index, initial_vectors=prior)
+    streamed = {r.user_idx: r.features for r in latest_vectors(log).collect()}
+    batch = {r.user_idx: r.features for r in
+             ema_vectors(debounce(known_events(ev)), index, user_vectors=prior).collect()}
+    for u in streamed:
+        assert np.allclose(streamed[u], batch[u], atol=1e-5)
+    assert set(streamed) <= set(batch)
