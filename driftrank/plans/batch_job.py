@@ -86,3 +86,19 @@ def run_batch(spark: SparkSession, sf_dir: str, out: str, train_als: bool = True
     top = trending(read_table(spark, p["raw/transactions"]), S.TRENDING_DAYS, S.TRENDING_K)
     write_table(enrich_trending(top, item_map, articles), p["serve/trending"])
     return p
+
+
+def serve_recommendations(spark: SparkSession, paths: dict[str, str], users: DataFrame,
+                          history: DataFrame | None = None, k: int = S.DEFAULT_K,
+                          diversity_lambda: float = S.DEFAULT_LAMBDA, **filters) -> DataFrame:
+    """Answer a request table from the published tables of ``run_batch``:
+    ALS user vectors, the item index and the trending list (plus a purchase
+    history table when there is one)."""
+    from driftrank.operators.recommend import recommend
+    vectors = read_table(spark, paths["serve/user_vectors"])
+    index = read_table(spark, paths["serve/item_index"])
+    trend = read_table(spark, paths["serve/trending"])
+    if history is None:
+        history = spark.createDataFrame([], "user_idx int, item_idx int, last_purchase_at double")
+    return recommend(users, vectors, index, history, trend, k=k,
+                     diversity_lambda=diversity_lambda, **filters)
