@@ -29,9 +29,61 @@ REQUIRED_CONF = {
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors' Python workers.
+
+    The Arrow operators (mapInPandas, applyInPandas, the stateful stream)
+    call functions of this package inside tasks, so the workers must import
+    it.  The package is zipped once per application into the shared
+    checkpoint folder and added with ``addPyFile``, which ships it to every
+    executor, like ``--py-files``.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    # functions and classes of this package travel by value inside the
+    # pickled closures, so workers that never saw the zip (e.g. the
+    # stateful-stream runner) need no import of it
+    import driftrank
+    from pyspark import cloudpickle
+    try:
+        cloudpickle.register_pickle_by_value(driftrank)
+    except ValueError:
+        pass
+    import io
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, root))
+    target = f"{scratch_path(spark, 'pyfiles')}/driftrank.zip"
+    if "://" in target and not target.startswith("file://"):
+        jvm = sc._jvm
+        path = jvm.org.apache.hadoop.fs.Path(target)
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(buf.getvalue()))
+        out.close()
+    else:
+        local = target[len("file://"):] if target.startswith("file://") else target
+        with open(local, "wb") as f:
+            f.write(buf.getvalue())
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "driftrank") -> SparkSession:
     spark = (
@@ -49,8 +101,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    configure(spark)
     ensure_checkpoint_dir(spark)
+    configure(spark)
     return spark
 
 
