@@ -13,26 +13,33 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings every operator assumes.  Time zone is pinned because unix
-# seconds -> date conversions are session-zone dependent.
-REQUIRED_CONF = {
+# What the operators rely on, for keys that the session leaves at Spark's
+# default.  The time zone is pinned because unix seconds -> date conversions
+# depend on it.
+DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
     # packed vector blocks are large rows: bound Arrow batches by bytes
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    for key, value in REQUIRED_CONF.items():
-        spark.conf.set(key, value)
+    """Set each of ``DEFAULT_CONF`` that nobody has set, and ship the package."""
+    given = spark.conf.getAll
+    for key, value in DEFAULT_CONF.items():
+        if key not in given:
+            spark.conf.set(key, value)
     ship_package(spark)
     return spark
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) for a name that only Spark's own readers may be able to open."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+
 _SHIPPED: set = set()
 
 
@@ -70,17 +77,11 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     zf.write(full, os.path.relpath(full, root))
     target = f"{scratch_path(spark, 'pyfiles')}/driftrank.zip"
-    if "://" in target and not target.startswith("file://"):
-        jvm = sc._jvm
-        path = jvm.org.apache.hadoop.fs.Path(target)
-        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(buf.getvalue()))
-        out.close()
-    else:
-        local = target[len("file://"):] if target.startswith("file://") else target
-        with open(local, "wb") as f:
-            f.write(buf.getvalue())
-    sc.addPyFile(target)
+    fs, path = hadoop_path(spark, target)
+    out = fs.create(path, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    sc.addPyFile(path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString())
     _SHIPPED.add(app)
 
 
@@ -94,8 +95,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
@@ -109,12 +108,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Set our own only where the session has none (local tests).
+    Set our own only where a local session has none (tests); on any other
+    master a missing folder is an error, since a folder of this machine
+    would not be seen by the executors.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on master {master}")
         current = tempfile.mkdtemp(prefix="driftrank-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
@@ -127,6 +131,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     on a cluster, since the checkpoint dir is the cluster's shared one)."""
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
+    fs, folder = hadoop_path(spark, path)
+    fs.mkdirs(folder)
     return path
