@@ -36,3 +36,9 @@ def fresh(df: DataFrame, base: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies on the driver; operators take the path as a parameter."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
