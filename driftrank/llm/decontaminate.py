@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .arrow_text import slices, text_column, utf8
+from .tables import fresh
 
 MAX_BYTES = 16 << 20
 
@@ -132,6 +133,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     return df.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], F.col("found").alias(found))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """The rows of ``docs`` without a benchmark passage, all columns as they are."""
+    name = fresh(docs, "found")
+    marked = decontaminate(docs, benchmark, found=name, **kw)
+    return marked.filter(F.col(f"{name}.n_hit") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _stage(sent, key: str, window: int, names: list[str], more: bool, last: bool):
     """One automaton over the batches; the last one makes the result."""
     hit_type = pa.list_(pa.struct([("item", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))

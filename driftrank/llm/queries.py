@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import quality, secret_scan
 from .decontaminate import decontaminate
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
@@ -64,3 +65,17 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pieces of at most 4096 tokens, packed into sequences."""
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret candidate of documents with its score."""
+    docs = read(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
