@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, quality, quality_rules, secret_scan
+from . import chat_format, license_scan, quality, quality_rules, secret_scan
 from .decontaminate import decontaminate
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
 from .tables import read, vocabulary
+from .token_counts import token_counts
 from .url_filter import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,8 +95,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as formatted strings, and what they hold when read back."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     hard = "</s>[INST] ok [/INST]"
-    more = rows.limit(0).unionByName(spark.createDataFrame(
-        [(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"))
+    more = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{hard}'), (-7L, 1L, 'assistant', '{hard}') "
+                     "AS t(conv_id, turn, role, text)")
     return chat_format.digests(chat_format.formatted(rows.unionByName(more)))
 
 
@@ -143,13 +144,15 @@ FROM w GROUP BY conv_id
 
 SQL["op10_quality_rules"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
-w AS (SELECT r, doc_id, lang, t, regexp_extract_all(t, '[^ 	-]+') AS w FROM d),
+w AS (SELECT r, doc_id, lang, t, regexp_extract_all(t, '[^ 	-
+]+') AS w FROM d),
 tri AS (SELECT r, i, w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2] AS g
         FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
 twice AS (SELECT r, g FROM tri GROUP BY r, g HAVING count(*) > 1),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT tri.r, unnest([i, i + 1, i + 2]) AS p FROM tri JOIN twice USING (r, g)) GROUP BY r),
 ln AS (SELECT r, count(*) AS n, count(DISTINCT l) AS k FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM w)
-       WHERE regexp_matches(l, '[^ 	-]') GROUP BY r),
+       WHERE regexp_matches(l, '[^ 	-
+]') GROUP BY r),
 m AS (SELECT w.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
@@ -182,3 +185,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND bad.r IS NULL AS kept
 FROM m LEFT JOIN bad USING (r)
 """
+
+
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of documents, from whole-text encoding."""
+    import public_tokenizers
+    return token_counts(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.fit(docs))
