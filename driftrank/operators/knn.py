@@ -23,11 +23,8 @@ from pyspark.sql import types as T
 from driftrank import schema as S
 from driftrank.functions.columns import unit
 
-SCORE_DIGITS = 6  # scores are compared and ranked at 1e-6 resolution
 DEFAULT_SHARD_ROWS = 32768
 DEFAULT_QUERY_ROWS = 512
-MAX_QUERY_GROUPS = 8
-MAX_SHARDS = 256
 
 FILTER_COLS = ("must_group", "must_type", "not_groups", "not_types")
 
@@ -96,30 +93,34 @@ def _stack(vectors, d: int | None = None) -> np.ndarray:
     return np.asarray(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]))
 
 
-def topk_rows(scores: np.ndarray, item_ids: np.ndarray, k: int):
+def topk_rows(scores: np.ndarray, item_ids: np.ndarray, k: int, exact):
     """Per row: the k best finite scores, ties by smaller item id.
 
-    Returns (row, col) index arrays in rank order.  Finds the k-th value with
-    ``partition``, keeps everything at or above it (all ties), then orders
-    those few by (-score, id) -- a bare argpartition would cut ties
-    arbitrarily.
+    Returns (row, col, score) arrays in rank order.  ``scores`` may carry the
+    rounding of a blocked matrix product, which can differ between equal
+    vectors; whatever comes within that error of the k-th value is scored
+    again by ``exact(rows, cols)``, whose result depends on the two vectors
+    alone, and ranked by that.
     """
     nq, ni = scores.shape
     if nq == 0 or ni == 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, np.zeros(0)
     if ni > k:
         kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        keep = (scores >= kth[:, None]) & np.isfinite(scores)
+        largest = np.where(np.isfinite(scores), np.abs(scores), 0.0).max(axis=1)
+        keep = (scores >= (kth - 1e-12 * largest)[:, None]) & np.isfinite(scores)
     else:
         keep = np.isfinite(scores)
     rows, cols = np.nonzero(keep)
-    order = np.lexsort((item_ids[cols], -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
+    value = exact(rows, cols)
+    order = np.lexsort((item_ids[cols], -value, rows))
+    rows, cols, value = rows[order], cols[order], value[order]
     # position inside each row; cut at k
     starts = np.searchsorted(rows, rows, side="left")
     pos = np.arange(len(rows)) - starts
     sel = pos < k
-    return rows[sel], cols[sel]
+    return rows[sel], cols[sel], value[sel]
 
 
 def _as_tuple(v) -> tuple:
@@ -149,11 +150,10 @@ def score_block(qvecs: np.ndarray, ivecs: np.ndarray, item_ids: np.ndarray, k: i
     shard, masked, top-k.  Returns (row, item_id, score) arrays.
     ``items_ready``: ``ivecs`` is already prepared (unit rows for cosine).
     """
-    if metric == "dot":
-        scores = qvecs @ ivecs.T
-    else:
-        scores = _unit_rows(qvecs) @ (ivecs if items_ready else _unit_rows(ivecs)).T
-    scores = np.round(scores, SCORE_DIGITS)
+    if metric != "dot":
+        qvecs = _unit_rows(qvecs)
+        ivecs = ivecs if items_ready else _unit_rows(ivecs)
+    scores = qvecs @ ivecs.T
     if excludes is not None and len(item_ids):
         order = np.argsort(item_ids, kind="stable")
         sorted_ids = item_ids[order]
@@ -178,8 +178,9 @@ def score_block(qvecs: np.ndarray, ivecs: np.ndarray, item_ids: np.ndarray, k: i
             if key not in cache:
                 cache[key] = _filter_mask(groups, types, *key)
             scores[r, ~cache[key]] = -np.inf
-    rows, cols = topk_rows(scores, item_ids, k)
-    return rows, item_ids[cols], scores[rows, cols]
+    rows, cols, value = topk_rows(scores, item_ids, k,
+                                  lambda r, c: np.einsum("ij,ij->i", qvecs[r], ivecs[c]))
+    return rows, item_ids[cols], value
 
 
 # --------------------------------------------------------------------------
@@ -256,7 +257,6 @@ def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx"
         vector: str = "features", exclude: str | None = None,
         item_filter: Column | None = None, per_query_filters: bool = False,
         shard_rows: int = DEFAULT_SHARD_ROWS, query_rows: int = DEFAULT_QUERY_ROWS,
-        max_groups: int = MAX_QUERY_GROUPS, max_shards: int = MAX_SHARDS,
         metric: str = "cosine") -> DataFrame:
     """V2: exact top-k items by cosine (``metric='dot'``: dot product) for
     every query row.
@@ -268,24 +268,20 @@ def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx"
     Filters and exclusions act before the cut, so k results survive when k
     items qualify.  Output: (query_id, rank, item_idx, score).
 
-    Work split: S = ceil(items / shard_rows) item shards, at most
-    ``max_shards`` (shards grow beyond ``shard_rows`` past that, so a query
-    block is never copied more than ``max_shards`` times); query blocks are
-    spread over G = ceil(2 x cores / S) groups (at most ``max_groups``) and
-    each shard is replicated once per group, so the (block, shard) pairs
-    land in S x G join partitions -- enough tasks even when the catalog is
-    one shard, without ever pairing single queries with single items.
-    Exact search costs queries x items x dim; for catalogs of tens of
-    millions use ``knn_lsh``.
+    Work split: S = ceil(items / shard_rows) item shards of bounded size;
+    query blocks are spread over G = ceil(2 x cores / S) groups and each
+    shard is replicated once per group, so the (block, shard) pairs land in
+    S x G join partitions -- enough tasks even when the catalog is one
+    shard, without ever pairing single queries with single items.  Exact
+    search costs queries x items x dim and copies each query block once per
+    shard; for catalogs of tens of millions use ``knn_lsh``.
     """
     items = index if item_filter is None else index.where(item_filter)
     items = items.where(F.col("features").isNotNull())
     n_items = items.agg(F.count(F.lit(1))).scalar()
-    n_shards = F.least(F.lit(max_shards),
-                       F.greatest(F.lit(1), F.ceil(n_items / F.lit(shard_rows)).cast("int")))
+    n_shards = F.greatest(F.lit(1), F.ceil(n_items / F.lit(shard_rows)).cast("int"))
     cores = max(1, index.sparkSession.sparkContext.defaultParallelism)
-    n_groups = F.least(F.lit(max_groups), F.greatest(
-        F.lit(1), F.ceil(F.lit(2 * cores) / n_shards).cast("int")))
+    n_groups = F.greatest(F.lit(1), F.ceil(F.lit(2 * cores) / n_shards).cast("int"))
 
     item_cols = [F.collect_list("item_idx").alias("ids"),
                  F.collect_list("features").alias("vecs")]

@@ -16,18 +16,15 @@ def train(interactions: DataFrame, seed: int = 42, user_col: str = "user_idx",
     checkpoint dir cuts the iteration lineage (checkpointInterval)."""
     params = {**S.ALS_PARAMS, **overrides}
     if "numUserBlocks" not in params:
-        # factor blocks follow the cluster: a few per core pair, capped
-        blocks = max(2, min(200, interactions.sparkSession.sparkContext.defaultParallelism // 2))
+        # factor blocks follow the shuffle width, which grows with the data, not with the cores alone
+        spark = interactions.sparkSession
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        blocks = max(2, width, spark.sparkContext.defaultParallelism // 2)
         params.update(numUserBlocks=blocks, numItemBlocks=blocks)
     als = ALS(userCol=user_col, itemCol=item_col, ratingCol=rating_col, seed=seed, **params)
     return als.fit(interactions)
 
 
-def factors(model: ALSModel) -> tuple[DataFrame, DataFrame]:
-    """(user_factors, item_factors) as (id int, features array<float>)."""
-    return model.userFactors, model.itemFactors
-
-
 def batch_recommend(model: ALSModel, n: int, user_col: str = "user_idx") -> DataFrame:
     """ALS3: top-n items for every user by dot product, in the shape of
     ``recommendForAllUsers`` (user, recommendations array<item_idx, rating>).

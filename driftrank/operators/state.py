@@ -30,14 +30,18 @@ def _next_accept(ts: np.ndarray, window: float) -> np.ndarray:
     nxt = np.searchsorted(ts, ts + window, side="left")
     idx = np.arange(n)
     nxt = np.maximum(nxt, idx + 1)
-    for _ in range(4):  # float rounding of ts + window: settle both ways
+    # rounding of ts + window can put the start off by whole runs of equal
+    # times: move run by run until the subtraction test holds on both sides
+    while True:
         c = np.minimum(nxt, n - 1)
         fwd = (nxt < n) & (ts[c] - ts < window)
         prev = np.maximum(nxt - 1, 0)
         back = (nxt - 1 > idx) & (ts[prev] - ts >= window)
         if not (fwd.any() or back.any()):
             break
-        nxt = np.where(fwd, nxt + 1, np.where(back, nxt - 1, nxt))
+        after = np.searchsorted(ts, ts[c], side="right")
+        before = np.maximum(np.searchsorted(ts, ts[prev], side="left"), idx + 1)
+        nxt = np.where(fwd, after, np.where(back, before, nxt))
     return nxt
 
 

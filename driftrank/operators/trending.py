@@ -58,9 +58,11 @@ def trending(tx: DataFrame, days: int = S.TRENDING_DAYS, k: int = S.TRENDING_K,
 
 def enrich_trending(top: DataFrame, item_map: DataFrame, articles: DataFrame,
                     flat: bool = True) -> DataFrame:
-    """Attach item_idx (inner) and article payload (left), re-sorted by
-    rank.  ``top`` has at most k rows, so it is broadcast (proven bound)."""
+    """Attach item_idx (inner) and article payload (left), ranked anew
+    without gaps where an item has no index.  ``top`` has at most k rows, so
+    it is broadcast (proven bound) and its mapped rows fit one window."""
     mapped = item_map.select("article_id", "item_idx").join(F.broadcast(top), "article_id")
+    mapped = mapped.withColumn("rank", F.row_number().over(Window.orderBy("rank", "article_id")))
     meta = articles.select("article_id", "prod_name", "product_type_name",
                            "product_group_name", "graphical_appearance_name")
     joined = mapped.join(meta, "article_id", "left")

@@ -3,7 +3,6 @@ purchase intake events, similar-items outcomes and the model round trip."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftrank import schema as S
@@ -13,41 +12,42 @@ from driftrank.plans.sql_views import cos_sql, with_views
 from driftrank.plans.tables import shared_tables
 
 K = S.DEFAULT_K
-CART_ITEMS = 5  # explicit exclusions: the items of the user's latest add-to-cart events
 
 _FILTERED_SQL = KNN_SQL + TREND_SQL + [
-    ("cart", "SELECT user_idx, item_idx FROM (SELECT user_idx, item_idx, row_number() OVER "
-             "(PARTITION BY user_idx ORDER BY \"timestamp\" DESC, event_id DESC) AS rn FROM ev_l "
-             f"WHERE event_type = 'add_to_cart') WHERE rn <= {CART_ITEMS}"),
+    ("cart", "SELECT DISTINCT user_idx, item_idx FROM ev_l WHERE event_type = 'add_to_cart' "
+             "AND item_idx IS NOT NULL"),
     ("fiv", "SELECT item_idx, v FROM index_l WHERE product_group_name = 'ECONOMY' "
             "AND coalesce(product_type_name, '') NOT IN ('Brand#1')"),
-    ("fkp", "SELECT q.user_idx, i.item_idx, round(" + cos_sql("q.u", "i.v") + ", 6) AS score "
+    ("fkp", "SELECT q.user_idx, i.item_idx, " + cos_sql("q.u", "i.v") + " AS score "
             "FROM uq q JOIN fiv i ON true WHERE NOT EXISTS (SELECT 1 FROM hist h "
             "WHERE h.user_idx = q.user_idx AND h.item_idx = i.item_idx) AND NOT EXISTS "
             "(SELECT 1 FROM cart c WHERE c.user_idx = q.user_idx AND c.item_idx = i.item_idx)"),
     ("fkr", "SELECT user_idx, CAST(row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) "
             "AS INTEGER) AS rank, item_idx, score FROM fkp"),
-    ("personal", "SELECT user_idx, rank, item_idx, score, 'personalized' AS source, 'known' AS user_type, "
+    ("personal", "SELECT user_idx, rank, item_idx, round(score, 6) AS score, 'personalized' AS source, 'known' AS user_type, "
                  f"CAST(NULL AS VARCHAR) AS reason FROM fkr WHERE rank <= {K}"),
 ] + RECO_SQL[len(KNN_SQL) + len(TREND_SQL) + 1:]
 
 
+def _carts(t):
+    """Explicit exclusions: per user all distinct carted items (bounded by the catalog)."""
+    return (t.events.where((F.col("event_type") == "add_to_cart") & F.col("item_idx").isNotNull())
+            .groupBy("user_idx").agg(F.collect_set(F.col("item_idx").cast("int")).alias("cart")))
+
+
 @register("recommend_filtered", sql=with_views("ev_l", "index_l", "tx_l", "item_map_l",
                                                extra=_FILTERED_SQL) + "SELECT * FROM reco")
 def q_recommend_filtered(spark, d):
     """RC1 + F2 + F3: only ECONOMY items, Brand#1 excluded, and per user the
-    items of the latest add-to-cart events excluded besides history; the
-    filters act before the top-10 cut; fallback ignores them."""
+    items of all add-to-cart events excluded besides history; the filters
+    act before the top-10 cut; fallback ignores them."""
     from driftrank.operators.recommend import recommend
     t = shared_tables(spark, d)
-    w = Window.partitionBy("user_idx").orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
-    cart = (t.events.where(F.col("event_type") == "add_to_cart")
-            .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= CART_ITEMS)
-            .groupBy("user_idx").agg(F.collect_list(F.col("item_idx").cast("int")).alias("cart")))
+    cart = _carts(t)
     users = t.users.join(cart, "user_idx", "left")
     return recommend(users, t.user_vectors, t.item_index, t.history, t.trending, k=K,
                      diversity_lambda=1.0, product_group="ECONOMY", exclude_types=["Brand#1"],
-                     exclude_col="cart")
+                     exclude_col="cart").withColumn("score", F.round("score", 6))
 
 
 @register("filter_usage", sql=with_views("ev_l", "index_l", extra=_FILTERED_SQL[:len(KNN_SQL)] + [
@@ -68,10 +68,7 @@ def q_filter_usage(spark, d):
     explicitly, and requests per filter kind (counted, as the service did,
     only for users that reach the vector search)."""
     t = shared_tables(spark, d)
-    w = Window.partitionBy("user_idx").orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
-    cart = (t.events.where(F.col("event_type") == "add_to_cart")
-            .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= CART_ITEMS)
-            .groupBy("user_idx").agg(F.collect_list(F.col("item_idx").cast("int")).alias("cart")))
+    cart = _carts(t)
     searched = t.users.join(t.user_vectors.select("user_idx"), "user_idx").join(cart, "user_idx", "left")
     hist = t.history.groupBy("user_idx").agg(F.count(F.lit(1)).alias("_h"))
     s = searched.join(hist, "user_idx", "left").agg(

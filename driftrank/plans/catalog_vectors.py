@@ -64,7 +64,7 @@ STATE_SQL = _debounce_sql("d_", ["user_idx", "item_idx", "event_type"], S.DEBOUN
 ]
 
 KNN_SQL = STATE_SQL + [
-    ("kp", "SELECT q.user_idx, i.item_idx, round(" + cos_sql("q.u", "i.v") + ", 6) AS score "
+    ("kp", "SELECT q.user_idx, i.item_idx, " + cos_sql("q.u", "i.v") + " AS score "
            "FROM uq q JOIN iv i ON true WHERE NOT EXISTS (SELECT 1 FROM hist h "
            "WHERE h.user_idx = q.user_idx AND h.item_idx = i.item_idx)"),
     ("kr", "SELECT user_idx, CAST(row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) "
@@ -82,7 +82,7 @@ TREND_SQL = [
 ]
 
 RECO_SQL = KNN_SQL + TREND_SQL + [
-    ("personal", "SELECT user_idx, rank, item_idx, score, 'personalized' AS source, 'known' AS user_type, "
+    ("personal", "SELECT user_idx, rank, item_idx, round(score, 6) AS score, 'personalized' AS source, 'known' AS user_type, "
                  f"CAST(NULL AS VARCHAR) AS reason FROM kr WHERE rank <= {K}"),
     ("req", "SELECT DISTINCT CAST(c_custkey AS INTEGER) AS user_idx FROM customer"),
     ("rest", "SELECT r.user_idx, CASE WHEN q.user_idx IS NOT NULL THEN 'known' ELSE 'cold_start' END "
@@ -99,6 +99,11 @@ def _t(spark, d) -> Tables:
     return shared_tables(spark, d)
 
 
+def _shown(df):
+    """Scores rounded for display; they rank unrounded."""
+    return df.withColumn("score", F.round("score", 6))
+
+
 # --------------------------------------------------------------- index
 
 _INDEX_OUT = ("SELECT item_idx, article_id, prod_name, product_type_name, product_group_name, "
@@ -145,27 +150,27 @@ def q_filter_catalog(spark, d):
 
 @register("similar_items", sql=with_views("index_l", extra=[
     ("iv", "SELECT item_idx, v FROM index_l"),
-    ("sp", "SELECT a.item_idx AS source_item_idx, b.item_idx, round(" + cos_sql("a.v", "b.v") +
-           ", 6) AS score FROM iv a JOIN iv b ON a.item_idx <> b.item_idx"),
+    ("sp", "SELECT a.item_idx AS source_item_idx, b.item_idx, " + cos_sql("a.v", "b.v") +
+           " AS score FROM iv a JOIN iv b ON a.item_idx <> b.item_idx"),
     ("sr", "SELECT source_item_idx, CAST(row_number() OVER (PARTITION BY source_item_idx "
            "ORDER BY score DESC, item_idx) AS INTEGER) AS rank, item_idx, score FROM sp"),
-]) + f"SELECT * FROM sr WHERE rank <= {K}")
+]) + f"SELECT source_item_idx, rank, item_idx, round(score, 6) AS score FROM sr WHERE rank <= {K}")
 def q_similar_items(spark, d):
     """V3: 10 nearest items of every item in the index, itself excluded."""
     from driftrank.operators.knn import similar_items
     t = _t(spark, d)
-    return similar_items(t.item_index.select("item_idx"), t.item_index, K)
+    return _shown(similar_items(t.item_index.select("item_idx"), t.item_index, K))
 
 
 @register("similar_items_filtered", sql=with_views("index_l", extra=[
     ("iv", "SELECT item_idx, v, product_group_name, product_type_name FROM index_l"),
-    ("sp", "SELECT a.item_idx AS source_item_idx, b.item_idx, round(" + cos_sql("a.v", "b.v") +
-           ", 6) AS score FROM iv a JOIN iv b ON a.item_idx <> b.item_idx "
+    ("sp", "SELECT a.item_idx AS source_item_idx, b.item_idx, " + cos_sql("a.v", "b.v") +
+           " AS score FROM iv a JOIN iv b ON a.item_idx <> b.item_idx "
            "AND b.product_group_name = a.product_group_name "
            "AND b.product_type_name <> a.product_type_name"),
     ("sr", "SELECT source_item_idx, CAST(row_number() OVER (PARTITION BY source_item_idx "
            "ORDER BY score DESC, item_idx) AS INTEGER) AS rank, item_idx, score FROM sp"),
-]) + "SELECT * FROM sr WHERE rank <= 5")
+]) + "SELECT source_item_idx, rank, item_idx, round(score, 6) AS score FROM sr WHERE rank <= 5")
 def q_similar_items_filtered(spark, d):
     """V3 with per-request filters: same group as the source, other type."""
     from driftrank.operators.knn import similar_items
@@ -175,7 +180,7 @@ def q_similar_items_filtered(spark, d):
         F.lit(None).cast("string").alias("must_type"),
         F.array().cast("array<string>").alias("not_groups"),
         F.array("product_type_name").alias("not_types"))
-    return similar_items(src, t.item_index, 5, per_query_filters=True)
+    return _shown(similar_items(src, t.item_index, 5, per_query_filters=True))
 
 
 @register("similar_items_status", sql=with_views("item_map_l", "index_l") + (
@@ -294,14 +299,15 @@ def q_active_users(spark, d):
 
 # ------------------------------------------------------------- search
 
-@register("knn_users", sql=with_views("ev_l", "index_l", extra=KNN_SQL) + "SELECT * FROM knn")
+@register("knn_users", sql=with_views("ev_l", "index_l", extra=KNN_SQL)
+          + "SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM knn")
 def q_knn_users(spark, d):
     """V2: exact top-10 items per user vector, purchase history excluded."""
     from driftrank.operators.knn import knn
     from driftrank.operators.recommend import history_arrays
     t = _t(spark, d)
     q = t.user_vectors.join(history_arrays(t.history), "user_idx", "left")
-    return knn(q, t.item_index, K, query_id="user_idx", exclude="history")
+    return _shown(knn(q, t.item_index, K, query_id="user_idx", exclude="history"))
 
 
 @register("knn_lsh")
@@ -349,8 +355,8 @@ def q_list_diversity(spark, d):
 def _reco(spark, d, lam=1.0):
     from driftrank.operators.recommend import recommend
     t = _t(spark, d)
-    return recommend(t.users, t.user_vectors, t.item_index, t.history, t.trending,
-                     k=K, diversity_lambda=lam)
+    return _shown(recommend(t.users, t.user_vectors, t.item_index, t.history, t.trending,
+                            k=K, diversity_lambda=lam))
 
 
 @register("recommend_topk", sql=with_views("ev_l", "index_l", "tx_l", "item_map_l", extra=RECO_SQL)
@@ -395,7 +401,7 @@ def _mmr_sql(cands: str, lam: float, k: int) -> list[tuple[str, str]]:
 
 _MMR_RECO_SQL = KNN_SQL + TREND_SQL + [("k20", "SELECT * FROM kr WHERE rank <= 20")] + _mmr_sql(
     "k20", S.DEFAULT_LAMBDA, K) + [
-    ("personal", "SELECT user_idx, rank, item_idx, score, 'personalized' AS source, 'known' AS user_type, "
+    ("personal", "SELECT user_idx, rank, item_idx, round(score, 6) AS score, 'personalized' AS source, 'known' AS user_type, "
                  "CAST(NULL AS VARCHAR) AS reason FROM mpick"),
 ] + RECO_SQL[len(KNN_SQL) + len(TREND_SQL) + 1:]
 
@@ -408,19 +414,19 @@ def q_recommend_mmr(spark, d):
 
 
 @register("mmr_rerank", sql=with_views("ev_l", "index_l", extra=STATE_SQL + [
-    ("kp0", "SELECT q.user_idx, i.item_idx, round(" + cos_sql("q.u", "i.v") + ", 6) AS score "
+    ("kp0", "SELECT q.user_idx, i.item_idx, " + cos_sql("q.u", "i.v") + " AS score "
             "FROM uq q JOIN iv i ON true"),
     ("k0", "SELECT user_idx, CAST(row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) "
            "AS INTEGER) AS rank, item_idx, score FROM kp0"),
     ("k20", "SELECT * FROM k0 WHERE rank <= 20"),
-] + _mmr_sql("k20", 0.5, K)) + "SELECT * FROM mpick")
+] + _mmr_sql("k20", 0.5, K)) + "SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM mpick")
 def q_mmr_rerank(spark, d):
     """M1: MMR re-rank (lambda 0.5) of each user's 20 nearest items."""
     from driftrank.operators.knn import knn
     from driftrank.operators.mmr import mmr_rerank
     t = _t(spark, d)
     cands = knn(t.user_vectors, t.item_index, 20, query_id="user_idx")
-    return mmr_rerank(cands, t.item_index, 0.5, K)
+    return _shown(mmr_rerank(cands, t.item_index, 0.5, K))
 
 
 @register("recs_by_source", sql=with_views("ev_l", "index_l", "tx_l", "item_map_l", extra=RECO_SQL) + (

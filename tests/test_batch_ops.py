@@ -59,3 +59,16 @@ def test_check_args():
     assert S.fetch_limit(5, 1.0) == 5
     assert S.fetch_limit(10, 0.8) == 20
     assert S.fetch_limit(50, 0.5) == 50
+
+
+def test_trending_ranks_have_no_gaps_when_an_item_has_no_index(spark):
+    from driftrank.operators.recommend import fallback
+    from driftrank.operators.trending import enrich_trending
+    top = spark.createDataFrame([(f"a{i}", 10.0 - i, i + 1) for i in range(4)], "article_id string, score double, rank int")
+    item_map = spark.createDataFrame([("a0", 7), ("a2", 8), ("a3", 9)], "article_id string, item_idx int")
+    articles = spark.createDataFrame([], "article_id string, prod_name string, product_type_name string, "
+                                         "product_group_name string, graphical_appearance_name string")
+    out = enrich_trending(top, item_map, articles)
+    assert [(r["rank"], r["item_idx"]) for r in out.collect()] == [(1, 7), (2, 8), (3, 9)]
+    users = spark.createDataFrame([(1,)], "user_idx int")
+    assert [r["item_idx"] for r in fallback(users, out, 2).orderBy("rank").collect()] == [7, 8]

@@ -1,49 +1,43 @@
+"""MMR against an independent greedy loop over generated lists."""
 import numpy as np
+import pytest
 
 from driftrank.operators.mmr import mmr_select
 
 
-def mmr(scores, vectors, lam, k):
-    if len(scores) == 0:
-        return []
-    return mmr_select(np.asarray([scores]), np.asarray([vectors], dtype=np.float32), lam, k)[0].tolist()
-
-
-def test_empty():
-    assert mmr([], [], 0.5, 5) == []
-
-
-def test_returns_k_distinct():
-    out = mmr([.9, .8, .7, .6, .5], [(1, 0), (.9, .1), (.8, .2), (.7, .3), (.6, .4)], .5, 3)
-    assert len(out) == 3 and len(set(out)) == 3
-
-
-def test_k_larger_than_n():
-    assert set(mmr([.9, .8, .7], [(1, 0), (.9, .1), (.8, .2)], .5, 10)) == {0, 1, 2}
-
-
-def test_single():
-    assert mmr([.9], [(1, 2, 3)], .5, 1) == [0]
-
-
-def test_lambda_one_is_relevance_order():
-    vecs = np.eye(5).tolist()
-    assert mmr([.5, .9, .7, .3, .8], vecs, 1.0, 5) == [1, 4, 2, 0, 3]
-
-
-def test_lambda_zero_prefers_diverse():
-    out = mmr([.9, .85, .8], [(1, 0), (.99, .1), (0, 1)], 0.0, 3)
-    assert out[0] == 0 and out[1] == 2
-
-
-def test_balanced_first_pick_is_best():
-    assert mmr([.9, .85, .3], [(1, 0), (.99, .1), (0, 1)], .5, 3)[0] == 0
-
-
-def test_equal_scores():
-    out = mmr([1, 1, 1], [(1, 0), (1, 0), (0, 1)], .5, 3)
-    if out[0] in (0, 1):
-        assert out[1] == 2
+def greedy(scores, vectors, lam, k):
+    """One list, one pick at a time, in plain Python."""
+    lo, hi = min(scores), max(scores)
+    rel = [(s - lo) / (hi - lo) if hi > lo else 1.0 for s in scores]
+
+    def cos(a, b):
+        na, nb = np.sqrt(a @ a), np.sqrt(b @ b)
+        return float(a @ b / (na * nb)) if na and nb else 0.0
+    picked, sim = [], [0.0] * len(scores)
+    while len(picked) < min(k, len(scores)):
+        best = max((i for i in range(len(scores)) if i not in picked), key=lambda i: (lam * rel[i] - (1 - lam) * sim[i], -i))
+        picked.append(best)
+        sim = [max(s, cos(v, vectors[best])) for s, v in zip(sim, vectors)]
+    return picked
+
+
+@pytest.mark.parametrize("lam", [0.0, 0.25, 0.6, 0.8, 1.0])
+@pytest.mark.parametrize("n, k", [(1, 1), (1, 4), (2, 5), (9, 4), (30, 10)])
+def test_equals_greedy_loop(lam, n, k):
+    rng = np.random.default_rng(n * 100 + k)
+    for _ in range(5):
+        scores = np.sort(rng.random((1, n)))[:, ::-1]
+        vectors = rng.normal(size=(1, n, 3))
+        assert mmr_select(scores, vectors, lam, k)[0].tolist() == greedy(scores[0].tolist(), vectors[0], lam, k)
+
+
+def test_zero_vectors_and_equal_scores():
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(1, 7, 2))
+    vectors[0, 2] = vectors[0, 5] = 0.0
+    scores = np.full((1, 7), 0.37)
+    for lam in (0.1, 0.9):
+        assert mmr_select(scores, vectors, lam, 7)[0].tolist() == greedy([0.37] * 7, vectors[0], lam, 7)
 
 
 def test_batch_equals_single():

@@ -27,6 +27,22 @@ def test_debounce_gaps_and_maximality(ts, window):
             assert t - last < window
 
 
+# epoch seconds with runs of equal times at the edge of short windows
+edges = st.lists(st.integers(min_value=0, max_value=14), min_size=1, max_size=40).map(
+    lambda xs: 1_700_000_000 + np.sort(np.asarray(xs, dtype=float)) / 10)
+
+
+@given(edges, st.sampled_from([0.1, 0.3, 0.7]))
+@settings(max_examples=400, deadline=None)
+def test_debounce_equals_the_plain_fold(ts, window):
+    last, want = None, []
+    for t in ts.tolist():
+        ok = last is None or t - last >= window
+        want.append(ok)
+        last = t if ok else last
+    assert debounce_fold(ts, window).tolist() == want
+
+
 @given(times, st.integers(min_value=1, max_value=59))
 @settings(max_examples=200, deadline=None)
 def test_debounce_split_composes(ts, cut):
@@ -66,7 +82,7 @@ def test_topk_rows_matches_sort(ni, k, seed):
     rng = np.random.default_rng(seed)
     scores = np.round(rng.random((4, ni)), 1)  # many ties
     ids = rng.permutation(ni) + 100
-    rows, cols = topk_rows(scores, ids, k)
+    rows, cols, _ = topk_rows(scores, ids, k, lambda r, c: scores[r, c])
     for r in range(4):
         want = sorted(range(ni), key=lambda c: (-scores[r, c], ids[c]))[:k]
         assert cols[rows == r].tolist() == want
