@@ -5,7 +5,7 @@
 | customers    | customer            | customer_id = string(c_custkey)              |
 | articles     | part                | padded p_partkey, name, type -> group, brand -> type, size |
 | transactions | lineitem x orders   | date of order, customer, padded part, price  |
-| events       | events              | user_idx = user_id, item_idx = props.k       |
+| events       | events              | user_id, padded props.k; indices from the maps |
 | item_factors | embeddings          | id = vec_id, features = embedding            |
 
 The event type map (view -> add_to_cart) is a fixture choice so that every
@@ -64,24 +64,37 @@ def _fixture_type(col: str = "event_type"):
     return expr
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, user_map: DataFrame | None = None,
+           item_map: DataFrame | None = None) -> DataFrame:
     """Event rows in the stream's 7-field shape plus ``event_id`` for order."""
-    e = table(spark, sf_dir, "events")
-    return events_from_raw(e)
+    return events_from_raw(table(spark, sf_dir, "events"), user_map, item_map)
 
 
-def events_from_raw(e: DataFrame) -> DataFrame:
+def events_from_raw(e: DataFrame, user_map: DataFrame | None = None,
+                    item_map: DataFrame | None = None) -> DataFrame:
+    """Events with the indices of the id maps; null for ids that a map lacks.
+
+    Without maps the ids in the events count as indices themselves (tests of
+    the operators on event tables of their own).
+    """
     item = F.get_json_object("props", "$.k").try_cast("int")
-    return e.select(
+    ev = e.select(
         F.col("event_id").cast("long").alias("event_id"),
         F.col("user_id").cast("string").alias("user_id"),
-        F.col("user_id").cast("int").alias("user_idx"),
         pad_id(item).alias("item_id"),
-        item.alias("item_idx"),
+        *([] if user_map is not None else [F.col("user_id").cast("int").alias("user_idx")]),
+        *([] if item_map is not None else [item.alias("item_idx")]),
         _fixture_type().alias("event_type"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"),
         F.lit(1).cast("int").alias("quantity"),
     )
+    if user_map is not None:
+        ev = ev.join(user_map.select(F.col("customer_id").alias("user_id"),
+                                     F.col("user_idx").cast("int").alias("user_idx")), "user_id", "left")
+    if item_map is not None:
+        ev = ev.join(item_map.select(F.col("article_id").alias("item_id"),
+                                     F.col("item_idx").cast("int").alias("item_idx")), "item_id", "left")
+    return ev.select("event_id", "user_id", "user_idx", "item_id", "item_idx", "event_type", "timestamp", "quantity")
 
 
 def item_factors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def q_recommend_filtered(spark, d):
 
 @register("filter_usage", sql=with_views("ev_l", "index_l", extra=_FILTERED_SQL[:len(KNN_SQL)] + [
     _FILTERED_SQL[len(KNN_SQL) + len(TREND_SQL)],
-    ("req", "SELECT DISTINCT CAST(c_custkey AS INTEGER) AS user_idx FROM customer"),
+    ("req", "SELECT user_idx FROM user_map_l"),
     ("srch", "SELECT r.user_idx FROM req r JOIN uq q ON r.user_idx = q.user_idx"),
     ("cnt", "SELECT (SELECT count(*) FROM srch) AS searched, "
             "(SELECT count(*) FROM srch s JOIN hist h ON s.user_idx = h.user_idx) AS hist_items, "

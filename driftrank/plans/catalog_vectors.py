@@ -23,14 +23,16 @@ def _debounce_sql(prefix: str, keys: list[str], seconds: int) -> list[tuple[str,
     return [
         (f"{prefix}kev", "SELECT * FROM ev_l WHERE event_type IN ('purchase', 'add_to_cart', 'click')"),
         (f"{prefix}seq", f"SELECT *, row_number() OVER (PARTITION BY {kk} ORDER BY \"timestamp\", event_id) AS rn "
-                         f"FROM {prefix}kev"),
+                         f"FROM {prefix}kev WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in keys)),
         (f"{prefix}walk(event_id, {kk}, rn, anchor, ok)",
          f"SELECT event_id, {kk}, rn, \"timestamp\", true FROM {prefix}seq WHERE rn = 1 UNION ALL "
          f"SELECT s.event_id, {', '.join('s.' + k for k in keys)}, s.rn, "
          f"CASE WHEN s.\"timestamp\" - w.anchor >= {seconds} THEN s.\"timestamp\" ELSE w.anchor END, "
          f"s.\"timestamp\" - w.anchor >= {seconds} FROM {prefix}walk w JOIN {prefix}seq s "
          f"ON {on} AND s.rn = w.rn + 1"),
-        (f"{prefix}flag", f"SELECT q.*, w.ok FROM {prefix}seq q JOIN {prefix}walk w ON q.event_id = w.event_id"),
+        (f"{prefix}flag", f"SELECT q.*, w.ok FROM {prefix}seq q JOIN {prefix}walk w ON q.event_id = w.event_id "
+                          f"UNION ALL SELECT *, 1, true FROM {prefix}kev WHERE "
+                          + " OR ".join(f"{k} IS NULL" for k in keys)),
     ]
 
 
@@ -84,7 +86,7 @@ TREND_SQL = [
 RECO_SQL = KNN_SQL + TREND_SQL + [
     ("personal", "SELECT user_idx, rank, item_idx, round(score, 6) AS score, 'personalized' AS source, 'known' AS user_type, "
                  f"CAST(NULL AS VARCHAR) AS reason FROM kr WHERE rank <= {K}"),
-    ("req", "SELECT DISTINCT CAST(c_custkey AS INTEGER) AS user_idx FROM customer"),
+    ("req", "SELECT user_idx FROM user_map_l"),
     ("rest", "SELECT r.user_idx, CASE WHEN q.user_idx IS NOT NULL THEN 'known' ELSE 'cold_start' END "
              "AS user_type FROM req r LEFT JOIN uq q ON r.user_idx = q.user_idx "
              "WHERE r.user_idx NOT IN (SELECT user_idx FROM personal)"),
@@ -440,7 +442,7 @@ def q_recs_by_source(spark, d):
 
 
 @register("exclusion_counts", sql=with_views("ev_l", "index_l", extra=STATE_SQL + [
-    ("req", "SELECT DISTINCT CAST(c_custkey AS INTEGER) AS user_idx FROM customer"),
+    ("req", "SELECT user_idx FROM user_map_l"),
 ]) + ("SELECT count(h.item_idx) AS excluded_history, 0 AS excluded_explicit, "
       "count(DISTINCT q.user_idx) AS searched_users FROM req r JOIN uq q ON r.user_idx = q.user_idx "
       "LEFT JOIN hist h ON h.user_idx = q.user_idx"))

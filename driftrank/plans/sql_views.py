@@ -20,11 +20,14 @@ VIEWS = {
         "FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
     ),
     "ev_l": (
-        "SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(user_id AS INTEGER) AS user_idx, "
+        "SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, um.user_idx, "
         "lpad(CAST(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS VARCHAR), 10, '0') AS item_id, "
-        "TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS item_idx, "
+        "im.item_idx, "
         "CASE WHEN event_type = 'view' THEN 'add_to_cart' ELSE event_type END AS event_type, "
-        "epoch_us(ts) / 1e6 AS \"timestamp\", 1 AS quantity FROM events"
+        "epoch_us(ts) / 1e6 AS \"timestamp\", 1 AS quantity FROM events "
+        "LEFT JOIN user_map_l um ON um.customer_id = CAST(user_id AS VARCHAR) "
+        "LEFT JOIN item_map_l im ON im.article_id = "
+        "lpad(CAST(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS VARCHAR), 10, '0')"
     ),
     "user_map_l": (
         "SELECT customer_id, CAST(row_number() OVER (ORDER BY customer_id) - 1 AS INTEGER) AS user_idx "
@@ -51,7 +54,7 @@ VIEWS = {
 }
 
 # dependency order for emitting a WITH clause
-ORDER = ["customers_l", "articles_l", "tx_l", "ev_l", "user_map_l", "item_map_l", "index_l"]
+ORDER = ["customers_l", "articles_l", "tx_l", "user_map_l", "item_map_l", "ev_l", "index_l"]
 
 
 def cos_sql(a: str, b: str) -> str:
@@ -66,6 +69,7 @@ def with_views(*needed: str, extra: list[tuple[str, str]] | None = None) -> str:
     """WITH clause holding the needed views (and their dependencies) plus
     ``extra`` (name, body) CTEs appended in order."""
     deps = {
+        "ev_l": {"user_map_l", "item_map_l"},
         "user_map_l": {"customers_l"},
         "item_map_l": {"articles_l"},
         "index_l": {"item_map_l", "articles_l"},

@@ -41,10 +41,10 @@ class Tables:
     """Logical tables of one data folder.
 
     With ``materialize`` the derived state tables (maps, index, accepted
-    events, vectors, history, trending) are checkpointed to the session's
-    shared checkpoint dir on first use: the lineage is cut, the id
-    assignment is fixed once, and every later plan reads the written table
-    -- as the pipeline's persisted tables would be read.
+    events, vectors, history, trending) are written as Parquet below the
+    session's shared checkpoint dir on first use: the lineage is cut, the id
+    assignment is fixed once, and every later plan reads the written table,
+    with its statistics, column pruning and pushed filters.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
@@ -55,9 +55,10 @@ class Tables:
     def _keep(self, df: DataFrame) -> DataFrame:
         if not self.materialize:
             return df
-        from driftrank.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(self.spark)
-        return df.checkpoint(eager=True)
+        from driftrank.session import scratch_path
+        path = scratch_path(self.spark, "state")
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def raw(self, name: str) -> DataFrame:
         return adapters.table(self.spark, self.sf_dir, name)
@@ -76,19 +77,17 @@ class Tables:
 
     @cached_property
     def events(self) -> DataFrame:
-        return adapters.events(self.spark, self.sf_dir)
+        return adapters.events(self.spark, self.sf_dir, self.user_map, self.item_map)
 
     @cached_property
     def user_map(self) -> DataFrame:
         from driftrank.operators.ids import assign_ids
-        # assign_ids checkpoints its positioned ids; the rest is one
-        # broadcast join with a per-partition offset table
-        return assign_ids(self.customers, "customer_id", "user_idx")
+        return self._keep(assign_ids(self.customers, "customer_id", "user_idx"))
 
     @cached_property
     def item_map(self) -> DataFrame:
         from driftrank.operators.ids import assign_ids
-        return assign_ids(self.articles, "article_id", "item_idx")
+        return self._keep(assign_ids(self.articles, "article_id", "item_idx"))
 
     @cached_property
     def item_factors(self) -> DataFrame:
@@ -130,6 +129,5 @@ class Tables:
 
     @cached_property
     def users(self) -> DataFrame:
-        """Request table: every customer asks for recommendations (user_idx is
-        the customer key, as in the event stream)."""
-        return self.raw("customer").select(F.col("c_custkey").cast("int").alias("user_idx")).distinct()
+        """Request table: every mapped customer asks for recommendations."""
+        return self.user_map.select(F.col("user_idx").cast("int").alias("user_idx"))

@@ -139,7 +139,9 @@ def user_state_stream(events: DataFrame, item_vectors: DataFrame,
     batch inputs alike.  ``initial_vectors`` (user_idx or id, features)
     seeds users that already have a vector, e.g. from ALS."""
     iv = item_vectors.select("item_idx", F.col("features").alias("item_vector"))
-    known = events.where(F.col("event_type").isin(list(S.EVENT_WEIGHTS)))
+    # an event without a mapped user or item has no state to change
+    known = events.where(F.col("event_type").isin(list(S.EVENT_WEIGHTS))
+                         & F.col("user_idx").isNotNull() & F.col("item_idx").isNotNull())
     j = known.select("user_idx", "item_idx", "event_type", "timestamp", "event_id").join(
         iv, "item_idx", "left")
     init = None
