@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftrank import schema as S
@@ -18,13 +18,6 @@ def pad_id(col: Column | str, width: int = S.ID_WIDTH) -> Column:
                   F.format_string(f"%0{width}d", as_long))
 
 
-def as_key(df: DataFrame, *cols: str) -> DataFrame:
-    """Cast join keys to string so both join sides agree."""
-    for c in cols:
-        df = df.withColumn(c, F.col(c).cast("string"))
-    return df
-
-
 def event_weight(col: Column | str = "event_type",
                  weights: Mapping[str, float] = S.EVENT_WEIGHTS,
                  null_weight: float = S.NULL_EVENT_WEIGHT,
@@ -94,8 +87,3 @@ def unit(a: Column, as_float: bool = True) -> Column:
     t = "float" if as_float else "double"
     return F.when(n == 0, F.transform(a, lambda x: x.cast(t))).otherwise(
         F.transform(a, lambda x: (x.cast("double") / n).cast(t)))
-
-
-def pct(part: Column, total: Column, digits: int = 1) -> Column:
-    """Half-even rounded percentage (Python ``round`` semantics)."""
-    return F.bround(part.cast("double") / total * 100.0, digits)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftrank import schema as S
-from driftrank.functions.columns import event_weight
+from driftrank.functions.columns import damped_rating, event_weight
 
 
 def merge_events(transactions: DataFrame, archived: DataFrame | None) -> DataFrame:
@@ -46,7 +46,7 @@ def interactions(tx: DataFrame, user_map: DataFrame, item_map: DataFrame,
     return mapped.select(
         F.col("user_idx").cast("int"),
         F.col("item_idx").cast("int"),
-        F.log1p("_w").cast("float").alias("rating"),
+        damped_rating(F.col("_w")).alias("rating"),
     )
 
 
@@ -58,15 +58,16 @@ def popularity(tx: DataFrame, key: str = "article_id") -> DataFrame:
 def matrix_stats(tx: DataFrame, user: str = "customer_id", item: str = "article_id") -> DataFrame:
     """Rows, distinct users/items/pairs, density and sparsity (%).
 
-    One aggregation over one scan: the three distinct counts are planned as
-    an Expand + two-level aggregate, which hashes each distinct key before
-    counting, so a hot user or item never lands in a single task.
+    The rows are counted per (user, item) once, with map-side partial counts;
+    the distinct counts then run over that smaller table, which is hashed by
+    the distinct key, so a hot user or item never lands in a single task.
     """
-    one = tx.agg(
-        F.count(F.lit(1)).alias("n_rows"),
+    pairs = tx.groupBy(user, item).agg(F.count(F.lit(1)).alias("n"))
+    one = pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.count_distinct(user).alias("n_users"),
         F.count_distinct(item).alias("n_items"),
-        F.count_distinct(user, item).alias("n_pairs"),
+        F.count(F.when(F.col(user).isNotNull() & F.col(item).isNotNull(), 1)).alias("n_pairs"),
     )
     density = F.col("n_pairs").cast("double") / (F.col("n_users") * F.col("n_items"))
     return one.select(
@@ -79,7 +80,3 @@ def matrix_stats(tx: DataFrame, user: str = "customer_id", item: str = "article_
 def known_events(events: DataFrame, weights: Mapping[str, float] = S.EVENT_WEIGHTS) -> DataFrame:
     """keep events whose type carries a weight (null and unknown dropped)."""
     return events.where(F.col("event_type").isin(list(weights)))
-
-
-def with_weight(events: DataFrame, weights: Mapping[str, float] = S.EVENT_WEIGHTS) -> DataFrame:
-    return events.withColumn("weight", event_weight("event_type", weights))

@@ -25,17 +25,19 @@ def train(interactions: DataFrame, seed: int = 42, user_col: str = "user_idx",
     return als.fit(interactions)
 
 
-def batch_recommend(model: ALSModel, n: int, user_col: str = "user_idx") -> DataFrame:
+def batch_recommend(user_factors: DataFrame, item_factors: DataFrame, n: int,
+                    user_col: str = "user_idx") -> DataFrame:
     """ALS3: top-n items for every user by dot product, in the shape of
-    ``recommendForAllUsers`` (user, recommendations array<item_idx, rating>).
+    ``recommendForAllUsers`` (user, recommendations array<item_idx, rating>),
+    from factor tables (id, features).
 
     Scored with the sharded block kNN (``metric='dot'``) instead of the
     built-in, which cross-joins user and item factor blocks; ties go to the
     smaller item id.  Each user's list holds n entries (a bounded group).
     """
     from driftrank.operators.knn import knn
-    users = model.userFactors.select(F.col("id").alias(user_col), "features")
-    items = model.itemFactors.select(F.col("id").alias("item_idx"), "features")
+    users = user_factors.select(F.col("id").alias(user_col), "features")
+    items = item_factors.select(F.col("id").alias("item_idx"), "features")
     top = knn(users, items, n, query_id=user_col, metric="dot")
     return top.groupBy(user_col).agg(F.sort_array(F.collect_list(F.struct(
         "rank", "item_idx", F.col("score").cast("float").alias("rating")))).alias("_r")).select(
@@ -57,7 +59,8 @@ def attach_articles(recs: DataFrame, item_map: DataFrame, articles: DataFrame) -
 
 
 def holdout_split(df: DataFrame, keys: list[str], test_pct: int = 20, seed: int = 42) -> DataFrame:
-    """ALS4: deterministic train/test split by a hash of the row key
-    (independent of partition layout, unlike ``randomSplit``)."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(100))
+    """ALS4: deterministic train/test split by an md5 hash of the row key
+    (independent of partition layout and engine, unlike ``randomSplit``)."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    bucket = F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("int") % 100
     return df.withColumn("split", F.when(bucket < test_pct, F.lit("test")).otherwise(F.lit("train")))

@@ -54,73 +54,3 @@ def not_null(keys: Sequence[str]) -> Column:
     for k in keys:
         cond = cond & F.col(k).isNotNull()
     return cond
-
-
-def _lag_summaries(batches, keys, cols):
-    """Per partition: the key of its first segment and the last row of its
-    last segment (what a following partition's first segment lags to)."""
-    import pandas as pd
-    first_key = last_row = None
-    pid = None
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        pid = int(pdf[PID].iloc[0])
-        if first_key is None:
-            first_key = tuple(pdf[list(keys)].iloc[0].tolist())
-        last_row = pdf[list(keys) + list(cols)].iloc[-1].tolist()
-    if pid is None:
-        return
-    yield pd.DataFrame([[*last_row, pid]], columns=[*keys, *cols, PID])
-
-
-def ordered_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                cols: Sequence[str], num_partitions: int | None = None) -> DataFrame:
-    """``lag(col) over (partition by keys order by order)`` for each col, as
-    ``prev_<col>``, without putting a key's rows in one task: in-partition
-    lags are local; a partition's first row looks up the last row of the
-    nearest earlier partition (a table of one row per partition, broadcast)
-    and uses it when the key matches."""
-    import pandas as pd
-    from pyspark.sql import types as T
-    from pyspark.sql import Window
-
-    r = ranged(df, keys, order, num_partitions)
-    last_schema = T.StructType([r.schema[c] for c in [*keys, *cols]] + [T.StructField(PID, T.IntegerType())])
-    lasts = r.mapInPandas(lambda it: _lag_summaries(it, keys, cols), last_schema)
-    # one row per partition: the previous non-empty partition's last row
-    w = Window.orderBy(PID)
-    prev = lasts.select(F.lead(PID).over(w).alias(PID),
-                        *[F.col(c).alias(f"_lk_{c}") for c in keys],
-                        *[F.col(c).alias(f"_lv_{c}") for c in cols]).where(F.col(PID).isNotNull())
-    j = (r.join(F.broadcast(prev), PID, "left").sortWithinPartitions(*keys, *order))
-    out_fields = list(df.schema.fields) + [
-        T.StructField(f"prev_{c}", df.schema[c].dataType) for c in cols]
-    base = [f.name for f in df.schema.fields]
-    keys, cols = list(keys), list(cols)
-
-    def run(batches):
-        carry = None  # (key tuple, last values) of the previous batch
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            n = len(pdf)
-            change = key_change(pdf[list(keys)], n)
-            res = pdf[base].copy()
-            for c in cols:
-                prevs = pdf[c].shift(1).astype(object)
-                prevs[change] = None
-                res[f"prev_{c}"] = prevs
-            first_key = tuple(pdf[list(keys)].iloc[0].tolist())
-            if carry is not None and carry[0] == first_key:
-                for c, v in zip(cols, carry[1]):
-                    res.at[0, f"prev_{c}"] = v
-            elif carry is None:
-                lk = tuple(pdf[[f"_lk_{k}" for k in keys]].iloc[0].tolist())
-                if lk == first_key:
-                    for c in cols:
-                        res.at[0, f"prev_{c}"] = pdf[f"_lv_{c}"].iloc[0]
-            carry = (tuple(pdf[list(keys)].iloc[-1].tolist()), pdf[list(cols)].iloc[-1].tolist())
-            yield res
-
-    return j.mapInPandas(run, T.StructType(out_fields))

@@ -90,25 +90,26 @@ def recommend(users: DataFrame, user_vectors: DataFrame, index: DataFrame,
         picked = mmr_rerank(cands, index, diversity_lambda, k)
     else:
         picked = cands.where(F.col("rank") <= k)
-    personal = picked.select("user_idx", "rank", "item_idx", "score",
-                             F.lit(S.SOURCE_PERSONALIZED).alias("source"),
-                             F.lit(S.USER_KNOWN).alias("user_type"),
-                             F.lit(None).cast("string").alias("reason"))
-    served = personal.select("user_idx").distinct()
-    rest = (u.select("user_idx").join(served, "user_idx", "left_anti")
-            .join(uv.select("user_idx", F.lit(True).alias("_has_vec")), "user_idx", "left")
-            .select("user_idx", F.when(F.col("_has_vec"), F.lit(S.USER_KNOWN))
-                    .otherwise(F.lit(S.USER_COLD)).alias("user_type")))
+    # one packed list per user (at most k entries), so the search feeds the
+    # answer alone and users without a list take the trending one in place
+    lists = picked.groupBy("user_idx").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("rank").cast("int").alias("rank"), F.col("item_idx").cast("int").alias("item_idx"),
+        F.col("score").cast("double").alias("score")))).alias("_mine"))
     trend = trending
     if fallback_respects_filters and flt is not None:
         trend = trending.join(index.where(flt).select("item_idx"), "item_idx", "left_semi")
         trend = trend.withColumn("rank", F.row_number().over(Window.orderBy("rank")))
-    fb = fallback(rest, trend, k, reason_col="user_type").select(
-        "user_idx", "rank", "item_idx", "score", F.lit(S.SOURCE_TRENDING).alias("source"),
-        "user_type",
-        F.when(F.col("user_type") == S.USER_COLD, F.lit("cold_start"))
-        .otherwise(F.lit("no_results")).alias("reason"))
-    return personal.unionByName(fb)
+    answered = (u.select("user_idx").join(uv.select("user_idx", F.lit(True).alias("_has_vec")), "user_idx", "left")
+                .join(lists, "user_idx", "left"))
+    mine = F.col("_mine").isNotNull()
+    known_user = F.coalesce(F.col("_has_vec"), F.lit(False))
+    rows = answered.select(
+        "user_idx",
+        F.when(mine, F.lit(S.SOURCE_PERSONALIZED)).otherwise(F.lit(S.SOURCE_TRENDING)).alias("source"),
+        F.when(known_user, F.lit(S.USER_KNOWN)).otherwise(F.lit(S.USER_COLD)).alias("user_type"),
+        F.when(~mine, F.when(known_user, F.lit("no_results")).otherwise(F.lit("cold_start"))).alias("reason"),
+        F.explode(F.coalesce(F.col("_mine"), trending_list(trend, k), F.array())).alias("_r"))
+    return rows.select("user_idx", "_r.rank", "_r.item_idx", "_r.score", "source", "user_type", "reason")
 
 
 _EXPLAIN_OUT = T.StructType([

@@ -419,17 +419,6 @@ def ema_vectors(accepted: DataFrame, item_vectors: DataFrame,
                       F.transform("_p", lambda s: s["y"].cast("float")).alias("features"))
 
 
-def latest_items(purchases: DataFrame, n: int = S.HISTORY_LIMIT, ts: str = "timestamp") -> DataFrame:
-    """Per user, the ``n`` items with the latest purchase time (a
-    re-purchase only moves the time); ties keep the larger id text, as a
-    sorted set trimmed from the bottom does."""
-    last = purchases.groupBy("user_idx", "item_idx").agg(F.max(ts).alias("last_purchase_at"))
-    w = Window.partitionBy("user_idx").orderBy(F.col("last_purchase_at").desc(),
-                                               F.col("item_idx").cast("string").desc())
-    return (last.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-            .drop("_r"))
-
-
 def user_history(accepted: DataFrame, item_vectors: DataFrame | None = None,
                  n: int = S.HISTORY_LIMIT, ttl_days: float = S.HISTORY_TTL_DAYS,
                  as_of: float | None = None, ts: str = "timestamp") -> DataFrame:

@@ -130,18 +130,3 @@ def q_purchase_events(spark, d):
     req = t.events.where(F.col("event_type") == "purchase").select("user_idx", "item_idx", "timestamp")
     accepted, _ = intake_purchases(req, t.user_map, t.item_index)
     return accepted
-
-
-@register("als_model_roundtrip")
-def q_als_model_roundtrip(spark, d):
-    """K5: fit ALS, save the model to the shared folder, load it back and
-    return the loaded item factors."""
-    from driftrank.operators.model import train
-    from driftrank.plans.catalog_stream import _ratings
-    from driftrank.session import scratch_path
-    from driftrank.sources.tables import load_model, save_model
-    model = train(_ratings(shared_tables(spark, d)))
-    path = scratch_path(spark, "als-model")
-    save_model(model, path)
-    return load_model(path).itemFactors
-

@@ -195,26 +195,17 @@ def q_similar_items_status(spark, d):
     return similar_items_status(t.item_map.select("item_idx"), t.item_index)
 
 
-@register("cosine_pairs", sql=with_views("ev_l", "index_l", extra=[
-    ("cp", "SELECT event_id, item_idx, lag(event_id) OVER w AS prev_event_id, "
-           "lag(item_idx) OVER w AS prev_item_idx FROM ev_l "
-           "WINDOW w AS (PARTITION BY user_idx ORDER BY \"timestamp\", event_id)"),
-]) + ("SELECT c.event_id, c.prev_event_id, round(" + cos_sql("a.v", "b.v") + ", 6) AS similarity "
-      "FROM cp c JOIN index_l a ON c.item_idx = a.item_idx JOIN index_l b ON c.prev_item_idx = b.item_idx"))
+@register("cosine_pairs", sql=with_views("index_l") + (
+    "SELECT a.item_idx, b.item_idx AS next_item_idx, round(" + cos_sql("a.v", "b.v") + ", 6) AS similarity "
+    "FROM index_l a JOIN index_l b ON b.item_idx = a.item_idx + 1"))
 def q_cosine_pairs(spark, d):
-    """Cosine between the items of consecutive events of a user (the
-    previous event comes from a skew-safe ordered lag)."""
+    """Cosine between each catalog item and the one with the next index."""
     from driftrank.functions.columns import cosine
-    from driftrank.operators.ordered import ordered_lag
-    t = _t(spark, d)
-    ev = ordered_lag(t.events.select("user_idx", "timestamp", "event_id", "item_idx"),
-                     ["user_idx"], ["timestamp", "event_id"], ["event_id", "item_idx"])
-    ev = ev.where(F.col("user_idx").isNotNull())
-    a = t.item_index.select("item_idx", F.col("features").alias("_a"))
-    b = t.item_index.select(F.col("item_idx").alias("prev_item_idx"), F.col("features").alias("_b"))
-    return (ev.join(a, "item_idx").join(b, "prev_item_idx")
-            .select("event_id", "prev_event_id", F.round(cosine(F.col("_a"), F.col("_b")), 6)
-                    .alias("similarity")))
+    index = _t(spark, d).item_index
+    a = index.select("item_idx", (F.col("item_idx") + 1).alias("next_item_idx"), F.col("features").alias("_a"))
+    b = index.select(F.col("item_idx").alias("next_item_idx"), F.col("features").alias("_b"))
+    return a.join(b, "next_item_idx").select(
+        "item_idx", "next_item_idx", F.round(cosine(F.col("_a"), F.col("_b")), 6).alias("similarity"))
 
 
 # ------------------------------------------------------------- state

@@ -131,3 +131,17 @@ class Tables:
     def users(self) -> DataFrame:
         """Request table: every mapped customer asks for recommendations."""
         return self.user_map.select(F.col("user_idx").cast("int").alias("user_idx"))
+
+    @cached_property
+    def ratings(self) -> DataFrame:
+        """Weighted implicit ratings of transactions and archived events."""
+        from driftrank.operators.archive import events_to_transactions
+        from driftrank.operators.interactions import interactions, merge_events
+        merged = merge_events(self.transactions, events_to_transactions(self.events))
+        return self._keep(interactions(merged, self.user_map, self.item_map))
+
+    @cached_property
+    def als_model(self):
+        """The ALS model of the ratings, trained once per folder."""
+        from driftrank.operators.model import train
+        return train(self.ratings)

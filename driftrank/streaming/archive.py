@@ -3,6 +3,7 @@ checkpointed micro-batch sink, idempotent per batch id."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,14 @@ def archive_batch(out: str, metrics_out: str | None = None):
     archived whole."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        # the batch feeds the emptiness test, the write and the reject count
+        batch = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            store(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def store(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         target = f"{out.rstrip('/')}/batch_id={batch_id}"

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftrank.functions.columns import (cosine, event_weight, pad_id, parse_csv_list, pct,
+from driftrank.functions.columns import (cosine, event_weight, pad_id, parse_csv_list,
                                          unit)
 
 
@@ -51,11 +51,6 @@ def test_unit_keeps_zero(spark):
     assert rows[1] == pytest.approx([0.6, 0.8])
 
 
-def test_pct_half_even(spark):
-    df = spark.createDataFrame([(1, 16), (3, 4), (1, 4)], "p int, t int")
-    assert [r[0] for r in df.select(pct(F.col("p"), F.col("t"))).collect()] == [6.2, 75.0, 25.0]
-
-
 def test_list_diversity_equals_all_pairs(spark):
     from driftrank.operators.recommend import list_diversity
     rng = random.Random(9)

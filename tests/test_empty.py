@@ -1,7 +1,6 @@
 """Empty inputs must give empty (or zero) results, not errors."""
 from driftrank.operators.knn import knn, knn_lsh, similar_items
 from driftrank.operators.mmr import mmr_rerank
-from driftrank.operators.ordered import ordered_lag
 from driftrank.operators.recommend import list_diversity, recommend
 from driftrank.operators.state import debounce, ema_vectors, user_history
 from driftrank.operators.trending import trending
@@ -15,7 +14,6 @@ def test_empty_state_ops(spark):
     assert debounce(ev).count() == 0
     assert ema_vectors(ev, iv).count() == 0
     assert user_history(ev, as_of=0.0).count() == 0
-    assert ordered_lag(ev, ["user_idx"], ["timestamp"], ["item_idx"]).count() == 0
 
 
 def test_empty_search_ops(spark):

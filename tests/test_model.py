@@ -9,7 +9,7 @@ def test_batch_recommend_matches_builtin(spark):
             zip(rng.integers(0, 40, 600), rng.integers(0, 30, 600), rng.random(600))]
     ratings = spark.createDataFrame(rows, "user_idx int, item_idx int, rating float")
     model = train(ratings, rank=4, maxIter=3)
-    ours = explode_recs(batch_recommend(model, 5)).collect()
+    ours = explode_recs(batch_recommend(model.userFactors, model.itemFactors, 5)).collect()
     builtin = explode_recs(model.recommendForAllUsers(5)).collect()
     a = {(r.user_idx, r.rank): r.item_idx for r in ours}
     b = {(r.user_idx, r.rank): r.item_idx for r in builtin}

@@ -235,20 +235,3 @@ def test_history_matches_sequential_rules(spark):
     for user, (hist, last) in expected.items():
         want = hist if clock - last < year else {}
         assert got.get(user, {}) == want
-
-
-def test_ordered_lag_hot_key(spark):
-    from pyspark.sql import Window
-
-    from driftrank.operators.ordered import ordered_lag
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    try:
-        rows = [(i, 1 if i % 5 else 2, float(i), i * 10) for i in range(120)]
-        df = spark.createDataFrame(rows, "event_id long, user_idx int, timestamp double, item_idx int")
-        got = {r.event_id: r.prev_item_idx for r in
-               ordered_lag(df, ["user_idx"], ["timestamp", "event_id"], ["item_idx"], num_partitions=6).collect()}
-        w = Window.partitionBy("user_idx").orderBy("timestamp", "event_id")
-        want = {r.event_id: r.p for r in df.select("event_id", F.lag("item_idx").over(w).alias("p")).collect()}
-        assert got == want
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
