@@ -306,8 +306,8 @@ def _ema_compose(pdf: pd.DataFrame) -> pd.DataFrame:
 
 _COEF_OUT = T.StructType([
     T.StructField("user_idx", T.IntegerType()),
+    T.StructField("item_idx", T.IntegerType()),
     T.StructField("coef", T.DoubleType()),
-    T.StructField("item_vector", T.ArrayType(T.FloatType())),
 ])
 
 
@@ -331,8 +331,8 @@ def _segment_coefficients(seg: pd.DataFrame) -> pd.DataFrame:
     cold_first = change & ~earlier & ~init
     c[cold_first] = 1.0
     return pd.DataFrame({"user_idx": users.astype(np.int32),
-                         "coef": c * np.exp(suffix + later),
-                         "item_vector": seg["item_vector"]})
+                         "item_idx": seg["item_idx"].to_numpy(dtype=np.int32),
+                         "coef": c * np.exp(suffix + later)})
 
 
 def _ema_coefficients(batches):
@@ -368,19 +368,23 @@ def ema_vectors(accepted: DataFrame, item_vectors: DataFrame,
     contributes ``prod_j (1 - c_j)``.  The suffix products are log-sums over
     a user's later events; they are computed on range-partitioned slices
     (a hot user spans many partitions) with the later partitions' sums
-    carried by a boundary table of at most two rows per partition.  The
-    weighted sum is a per-(user, dimension) aggregate with map-side partial
-    sums, so no user's events are ever gathered in one place.
+    carried by a boundary table of at most two rows per partition.  No vector
+    takes part in that: coefficients are summed per (user, item) first, each
+    pair then meets its item vector once, and the weighted sum is a
+    per-(user, dimension) aggregate with map-side partial sums, so no user's
+    events are ever gathered in one place.
     Output: (user_idx, features array<float>).
     """
     max_c = lr * max(list(weights.values()) + [0.0])
     if not (0.0 <= max_c < 1.0):
         raise ValueError("lr * weight must be in [0, 1) for the closed form")
-    ev = drop_missing_items(accepted.where(F.col("event_type").isin(list(weights))),
-                            item_vectors)
+    vectors = item_vectors.where(F.col("features").isNotNull()).select(
+        F.col("item_idx").cast("int").alias("item_idx"), "features")
     c = F.lit(lr) * event_weight("event_type", weights)
-    ev = ev.select(F.col("user_idx").cast("int").alias("user_idx"), ts, order, "item_vector",
-                   c.alias("c"))
+    ev = (accepted.where(F.col("event_type").isin(list(weights)))
+          .select(F.col("user_idx").cast("int").alias("user_idx"), ts, order,
+                  F.col("item_idx").cast("int").alias("item_idx"), c.alias("c"))
+          .join(vectors.select("item_idx"), "item_idx", "left_semi"))
     has_init = user_vectors is not None
     if has_init:
         init = user_vectors.select(F.col("id").cast("int").alias("user_idx"),
@@ -399,9 +403,10 @@ def ema_vectors(accepted: DataFrame, item_vectors: DataFrame,
     # at most two rows per partition: a proven-small broadcast
     j = (r.join(F.broadcast(bounds), ["user_idx", PID], "left")
          .sortWithinPartitions("user_idx", ts, order)
-         .select("user_idx", "c", "item_vector", "_has_init", "_later", "_earlier"))
-    coefs = j.mapInPandas(_ema_coefficients, _COEF_OUT)
-    terms = coefs.select("user_idx", "coef", F.posexplode("item_vector").alias("pos", "x"))
+         .select("user_idx", "item_idx", "c", "_has_init", "_later", "_earlier"))
+    coefs = (j.mapInPandas(_ema_coefficients, _COEF_OUT)
+             .groupBy("user_idx", "item_idx").agg(F.sum("coef").alias("coef")))
+    terms = coefs.join(vectors, "item_idx").select("user_idx", "coef", F.posexplode("features").alias("pos", "x"))
     terms = terms.select("user_idx", "pos", (F.col("coef") * F.col("x").cast("double")).alias("y"))
     if has_init:
         # prior vector term: prod over all of the user's events of (1 - c)

@@ -359,6 +359,38 @@ def q_recommend_topk(spark, d):
     return _reco(spark, d, 1.0)
 
 
+# the same state and answers from trained user vectors (prior) that the events drift
+_SEEDED = [
+    ("prior", "SELECT m.user_idx, CAST(e.embedding AS FLOAT[]) AS v FROM embeddings e "
+              "JOIN user_map_l m ON m.user_idx = CAST(e.vec_id AS INTEGER)"),
+    ("eterm", "SELECT user_idx, (CASE WHEN rn = 1 AND user_idx NOT IN (SELECT user_idx FROM prior) THEN 1.0 ELSE c END) "
+              "* exp(suf) AS coef, unnest(range(len(v))) AS pos, unnest(v) AS x FROM eco "
+              "UNION ALL SELECT p.user_idx, coalesce(a.f, 1.0), unnest(range(len(p.v))), unnest(p.v) FROM prior p "
+              "LEFT JOIN (SELECT user_idx, exp(sum(ln(1 - c))) AS f FROM eco GROUP BY user_idx) a USING (user_idx)"),
+]
+
+
+def _seeded(sql):
+    return [x for name, body in sql for x in (_SEEDED if name == "eterm" else [(name, body)])]
+
+
+@register("ema_with_prior", sql=with_views("ev_l", "index_l", extra=_seeded(STATE_SQL))
+          + "SELECT user_idx, pos, value FROM uvec")
+def q_ema_with_prior(spark, d):
+    """ST2: trained user vectors drifted by EMA over accepted events."""
+    return _t(spark, d).seeded_vectors.select("user_idx", F.posexplode("features").alias("pos", "value")).select(
+        "user_idx", F.col("pos").cast("int"), "value")
+
+
+@register("recommend_seeded", sql=with_views("ev_l", "index_l", "tx_l", "item_map_l", extra=_seeded(RECO_SQL))
+          + "SELECT * FROM reco")
+def q_recommend_seeded(spark, d):
+    """RC1 (lambda = 1) served from drifted trained vectors: most users are known."""
+    from driftrank.operators.recommend import recommend
+    t = _t(spark, d)
+    return _shown(recommend(t.users, t.seeded_vectors, t.item_index, t.history, t.trending, k=K, diversity_lambda=1.0))
+
+
 @register("recommend_fallback", sql=with_views("ev_l", "index_l", "tx_l", "item_map_l", extra=RECO_SQL)
           + "SELECT * FROM fb")
 def q_recommend_fallback(spark, d):

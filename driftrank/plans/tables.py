@@ -115,6 +115,18 @@ class Tables:
         from driftrank.operators.state import ema_vectors
         return self._keep(ema_vectors(self.accepted_events, self.item_vectors))
 
+    @cached_property
+    def prior_vectors(self) -> DataFrame:
+        """Trained user vectors (id, features) that the events then drift:
+        the embeddings stand for the ALS user factors of the same index."""
+        return self.item_factors.join(self.user_map.select(F.col("user_idx").alias("id")), "id", "left_semi")
+
+    @cached_property
+    def seeded_vectors(self) -> DataFrame:
+        """User vectors drifted from the trained ones."""
+        from driftrank.operators.state import ema_vectors
+        return self._keep(ema_vectors(self.accepted_events, self.item_vectors, user_vectors=self.prior_vectors))
+
     @cached_property
     def history(self) -> DataFrame:
         """Bounded purchase history (last 100 distinct items, 1-year expiry)."""
