@@ -127,7 +127,7 @@ def features(path: str, text: str, f: Finding, language: Language) -> list[float
 def made_findings(language: Language, per_kind: int = 60, seed: int = 5) -> list[tuple[str, str, int, int, int]]:
     """Labelled findings by rule: (path, text, start, end, label)."""
     rng = np.random.default_rng(seed)
-    vocabulary = sorted(language.words) or ["the", "value", "of", "this"]
+    vocabulary = np.array(sorted(language.words) or ["the", "value", "of", "this"], dtype=object)
 
     def pick(chars: str, n: int) -> str:
         return "".join(rng.choice(list(chars), n))
