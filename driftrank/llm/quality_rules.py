@@ -61,24 +61,23 @@ def _ratio(measure: str) -> Column:
 
 def _next(a: Column) -> Column:
     """The array without its first element."""
-    return F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
+    return F.slice(a, 2, 1 << 30)
 
 
-def _repeat_words(windows: Column, sorted_windows: Column) -> Column:
-    """Words covered by windows whose hash occurs twice or more.
+def _with_repeats(df: DataFrame, windows: str) -> DataFrame:
+    """Adds n_repeat_words: words covered by windows whose hash occurs twice or more.
 
-    The sorted hashes tell whether there is any such window; only then the
-    windows are sorted together with their places.
+    Only texts with such a window sort their windows together with the
+    places.  Each array is a column of its own, so that it is made once.
     """
-    any_twice = F.exists(F.zip_with(sorted_windows, _next(sorted_windows), lambda a, b: a == b),
-                         lambda same: F.coalesce(same, F.lit(False)))
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    pairs = F.zip_with(placed, _next(placed), lambda a, b: F.when(
-        a["h"] == b["h"], F.array(a["i"], b["i"])))
-    places = F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
-    covered = F.zip_with(places, _next(places), lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3))))
+    twice = F.size(F.array_distinct(windows)) < F.size(windows)
+    df = df.withColumn("placed", F.when(twice, F.sort_array(
+        F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    pairs = F.zip_with("placed", _next(F.col("placed")), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    df = df.withColumn("places", F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull())))))
+    covered = F.zip_with("places", _next(F.col("places")), lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3))))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return F.when(any_twice, total).otherwise(F.lit(0).cast("long"))
+    return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long"))).drop("placed", "places", windows)
 
 
 def counted(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", stratum: str | None = "lang") -> DataFrame:
@@ -93,14 +92,14 @@ def counted(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", stra
     two = F.zip_with("hw", _next(F.col("hw")), lambda a, b: F.xxhash64(a, b))
     three = F.zip_with(two, _next(_next(F.col("hw"))), lambda a, b: F.xxhash64(a, b))
     windows = hashed.select("doc_id", "stratum", "t", "w", F.slice(three, 1, F.greatest(F.size("hw") - 2, F.lit(0))).alias("win"))
-    sort = windows.select("doc_id", "stratum", "t", "w", "win", F.sort_array("win").alias("sorted"),
-                          F.filter(F.split("t", "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "").alias("lines"))
-    return sort.select(
+    lined = windows.select("doc_id", "stratum", "t", "w", "win",
+                           F.filter(F.split("t", "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "").alias("lines"))
+    return _with_repeats(lined, "win").select(
         "doc_id", "stratum", F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("win"), F.col("sorted")).alias("n_repeat_words"),
+        "n_repeat_words",
         F.size("lines").cast("long").alias("n_lines"),
         (F.length("t") - F.length(F.regexp_replace("t", "[A-Z]+", ""))).cast("long").alias("n_capitals"))
 
