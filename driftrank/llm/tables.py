@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftrank.session import ensure_checkpoint_dir
+from driftrank.session import ensure_checkpoint_dir, hadoop_path
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Frees the disk of finished steps.
+
+    Deletes the scratch tables ``done``, which no later plan may read, and
+    collects the driver's garbage: Spark removes shuffle files once their
+    plans are gone, which on an idle driver can take half an hour.
+    """
+    for df in done:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            fs, path = hadoop_path(spark, folder)
+            fs.delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id, folds: int = 5):
     """True for ids whose crc32 (of the decimal text) is divisible by ``folds``; null id: False."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
