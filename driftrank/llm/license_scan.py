@@ -97,7 +97,7 @@ class Model:
 
 
 def _rows(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
-    return (spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("text"))
+    return (spark.range(0, 1, 1, 1).select(F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("text"))
                                                       for f, t in pairs])).alias("r")).select("r.*"))
 
 
@@ -146,6 +146,8 @@ def fit(docs: DataFrame, *, text: str = "text", templates: list | None = None, s
     labelled = (_variants(base, copies).unionByName(plain.withColumn("family", F.lit(UNKNOWN)))
                 .unionByName(unlike.filter("part = 0").select("w").withColumn("family", F.lit(UNKNOWN)))
                 .select(number[F.col("family")].alias("label"), grams(F.col("w")).alias("grams")))
+    # a bounded table, in two partitions: every step of the fit is one small job over it
+    labelled = written(labelled.coalesce(2), "labelled")
     vector = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", binary=True, minTF=1.0)
     made = LogisticRegression(family="multinomial", regParam=0.001, elasticNetParam=0.5, maxIter=100).fit(
         vector.transform(labelled))
