@@ -1,8 +1,8 @@
 """Secret scans (6): pattern candidates, false positives removed by a random forest.
 
-Candidates come from wide patterns: values assigned to credential names,
-known key shapes, private key blocks, and long runs of key characters with a
-digit.  The forest scores each by its length, character mix and transitions
+Candidates come from wide patterns: values assigned to names that hold a
+credential name (``DB_PASSWORD``, ``client_secret``, ``secret_key``), known
+key shapes, private key blocks, and long runs of key characters with a digit.  The forest scores each by its length, character mix and transitions
 (bigram log-probability under ordinary text), the share that dictionary
 words cover, the path of the text and the neighbouring words.
 
@@ -14,11 +14,11 @@ and transitions are learned from at most ``sample`` texts, the first by hash
 of the text, of at most ``max_chars`` characters.
 
 The scan itself reads every text whole and needs no shuffle; only texts with
-a digit or a credential name are matched.
+a digit, a credential name or the start of a known key are matched.
 
 Cases: null and empty texts have no findings and stay as they are; a null
 path counts as empty; overlapping candidates: the one that starts first,
-then the more specific; repeated rows give their findings once per row; an
+then the longer, then the more specific; repeated rows give their findings once per row; an
 empty table gives no rows (training then has an empty dictionary); extra
 columns stay untouched in ``redacted``.
 """
@@ -54,12 +54,17 @@ SHAPES = (
     ("google", r"\bAIza[0-9A-Za-z_-]{35}"),
     ("stripe", r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("assigned", r"(?i:\b(?:" + "|".join(NAMES) + r"))[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"']?(?P<value>[^\s\"',;<>]{6,})"),
-    ("long", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])"),
+    ("assigned", r"[^\s\"',;<>]{6,}"),
+    ("long", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])"),
 )
-CANDIDATE = re.compile("|".join(f"(?P<{k}>{p})" for k, p in SHAPES))
+CANDIDATE = re.compile("|".join(f"(?P<{k}>{p})" for k, p in SHAPES if k not in ("assigned", "long")))
+LONG, VALUE = re.compile(dict(SHAPES)["long"]), re.compile(dict(SHAPES)["assigned"])
+# a whole name and its sign; the name is taken once, so that long runs cost no second look
+ASSIGNED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)[\"']?\s{0,3}(?:=>?|:)\s{0,3}[\"']?")
+NAMED = re.compile("(?i:" + "|".join(NAMES) + ")")
 KINDS = [k for k, _ in SHAPES]
 _CUES = [n.encode() for n in NAMES] + [b"-----begin"]
+_STARTS = [b"AKIA", b"ASIA", b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"xox", b"AIza", b"_live_", b"_test_", b"eyJ"]
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -70,12 +75,27 @@ class Finding:
     kind: str
 
 
+def _assigned(text: str) -> list[Finding]:
+    """Values of names that hold a credential name."""
+    out, last = [], 0
+    for m in ASSIGNED.finditer(text):
+        if m.start() >= last and NAMED.search(m.group(1)):
+            value = VALUE.match(text, m.end())
+            if value:
+                last = value.end()
+                out.append(Finding(m.end(), last, "assigned"))
+    return out
+
+
 def candidates(text: str) -> list[Finding]:
-    out = []
-    for m in CANDIDATE.finditer(text):
-        group = "value" if m.lastgroup in ("assigned", "value") and m.group("value") is not None else 0
-        kind = "assigned" if group == "value" else next(k for k in KINDS if m.group(k) is not None)
-        out.append(Finding(m.start(group), m.end(group), kind))
+    every = _assigned(text)
+    every += [Finding(m.start(), m.end(), m.lastgroup) for m in CANDIDATE.finditer(text)]
+    every += [Finding(m.start(), m.end(), "long") for m in LONG.finditer(text)]
+    out, last = [], 0
+    for f in sorted(every, key=lambda f: (f.start, -f.end, KINDS.index(f.kind))):
+        if f.start >= last:
+            out.append(f)
+            last = f.end
     return out
 
 
@@ -138,6 +158,11 @@ def made_findings(language: Language, per_kind: int = 60, seed: int = 5) -> list
     def some(n: int) -> str:
         return " ".join(rng.choice(vocabulary, n))
 
+    def named() -> str:
+        name = str(rng.choice(["db_password", "aws_secret_access_key", "client_secret", "secret_key", "app.auth_token",
+                               "smtp-passwd", "api_key_live", "redis_pwd", "token_2"]))
+        return name.upper() if rng.random() < 0.5 else name
+
     real = [
         lambda: ("", "AKIA" + pick(digits + upper, 16)),
         lambda: ("token = \"", pick(hexa, 40)),
@@ -152,6 +177,11 @@ def made_findings(language: Language, per_kind: int = 60, seed: int = 5) -> list
         lambda: ("", f"eyJ{pick(word, 20)}.{pick(word, 40)}.{pick(word + '_-', 43)}"),
         lambda: ("", f"-----BEGIN PRIVATE KEY-----\n{pick(word + '+/', 64)}\n-----END PRIVATE KEY-----"),
         lambda: ("access_key ", pick(word + "+/", 40)),
+        lambda: (named() + rng.choice(["=", ": ", " = "]), pick(word, int(rng.integers(10, 25)))),
+        lambda: (named() + "=", pick(word + "+/", int(rng.integers(32, 48)))),
+        lambda: ("SIGNING_" + pick(upper, 3) + "=", pick(word, int(rng.integers(20, 44)))),
+        lambda: ("", str(rng.choice(["AKIA", "ASIA"])) + pick(upper, 16)),
+        lambda: ("", "gh" + pick("pousr", 1) + "_" + pick(lower + upper, 36)),
     ]
     benign = [
         lambda: ("password=", rng.choice(["changeme", "password", "your_password", "xxxxxxxx", "********", "${PASSWORD}",
@@ -172,6 +202,13 @@ def made_findings(language: Language, per_kind: int = 60, seed: int = 5) -> list
         lambda: ("phone ", "-".join(pick(digits, n) for n in (3, 4, 4, 6))),
         lambda: ("version ", "-".join(pick(digits, 4) for _ in range(5))),
         lambda: ("", pick(digits, int(rng.integers(17, 24)))),
+        lambda: (named() + "=", str(rng.choice(["changeme", "password", "your_password", "xxxxxxxx", "********", "${SECRET}",
+                                                "<password>", "example123", "REDACTED"]))),
+        lambda: (str(rng.choice(["tokenizer", "secretary", "max_tokens", "password_hint"])) + rng.choice(["=", ": "]),
+                 str(rng.choice(vocabulary)) + str(rng.choice(["_", "-", ""])) + str(rng.choice(vocabulary))),
+        lambda: (str(rng.choice(["md5", "sha", "commit", "checksum"])) + "=", pick(hexa, int(rng.choice([32, 40, 64])))),
+        lambda: (str(rng.choice(["id", "uuid", "order"])) + "=", "-".join(pick(hexa, n) for n in (8, 4, 4, 4, 12))),
+        lambda: (str(rng.choice(["path", "ref", "name"])) + "=", "/".join(rng.choice(vocabulary, 4)) + "/" + pick(digits, 4)),
     ]
     out = []
     for label, rules in ((1, real), (0, benign)):
@@ -211,18 +248,19 @@ def fit(docs: DataFrame, *, text: str = "text", findings: list | None = None, sa
 
 
 def _worth(part: pa.RecordBatch, name: str) -> np.ndarray:
-    """Rows with a digit or a credential name."""
+    """Rows with a digit, a credential name or the start of a known key."""
     off, raw = utf8(text_column(part, name))
     has = np.zeros(len(off) - 1, dtype=bool)
     at = np.flatnonzero((raw >= 48) & (raw <= 57))
     has[np.searchsorted(off, at, side="right") - 1] = True
-    low = raw.tobytes().lower()
-    for cue in _CUES:
-        k = low.find(cue)
+    plain = raw.tobytes()
+    low = plain.lower()
+    for held, cue in [(low, c) for c in _CUES] + [(plain, c) for c in _STARTS]:
+        k = held.find(cue)
         while k >= 0:
             row = int(np.searchsorted(off, k, side="right")) - 1
             has[row] = True
-            k = low.find(cue, int(off[row + 1]))
+            k = held.find(cue, int(off[row + 1]))
     return has
 
 
