@@ -10,8 +10,9 @@ It is trained on labelled findings (path, text, start, end, label).  Without
 given ones they are made by rule from a fixed seed: credentials of common
 shapes, and harmless look-alikes such as placeholders, checksums, card and
 phone numbers, ids, versions and long words, set into sentences.  Dictionary
-and transitions are learned from at most ``sample`` texts, the first by hash
-of the text, of at most ``max_chars`` characters.
+and transitions are counted over all texts: tasks give partial counts of
+words and byte pairs, Spark adds them up, and the model keeps all pairs
+(65,536 at most) and the most frequent words, 20,000 of them.
 
 The scan itself reads every text whole and needs no shuffle; only texts with
 a digit, a credential name or the start of a known key are matched.
@@ -37,8 +38,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import slices, text_column, utf8
 from .forest import Forest, grow
+from .tables import written
 
 THRESHOLD = 0.5
+COUNT_ROWS = 1 << 18
 
 # fixed values: names and shapes of credentials
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "auth_key",
@@ -114,14 +117,41 @@ class Language:
         return sum(len(w) for w in _WORD.findall(low) if w in self.words) / max(1, len(low))
 
 
-def learn_language(texts: list[str], words: int = 20_000) -> Language:
-    count, pairs = Counter(), np.ones((256, 256))
-    for t in texts:
-        low = t.lower()
-        count.update(w for w in _WORD.findall(low) if len(w) > 2)
-        b = np.frombuffer(low.encode(), np.uint8).astype(np.int64)
-        pairs += np.bincount(b[:-1] * 256 + b[1:], minlength=1 << 16).reshape(256, 256) if len(b) > 1 else 0
-    return Language(frozenset(w for w, _ in count.most_common(words)),
+def learn_language(docs: DataFrame, text: str = "text", words: int = 20_000) -> Language:
+    """The most frequent words (of equal ones the first by name) and the byte pairs of all texts."""
+    def count(batches):
+        held, pairs = Counter(), np.zeros(1 << 16, dtype=np.int64)
+
+        def partial(found, at=()):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*found, *[None] * len(at)], type=pa.string()),
+                 pa.array([*[-1] * len(found), *at], type=pa.int32()),
+                 pa.array([*found.values(), *[int(pairs[k]) for k in at]], type=pa.int64())], ["word", "pair", "n"])
+
+        for batch in batches:
+            for part in slices(batch, text):
+                lows = [t.lower() for t in text_column(part, text).to_pylist()]
+                for low in lows:
+                    held.update([w for w in _WORD.findall(low) if len(w) > 2])
+                off, raw = utf8(pa.array(lows, type=pa.string()))
+                inside = np.ones(len(raw), dtype=bool)
+                inside[off[1:][off[1:] > 0] - 1] = False            # no pair runs into the next text
+                for lo in range(0, len(raw) - 1, 1 << 20):
+                    b = raw[lo:lo + (1 << 20) + 1].astype(np.int64)
+                    pairs += np.bincount((b[:-1] * 256 + b[1:])[inside[lo:lo + len(b) - 1]], minlength=1 << 16)
+                if len(held) >= COUNT_ROWS:
+                    yield partial(held)
+                    held = Counter()
+        yield partial(held, np.flatnonzero(pairs).tolist())
+
+    counts = written(docs.select(text).mapInArrow(count, "word string, pair int, n long")
+                     .groupBy("word", "pair").agg(F.sum("n").alias("n")), "language")
+    top = counts.filter("pair < 0").orderBy(F.desc("n"), "word").limit(words).toArrow()
+    found = counts.filter("pair >= 0").select("pair", "n").toArrow()
+    pairs = np.ones(1 << 16)
+    pairs[found["pair"].to_numpy()] += found["n"].to_numpy()
+    pairs = pairs.reshape(256, 256)
+    return Language(frozenset(top["word"].to_pylist()),
                     np.log(pairs / pairs.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
@@ -232,12 +262,10 @@ class Scanner:
         return self.forest.predict(np.array([features(path, text, f, self.language) for f in found]))
 
 
-def fit(docs: DataFrame, *, text: str = "text", findings: list | None = None, sample: int = 300,
-        max_chars: int = 20_000, threshold: float = THRESHOLD) -> Scanner:
-    """Dictionary and transitions from a bounded sample of texts, the forest from labelled findings."""
-    rows = (docs.select(F.col(text).alias("t")).filter(F.length("t").between(1, max_chars))
-            .orderBy(F.xxhash64("t"), "t").limit(sample).toArrow())
-    language = learn_language(rows["t"].to_pylist())
+def fit(docs: DataFrame, *, text: str = "text", findings: list | None = None,
+        threshold: float = THRESHOLD) -> Scanner:
+    """Dictionary and transitions of all texts, the forest from labelled findings."""
+    language = learn_language(docs, text)
     labelled = made_findings(language) if findings is None else findings
     x, y = [], []
     for path, t, start, end, label in labelled:

@@ -66,6 +66,22 @@ def test_candidates_of_long_runs_and_blocks():
     assert S.candidates("secret" * 200_000) == [] and S.candidates("a:" * 200_000) == []
 
 
+def test_language_of_all_texts(spark, monkeypatch):
+    texts = ["alpha beta"] * 900 + [f"gamma {'delta ' * 5000}", "ΣΊΣΥΦΟΣ été", None, "", "x"] + [f"rare{c}word" for c in "abc"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    language = S.learn_language(df)
+    assert language.words == {"alpha", "beta", "gamma", "delta", "σίσυφος", "été", "rareaword", "rarebword", "rarecword"}
+    pairs = np.ones((256, 256))
+    for t in texts:
+        b = (t or "").lower().encode()
+        for x, y in zip(b, b[1:]):
+            pairs[x, y] += 1
+    assert np.allclose(language.bigram, np.log(pairs / pairs.sum(axis=1, keepdims=True)), atol=1e-5)
+    assert S.learn_language(df, words=2).words == {"delta", "alpha"}
+    monkeypatch.setattr(S, "COUNT_ROWS", 1)
+    assert S.learn_language(df).words == language.words
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     model = S.fit(df)
