@@ -2,7 +2,8 @@
 
 A paragraph is a line of a text.  Its features are the distinct word
 n-grams (one and two words) that occur in the notice templates and are rare
-in the corpus.  A sparse multinomial logistic regression (elastic net, fitted
+in the corpus; they are counted over all paragraphs unlike every template,
+so that a frequent notice does not lose its words.  A sparse multinomial logistic regression (elastic net, fitted
 by Spark ML) gives the probability of each licence family and of the class
 ``unknown``.  A family counts as found when
 
@@ -116,6 +117,31 @@ def _sample(docs: DataFrame, text: str, sample_docs: int, max_chars: int, paragr
     return lines.orderBy(F.xxhash64("w"), "w").limit(paragraphs)
 
 
+def similar(g: Column, known: list[tuple[str, list[str]]]) -> Column:
+    """Largest share of a template's n-grams that the n-grams ``g`` hold."""
+    return F.greatest(*[F.size(F.array_intersect(g, F.lit(t))) / F.lit(float(len(t))) for _, t in known], F.lit(0.0))
+
+
+def _paragraphs(docs: DataFrame, text: str) -> DataFrame:
+    """(w): words of all paragraphs that have any."""
+    return (docs.select(F.explode(F.split(F.col(text), "\n")).alias("p")).select(words(F.col("p")).alias("w"))
+            .filter(F.size("w") > 0))
+
+
+def _often(docs: DataFrame, text: str, every: list[str], known: list, overlap: float) -> tuple[dict[str, int], int]:
+    """Paragraphs of all texts unlike every template: how many hold each of the n-grams ``every``, and their number.
+
+    A paragraph without such an n-gram counts for the number only; tasks add up before the shuffle.
+    """
+    single = [g for g in every if " " not in g]
+    held = _paragraphs(docs, text).select(F.when(F.arrays_overlap("w", F.lit(single)), F.array_intersect(
+        grams(F.col("w")), F.lit(every))).otherwise(F.array().cast("array<string>")).alias("g"))
+    rows = (held.filter(similar(F.col("g"), known) < overlap).select(F.explode(F.concat(F.array(F.lit("")), "g")).alias("g"))
+            .groupBy("g").agg(F.count("*").alias("n")).collect())
+    counts = {r["g"]: r["n"] for r in rows}
+    return counts, counts.pop("", 0)
+
+
 def fit(docs: DataFrame, *, text: str = "text", templates: list | None = None, sample_docs: int = 400,
         max_chars: int = 1 << 16, paragraphs: int = 4000, rare: float = 0.01, overlap: float = 0.5,
         copies: int = 20, false_rate: float = 0.001) -> Model:
@@ -127,21 +153,16 @@ def fit(docs: DataFrame, *, text: str = "text", templates: list | None = None, s
     base = _rows(spark, templates)
     plain = _rows(spark, [(UNKNOWN, t) for t in PLAIN]).select(words(F.col("text")).alias("w"))
     known = [(r["family"], r["g"]) for r in base.select("family", grams(words(F.col("text"))).alias("g")).collect()]
-    sample = written(_sample(docs, text, sample_docs, max_chars, paragraphs), "paragraphs")
-
     # n-grams of the templates, without single words that the corpus often has and pairs of such words only
     every = sorted({g for _, t in known for g in t})
-    often = {r["g"]: r["n"] for r in sample.select(F.explode(F.array_intersect(grams(F.col("w")), F.lit(every))).alias("g"))
-             .groupBy("g").agg(F.count("*").alias("n")).collect()}
-    limit = rare * max(1, sample.count())
+    often, total = _often(docs, text, every, known, overlap)
+    limit = rare * max(1, total)
     single = {g for g in every if " " not in g and often.get(g, 0) <= limit}
     vocabulary = sorted(single | {g for g in every if " " in g and single & set(g.split(" "))})
 
-    def similar(g: Column) -> Column:
-        """Largest share of a template's n-grams that the paragraph holds."""
-        return F.greatest(*[F.size(F.array_intersect(g, F.lit(t))) / F.lit(float(len(t))) for _, t in known], F.lit(0.0))
-
-    unlike = sample.filter(similar(grams(F.col("w"))) < overlap).withColumn("part", F.pmod(F.xxhash64("w"), F.lit(2)))
+    sample = written(_sample(docs, text, sample_docs, max_chars, paragraphs), "paragraphs")
+    unlike = (sample.filter(similar(grams(F.col("w")), known) < overlap)
+              .withColumn("part", F.pmod(F.xxhash64("w"), F.lit(2))))
     number = F.create_map(*[x for i, f in enumerate(FAMILIES) for x in (F.lit(f), F.lit(float(i)))])
     labelled = (_variants(base, copies).unionByName(plain.withColumn("family", F.lit(UNKNOWN)))
                 .unionByName(unlike.filter("part = 0").select("w").withColumn("family", F.lit(UNKNOWN)))

@@ -40,6 +40,14 @@ def test_documents_with_and_without_notices(spark, model):
     assert found == lines
 
 
+def test_frequent_notice(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    rows = [(i, (f"{notice}\n" if i % 3 == 0 else "") + f"plain words number {i}\nand some more of them") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["families"] for r in L.scan(df, L.fit(df, copies=5)).collect()}
+    assert found == {i: ["Apache-2.0"] if i % 3 == 0 else [] for i, _ in rows}
+
+
 def test_empty_corpus_and_plan(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     model = L.fit(docs, copies=5)
