@@ -1,28 +1,30 @@
 """License scans (4): a trained paragraph classifier, DataFrame functions only.
 
-A paragraph is a line of a text.  Its features are the distinct word
-n-grams (one and two words) that occur in the notice templates and are rare
-in the corpus; they are counted over all paragraphs unlike every template,
-so that a frequent notice does not lose its words.  A sparse multinomial logistic regression (elastic net, fitted
-by Spark ML) gives the probability of each licence family and of the class
-``unknown``.  A family counts as found when
+A paragraph is a line of a text, or a run of lines that resemble a notice
+template only together (a wrapped notice; comment marks are no words).  Its
+features are the distinct word n-grams (one and two words) that occur in the
+notice templates and are rare in the corpus.  A sparse multinomial logistic
+regression (elastic net, fitted by Spark ML) gives the probability of each
+licence family and of the class ``unknown``.  A family counts as found when
 
 - it is the most probable class and its probability reaches the calibrated
   threshold: the ``1 - false_rate`` quantile of the largest family
-  probability over held-out corpus paragraphs without a notice, one half at
-  least; and
+  probability over all corpus lines that resemble no template, to a bin of
+  a thousandth, one half at least; and
 - the template comparison confirms it: the paragraph holds at least
   ``overlap`` of the n-grams of one template of that family.
 
-Training uses the templates, copies of them that lack some words (chosen by
-hash), and as ``unknown`` the paragraphs of at most ``sample_docs`` texts of
-at most ``max_chars`` characters, the first by hash, without those that look
-like a template; half of these are held out for the threshold.
+One aggregate over all texts counts the lines that resemble no template by
+the template n-grams they hold.  It gives the frequencies (so a frequent
+notice, wrapped or not, keeps its words) and the threshold.  Training uses
+the templates, copies of them that lack some words (chosen by hash), and as
+``unknown`` distinct such lines of at most ``sample_docs`` distinct texts of
+at most ``max_chars`` characters, the first by hash.
 
 Scanning is one projection without shuffle or Python: a text is split into
-lines only if it has a feature word, and only lines with one are scored,
-which cannot change the outcome, since a line without features has the same
-scores as an empty one, and that is ``unknown``.
+lines only if it has a feature word, and only runs that resemble a template
+are scored, since no other can be found.  ``paragraph`` is the first line of
+the run.
 
 Cases: null and empty texts have no licences; repeated lines are found each
 for itself; equal probabilities go to the earlier family; an empty table
@@ -74,6 +76,8 @@ PLAIN = [
     "The copy of this document is subject to the conditions of the project.", "",
 ]
 UNKNOWN = "unknown"
+BINS = 1000
+LINE_COST = 0.05
 FAMILIES = [*dict.fromkeys(f for f, _ in TEMPLATES), UNKNOWN]
 
 
@@ -109,37 +113,100 @@ def _variants(templates: DataFrame, copies: int) -> DataFrame:
                 F.filter("w", lambda x, i: F.pmod(F.xxhash64(x, i, F.col("v")), F.lit(10)) > 1)).alias("w")))
 
 
-def _sample(docs: DataFrame, text: str, sample_docs: int, max_chars: int, paragraphs: int) -> DataFrame:
-    """(w): words of paragraphs of a bounded sample of texts."""
-    some = (docs.select(F.col(text).alias("t")).filter(F.length("t").between(1, max_chars))
-            .orderBy(F.xxhash64("t"), "t").limit(sample_docs))
-    lines = some.select(F.explode(F.split("t", "\n")).alias("p")).select(words(F.col("p")).alias("w")).filter(F.size("w") > 0)
-    return lines.orderBy(F.xxhash64("w"), "w").limit(paragraphs)
-
-
 def similar(g: Column, known: list[tuple[str, list[str]]]) -> Column:
     """Largest share of a template's n-grams that the n-grams ``g`` hold."""
     return F.greatest(*[F.size(F.array_intersect(g, F.lit(t))) / F.lit(float(len(t))) for _, t in known], F.lit(0.0))
 
 
-def _paragraphs(docs: DataFrame, text: str) -> DataFrame:
-    """(w): words of all paragraphs that have any."""
-    return (docs.select(F.explode(F.split(F.col(text), "\n")).alias("p")).select(words(F.col("p")).alias("w"))
-            .filter(F.size("w") > 0))
+def _bound(value: Column, name: str, use) -> Column:
+    """``use`` of a struct that holds ``value`` as ``name``, made once."""
+    return F.element_at(F.transform(F.array(F.struct(value.alias(name))), use), 1)
+
 
+def _lines(text: Column, known: list, single: list[str]) -> Column:
+    """Array of (i, w, has, s): words of each line, whether one is in ``single``, and its similarity if so."""
+    lines = F.transform(F.split(text, "\n"), lambda p, i: F.struct(i.alias("i"), words(p).alias("w")))
+    lines = F.transform(lines, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"),
+                                                  F.arrays_overlap(x["w"], F.lit(single)).alias("has")))
+    lines = F.transform(lines, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), x["has"].alias("has"),
+                                                  F.when(x["has"], grams(x["w"])).alias("g")))
+    return F.transform(lines, lambda x: F.struct(
+        x["i"].alias("i"), x["w"].alias("w"), x["has"].alias("has"),
+        F.when(x["has"], similar(x["g"], known)).otherwise(0.0).alias("s")))
 
-def _often(docs: DataFrame, text: str, every: list[str], known: list, overlap: float) -> tuple[dict[str, int], int]:
-    """Paragraphs of all texts unlike every template: how many hold each of the n-grams ``every``, and their number.
 
-    A paragraph without such an n-gram counts for the number only; tasks add up before the shuffle.
+def _runs(lines: Column, known: list, overlap: float) -> Column:
+    """Array of (start, end, w): runs of lines, one or more, that resemble a template.
+
+    A run starts at any line, ends before a line without words, and holds at
+    most as many words past its first line as the longest template; its end
+    is the line of the best score, the similarity less LINE_COST per line.
+    Of overlapping runs the one with the best score stays, the earlier end
+    first; a line outside them that resembles a template is a run as well.
     """
+    more = max([len(g) for _, g in known] or [1])       # at least the words of the longest template
+    near = F.transform(F.filter(lines, lambda x: x["has"]), lambda x: F.struct(
+        x["i"].alias("i"), F.slice(lines, x["i"] + 1, more + 1).alias("near")))
+    near = F.transform(near, lambda x: F.struct(x["i"].alias("i"), x["near"].alias("near"), F.array_position(
+        F.transform(x["near"], lambda y: F.size(y["w"]) == 0), True).cast("int").alias("k")))
+    near = F.transform(near, lambda x: F.struct(x["i"].alias("i"), F.transform(
+        F.when(x["k"] > 0, F.slice(x["near"], 1, F.greatest(x["k"] - 1, F.lit(0)))).otherwise(x["near"]),
+        lambda y: y["w"]).alias("ws")))
+
+    def held(x: Column, n: Column) -> Column:
+        return F.slice(F.flatten(F.slice(x["ws"], 1, n)), 1, F.size(F.element_at(x["ws"], 1)) + more)
+
+    full = F.transform(near, lambda x: F.struct(x["i"].alias("i"), x["ws"].alias("ws"),
+                                                grams(held(x, F.size(x["ws"]))).alias("g")))
+    like = F.filter(full, lambda x: similar(x["g"], known) >= overlap)
+    tried = F.transform(like, lambda x: F.struct(x["i"].alias("i"), x["ws"].alias("ws"), F.transform(
+        F.sequence(F.lit(1), F.size(x["ws"])), lambda n: F.struct(n.alias("n"), grams(held(x, n)).alias("g"))).alias("tries")))
+    tried = F.transform(tried, lambda x: F.struct(x["i"].alias("i"), x["ws"].alias("ws"), F.transform(x["tries"], lambda y: F.struct(
+        similar(y["g"], known).alias("s"), y["n"].alias("n"))).alias("tries")))
+    best = F.transform(tried, lambda x: F.struct(x["i"].alias("i"), x["ws"].alias("ws"), F.array_max(F.transform(
+        F.filter(x["tries"], lambda y: y["s"] >= overlap),
+        lambda y: F.struct((y["s"] - y["n"] * LINE_COST).alias("s"), (-y["n"]).alias("n")))).alias("best")))
+    runs = F.transform(best, lambda x: F.struct(
+        (x["i"] - x["best"]["n"] - 1).alias("end"), (-x["best"]["s"]).alias("less"), (-x["i"]).alias("back"),
+        held(x, -x["best"]["n"]).alias("w")))
+    none = F.array().cast("array<struct<end:int,less:double,back:int,w:array<string>>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        return (F.when((F.size(acc) == 0) | (-x["back"] > last["end"]), F.concat(acc, F.array(x)))
+                .when(x["less"] < last["less"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(acc))
+
+    kept = _bound(F.aggregate(F.array_sort(runs), none, add), "kept", lambda d: F.concat(
+        F.transform(d["kept"], lambda x: F.struct((-x["back"]).alias("start"), x["end"].alias("end"), x["w"].alias("w"))),
+        F.transform(F.filter(lines, lambda x: (x["s"] >= overlap) & ~F.exists(d["kept"], lambda r: x["i"].between(
+            -r["back"], r["end"]))), lambda x: F.struct(x["i"].alias("start"), x["i"].alias("end"), x["w"].alias("w")))))
+    return F.array_sort(kept)
+
+
+def _unlike(docs: DataFrame, text: str, known: list, overlap: float) -> DataFrame:
+    """(w): words of all lines that have any and belong to nothing that resembles a template."""
+    single = sorted({g for _, t in known for g in t if " " not in g})
+    lines = docs.select(_lines(F.col(text), known, single).alias("all"))
+    both = lines.select("all", _runs(F.col("all"), known, overlap).alias("runs"))
+    return (both.select(F.explode(F.filter("all", lambda x: (F.size(x["w"]) > 0) & (x["s"] < overlap) & ~F.exists(
+        "runs", lambda r: x["i"].between(r["start"], r["end"])))).alias("x")).select("x.w"))
+
+
+def _sample(docs: DataFrame, text: str, sample_docs: int, max_chars: int, paragraphs: int, known: list,
+            overlap: float) -> DataFrame:
+    """(w): distinct paragraphs unlike every template, of a bounded sample of distinct texts."""
+    some = docs.select(F.col(text).alias("t")).filter(F.length("t").between(1, max_chars)).withColumn("h", F.xxhash64("t"))
+    first = [r["h"] for r in some.select("h").distinct().orderBy("h").limit(sample_docs).collect()]
+    once = some.filter(F.col("h").isin(first)).dropDuplicates(["h"])
+    return _unlike(once, "t", known, overlap).distinct().orderBy(F.xxhash64("w"), "w").limit(paragraphs)
+
+
+def _features(docs: DataFrame, text: str, every: list[str], known: list, overlap: float) -> DataFrame:
+    """(g, n): paragraphs of all texts unlike every template, by the template n-grams they hold; written."""
     single = [g for g in every if " " not in g]
-    held = _paragraphs(docs, text).select(F.when(F.arrays_overlap("w", F.lit(single)), F.array_intersect(
-        grams(F.col("w")), F.lit(every))).otherwise(F.array().cast("array<string>")).alias("g"))
-    rows = (held.filter(similar(F.col("g"), known) < overlap).select(F.explode(F.concat(F.array(F.lit("")), "g")).alias("g"))
-            .groupBy("g").agg(F.count("*").alias("n")).collect())
-    counts = {r["g"]: r["n"] for r in rows}
-    return counts, counts.pop("", 0)
+    held = _unlike(docs, text, known, overlap).select(F.when(F.arrays_overlap("w", F.lit(single)), F.array_sort(
+        F.array_intersect(grams(F.col("w")), F.lit(every)))).otherwise(F.array().cast("array<string>")).alias("g"))
+    return written(held.groupBy("g").agg(F.count("*").alias("n")), "features")
 
 
 def fit(docs: DataFrame, *, text: str = "text", templates: list | None = None, sample_docs: int = 400,
@@ -155,17 +222,18 @@ def fit(docs: DataFrame, *, text: str = "text", templates: list | None = None, s
     known = [(r["family"], r["g"]) for r in base.select("family", grams(words(F.col("text"))).alias("g")).collect()]
     # n-grams of the templates, without single words that the corpus often has and pairs of such words only
     every = sorted({g for _, t in known for g in t})
-    often, total = _often(docs, text, every, known, overlap)
+    features = _features(docs, text, every, known, overlap)
+    often = {r["g"]: r["n"] for r in features.select("n", F.explode("g").alias("g")).groupBy("g").agg(F.sum("n").alias("n"))
+             .collect()}
+    total = features.agg(F.sum("n")).first()[0] or 0
     limit = rare * max(1, total)
     single = {g for g in every if " " not in g and often.get(g, 0) <= limit}
     vocabulary = sorted(single | {g for g in every if " " in g and single & set(g.split(" "))})
 
-    sample = written(_sample(docs, text, sample_docs, max_chars, paragraphs), "paragraphs")
-    unlike = (sample.filter(similar(grams(F.col("w")), known) < overlap)
-              .withColumn("part", F.pmod(F.xxhash64("w"), F.lit(2))))
+    unlike = written(_sample(docs, text, sample_docs, max_chars, paragraphs, known, overlap), "paragraphs")
     number = F.create_map(*[x for i, f in enumerate(FAMILIES) for x in (F.lit(f), F.lit(float(i)))])
     labelled = (_variants(base, copies).unionByName(plain.withColumn("family", F.lit(UNKNOWN)))
-                .unionByName(unlike.filter("part = 0").select("w").withColumn("family", F.lit(UNKNOWN)))
+                .unionByName(unlike.withColumn("family", F.lit(UNKNOWN)))
                 .select(number[F.col("family")].alias("label"), grams(F.col("w")).alias("grams")))
     # a bounded table, in two partitions: every step of the fit is one small job over it
     labelled = written(labelled.coalesce(2), "labelled")
@@ -175,13 +243,17 @@ def fit(docs: DataFrame, *, text: str = "text", templates: list | None = None, s
     table, bias = made.coefficientMatrix.toArray(), made.interceptVector.toArray()
     model = Model(vocabulary, [[float(x) for x in row] for row in table], [float(x) for x in bias], 0.5, known)
 
-    held = unlike.filter("part = 1").select(F.transform(F.array(F.struct(grams(F.col("w")).alias("g"))),
-                                                        lambda x: F.struct(x["g"].alias("g"))).alias("lines"))
-    probable = _probabilities(F.col("lines"), model)
-    top = held.select(F.explode(probable).alias("x")).select(F.array_max(F.slice("x.p", 1, len(FAMILIES) - 1)).alias("top"))
-    # percentile is exact; the sample is bounded
-    cut = top.agg(F.percentile("top", 1 - false_rate)).first()[0]
-    model.threshold = max(0.5, min(0.95, float(cut or 0.0)))
+    # the quantile over all paragraphs, to the upper edge of its bin
+    lines = features.select("n", F.array(F.struct("g")).alias("lines"))
+    probable = lines.select("n", F.explode(_probabilities(F.col("lines"), model)).alias("x"))
+    bins = (probable.select("n", F.ceil(F.array_max(F.slice("x.p", 1, len(FAMILIES) - 1)) * BINS).alias("bin"))
+            .groupBy("bin").agg(F.sum("n").alias("n")).collect())
+    above = 0
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        above += r["n"]
+        if above > false_rate * total:
+            model.threshold = max(0.5, min(0.95, r["bin"] / BINS))
+            break
     return model
 
 
@@ -208,10 +280,11 @@ def _probabilities(lines: Column, model: Model) -> Column:
 def licences(text: Column, model: Model, overlap: float = 0.5) -> Column:
     """Array of (paragraph, family, probability, similarity) of the notices in a text."""
     single = [g for g in model.vocabulary if " " not in g]
+    every = sorted({g for _, t in model.templates for g in t if " " not in g})
     t = F.coalesce(text, F.lit(""))
-    lines = F.transform(F.split(t, "\n"), lambda p, i: F.struct(i.alias("i"), words(p).alias("w")))
-    some = F.filter(lines, lambda x: F.arrays_overlap(x["w"], F.lit(single)))
-    some = F.transform(some, lambda x: F.struct(x["i"].alias("i"), grams(x["w"]).alias("g")))
+
+    runs = _bound(_lines(t, model.templates, every), "all", lambda d: _runs(d["all"], model.templates, overlap))
+    some = F.transform(runs, lambda x: F.struct(x["start"].alias("i"), grams(x["w"]).alias("g")))
     found = F.transform(_probabilities(some, model), lambda x: F.struct(
         x["line"].alias("line"), F.array_max(x["p"]).alias("top"), F.array_position(x["p"], F.array_max(x["p"])).alias("k")))
     named = F.filter(found, lambda x: (x["k"] < len(FAMILIES)) & (x["top"] >= model.threshold))

@@ -48,6 +48,32 @@ def test_frequent_notice(spark):
     assert found == {i: ["Apache-2.0"] if i % 3 == 0 else [] for i, _ in rows}
 
 
+def test_wrapped_templates(spark, model):
+    import textwrap
+    rows, k = [], 0
+    for family, t in L.TEMPLATES:
+        for mark, width in (("", 70), ("# ", 70), (" * ", 40)):
+            lines = textwrap.wrap(t, width)
+            rows.append((k, "\n".join(["first line of it", *[mark + x for x in lines], "", "last words"]), family))
+            k += 1
+    mit, apache = textwrap.wrap(L.TEMPLATES[1][1], 60), textwrap.wrap(L.TEMPLATES[4][1], 60)
+    rows.append((900, "\n".join(mit + apache), "Apache-2.0,MIT"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, family string")
+    got = {r["doc_id"]: r for r in L.scan(df, model).collect()}
+    assert {k: got[k]["families"] for k, _, _ in rows} == {k: f.split(",") for k, _, f in rows}
+    assert all(len(r["notices"]) == 1 for k, r in got.items() if k < 900) and len(got[900]["notices"]) == 2
+
+
+def test_threshold_over_all_paragraphs(spark):
+    near = "the license version of the software is free of charge to any person"
+    rows = [(0, "one text in many copies")] * 500 + [(1, "\n".join(f"word{c} license version 3 public" for c in "abcdefgh"))]
+    df = spark.createDataFrame(rows + [(2, near)], "doc_id long, text string").repartition(3)
+    every = sorted({g for _, t in L.TEMPLATES for g in t.lower().replace(".", "").split()})
+    known = [(r["family"], r["g"]) for r in L._rows(spark, L.TEMPLATES).select("family", L.grams(L.words(L.F.col("text"))).alias("g")).collect()]
+    assert sum(r["n"] for r in L._features(df, "text", every, known, 0.5).collect()) == 509
+    assert L._sample(df, "text", 3, 1 << 16, 100, known, 0.5).count() == 10
+
+
 def test_empty_corpus_and_plan(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     model = L.fit(docs, copies=5)
