@@ -102,6 +102,20 @@ def test_lsh_recall(spark):
     assert all(sorted(v) == list(range(1, len(v) + 1)) for v in by_user.values())
 
 
+def test_lsh_recall_of_registered_parameters(spark):
+    from driftrank.operators.knn import knn_lsh
+    import driftrank.plans.catalog  # noqa: F401  registers all first
+    from driftrank.plans.catalog_vectors import LSH
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index = e.selectExpr("cast(vec_id as int) AS item_idx", "cast(embedding as array<float>) AS features")
+    q = index.where("item_idx % 8 = 0").withColumnRenamed("item_idx", "user_idx")
+    exact = {(r.user_idx, r.item_idx) for r in knn(q, index, 10).collect()}
+    got = {(r.user_idx, r.item_idx) for r in knn_lsh(q, index, 10, **LSH).collect()}
+    recall = len(got & exact) / len(exact)
+    print("recall", recall)
+    assert recall >= 0.9
+
+
 def test_knn_with_many_small_shards(spark):
     rng = np.random.default_rng(9)
     items = rng.normal(size=(50, 4))
