@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, license_scan, quality, quality_rules, secret_scan
+from . import chat_format, language_id, license_scan, quality, quality_rules, secret_scan
 from .decontaminate import decontaminate
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
+from .prefix_trie import ordered_turns, prefix_trie, with_shared_start
 from .tables import read, vocabulary
 from .token_counts import token_counts
 from .url_filter import url_filter
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -199,3 +201,54 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices of every document."""
     docs = read(spark, sf_dir, "documents")
     return license_scan.scan(docs, license_scan.fit(docs))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every usable embedding."""
+    found = whiten(read(spark, sf_dir, "embeddings"), components=4)
+    at = F.col("component") - 1
+    return (found.withColumn("component", F.explode(F.sequence(F.lit(1), F.size("z"))))
+            .select("vec_id", "component", "n", "deviation", F.get("z", at).alias("whitened"),
+                    F.get("explained", at).alias("explained"), "identity_error"))
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return language_id.predicted(docs, language_id.fit(docs))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations with its members, leaves and saved words."""
+    rows = read(spark, sf_dir, "conversations")
+    return prefix_trie(with_shared_start(ordered_turns(rows)), rows.select("conv_id").filter("conv_id is not null").distinct())
+
+
+SQL["op13_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''),
+                 lambda x: CAST(ascii(x) AS BIGINT))), lambda acc, x: list_reduce([xor(acc, x), 0, 0, 0, 0, 0, 0, 0, 0],
+                 lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 4 AS h
+        FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT i.c, t.k, role, text FROM ids i JOIN t ON t.c = i.base AND t.k <= i.h
+      UNION ALL SELECT i.c, t.k, role, text FROM ids i JOIN t ON t.c = i.c AND t.k > i.h),
+o AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, sha256(role || chr(10) || text) AS s,
+             len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM r),
+p AS (SELECT c, d, words, sha256(string_agg(s, ',') OVER (PARTITION BY c ORDER BY d)) AS key FROM o
+      UNION ALL SELECT c, 0, 0, '' FROM ids),
+u AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS up, lead(key) OVER (PARTITION BY c ORDER BY d) IS NULL AS ends FROM p),
+n AS (SELECT d, key, any_value(up) AS up, min(c) AS c, count(*) AS members, max(words) AS words,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends FROM u GROUP BY d, key),
+kids AS (SELECT up AS key, count(*) AS k FROM n WHERE d > 0 GROUP BY up),
+m AS (SELECT n.*, coalesce(kids.k, 0) AS n_children, (members - 1) * words AS saves FROM n LEFT JOIN kids USING (key)),
+sub AS (SELECT a.key, count(*) FILTER (n_children = 0) AS n_leaves, sum(saves) AS saved
+        FROM (SELECT DISTINCT a.key AS key, b.key AS below FROM p a JOIN p b ON a.c = b.c AND a.d <= b.d) a
+        JOIN m ON m.key = a.below GROUP BY a.key)
+SELECT m.c AS conv_id, m.d AS depth, up.c AS parent_conv_id, m.members AS n_convs, CAST(m.n_children AS BIGINT) AS n_children,
+       n_leaves, CAST(saved AS BIGINT) AS saved_tokens, m.ends AS ends_sha256
+FROM m LEFT JOIN m up ON up.key = m.up AND m.d > 0 JOIN sub ON sub.key = m.key
+"""
