@@ -93,8 +93,8 @@ def _stack(vectors, d: int | None = None) -> np.ndarray:
     return np.asarray(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]))
 
 
-def topk_rows(scores: np.ndarray, item_ids: np.ndarray, k: int, exact):
-    """Per row: the k best finite scores, ties by smaller item id.
+def topk_rows(scores: np.ndarray, item_ids: np.ndarray, k: int | np.ndarray, exact):
+    """Per row: the k best finite scores, ties by smaller item id; k is one number or one per row.
 
     Returns (row, col, score) arrays in rank order.  ``scores`` may carry the
     rounding of a blocked matrix product, which can differ between equal
@@ -106,8 +106,9 @@ def topk_rows(scores: np.ndarray, item_ids: np.ndarray, k: int, exact):
     if nq == 0 or ni == 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(0)
-    if ni > k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    most = int(np.max(k))
+    if ni > most:
+        kth = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
         largest = np.where(np.isfinite(scores), np.abs(scores), 0.0).max(axis=1)
         keep = (scores >= (kth - 1e-12 * largest)[:, None]) & np.isfinite(scores)
     else:
@@ -119,7 +120,7 @@ def topk_rows(scores: np.ndarray, item_ids: np.ndarray, k: int, exact):
     # position inside each row; cut at k
     starts = np.searchsorted(rows, rows, side="left")
     pos = np.arange(len(rows)) - starts
-    sel = pos < k
+    sel = pos < np.broadcast_to(k, (nq,))[rows]
     return rows[sel], cols[sel], value[sel]
 
 
@@ -143,17 +144,8 @@ def _filter_mask(groups: np.ndarray, types: np.ndarray, must_group, must_type,
     return mask
 
 
-def score_block(qvecs: np.ndarray, ivecs: np.ndarray, item_ids: np.ndarray, k: int,
-                excludes=None, filters=None, groups=None, types=None, metric: str = "cosine",
-                items_ready: bool = False):
-    """Cosine (or dot-product) scores of a query block against an item
-    shard, masked, top-k.  Returns (row, item_id, score) arrays.
-    ``items_ready``: ``ivecs`` is already prepared (unit rows for cosine).
-    """
-    if metric != "dot":
-        qvecs = _unit_rows(qvecs)
-        ivecs = ivecs if items_ready else _unit_rows(ivecs)
-    scores = qvecs @ ivecs.T
+def mask_scores(scores: np.ndarray, item_ids: np.ndarray, excludes=None, filters=None, groups=None, types=None) -> None:
+    """Sets what a query excludes or filters out to minus infinity, in place."""
     if excludes is not None and len(item_ids):
         order = np.argsort(item_ids, kind="stable")
         sorted_ids = item_ids[order]
@@ -178,6 +170,20 @@ def score_block(qvecs: np.ndarray, ivecs: np.ndarray, item_ids: np.ndarray, k: i
             if key not in cache:
                 cache[key] = _filter_mask(groups, types, *key)
             scores[r, ~cache[key]] = -np.inf
+
+
+def score_block(qvecs: np.ndarray, ivecs: np.ndarray, item_ids: np.ndarray, k: int,
+                excludes=None, filters=None, groups=None, types=None, metric: str = "cosine",
+                items_ready: bool = False):
+    """Cosine (or dot-product) scores of a query block against an item
+    shard, masked, top-k.  Returns (row, item_id, score) arrays.
+    ``items_ready``: ``ivecs`` is already prepared (unit rows for cosine).
+    """
+    if metric != "dot":
+        qvecs = _unit_rows(qvecs)
+        ivecs = ivecs if items_ready else _unit_rows(ivecs)
+    scores = qvecs @ ivecs.T
+    mask_scores(scores, item_ids, excludes, filters, groups, types)
     rows, cols, value = topk_rows(scores, item_ids, k,
                                   lambda r, c: np.einsum("ij,ij->i", qvecs[r], ivecs[c]))
     return rows, item_ids[cols], value
@@ -193,7 +199,7 @@ _PAIR_OUT = T.StructType([
 ])
 
 
-def _pack_queries(batches, has_excl: bool, has_filters: bool, query_rows: int):
+def _pack_queries(batches, has_excl: bool, has_filters: bool, query_rows: int, own_k: bool = False):
     """One packed row per ``query_rows`` queries (a bounded block)."""
     import pyspark
     ctx = pyspark.TaskContext.get()
@@ -207,6 +213,8 @@ def _pack_queries(batches, has_excl: bool, has_filters: bool, query_rows: int):
                 "qids": [pdf["qid"].astype("int64").tolist()],
                 "qvecs": [list(pdf["qvec"])],
             }
+            if own_k:
+                out["qk"] = [pdf["qk"].astype("int64").tolist()]
             if has_excl:
                 out["qexcl"] = [list(pdf["qexcl"])]
             if has_filters:
@@ -216,7 +224,7 @@ def _pack_queries(batches, has_excl: bool, has_filters: bool, query_rows: int):
             yield pd.DataFrame(out)
 
 
-def _score_pairs(batches, k: int, has_excl: bool, has_filters: bool, metric: str = "cosine"):
+def _score_pairs(batches, k: int | None, has_excl: bool, has_filters: bool, metric: str = "cosine"):
     # consecutive pairs usually share an item shard (the join output is
     # sorted by shard): keep the last prepared shard matrix
     last_key, last_ivecs = None, None
@@ -240,7 +248,8 @@ def _score_pairs(batches, k: int, has_excl: bool, has_filters: bool, metric: str
                 filters = list(zip(row.must_group, row.must_type, row.not_groups, row.not_types))
                 groups = np.asarray(row.groups, dtype=object)
                 types = np.asarray(row.types, dtype=object)
-            r, items, sc = score_block(qvecs, ivecs, ids, k, excl, filters, groups, types, metric,
+            own = np.asarray(row.qk, dtype=np.int64) if k is None else k
+            r, items, sc = score_block(qvecs, ivecs, ids, own, excl, filters, groups, types, metric,
                                        items_ready=True)
             qids = np.asarray(row.qids, dtype=np.int64)
             outs.append(pd.DataFrame({"qid": qids[r], "item_idx": items.astype(np.int32),
@@ -253,7 +262,7 @@ def _score_pairs(batches, k: int, has_excl: bool, has_filters: bool, metric: str
                                 "score": pd.Series([], dtype="float64")})
 
 
-def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx",
+def knn(queries: DataFrame, index: DataFrame, k: int | str, query_id: str = "user_idx",
         vector: str = "features", exclude: str | None = None,
         item_filter: Column | None = None, per_query_filters: bool = False,
         shard_rows: int = DEFAULT_SHARD_ROWS, query_rows: int = DEFAULT_QUERY_ROWS,
@@ -265,7 +274,8 @@ def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx"
     query (history plus explicit ids); ``item_filter`` is a catalog-wide
     predicate (pushed to the index scan); with ``per_query_filters`` the
     query rows carry must_group / must_type / not_groups / not_types.
-    Filters and exclusions act before the cut, so k results survive when k
+    ``k`` is a number or names an int column with each query's own (a query
+    whose k is null or below 1 has no rows).  Filters and exclusions act before the cut, so k results survive when k
     items qualify.  Output: (query_id, rank, item_idx, score).
 
     Work split: S = ceil(items / shard_rows) item shards of bounded size;
@@ -305,37 +315,52 @@ def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "user_idx"
                     T.StructField("must_type", T.ArrayType(T.StringType())),
                     T.StructField("not_groups", T.ArrayType(T.ArrayType(T.StringType()))),
                     T.StructField("not_types", T.ArrayType(T.ArrayType(T.StringType())))]
-    q = queries.where(F.col(vector).isNotNull()).select(*qcols)
+    own_k = isinstance(k, str)
+    asked = queries.where(F.col(vector).isNotNull())
+    if own_k:
+        asked = asked.where(F.col(k) > 0)
+        qcols.append(F.col(k).cast("long").alias("qk"))
+        qschema.append(T.StructField("qk", T.ArrayType(T.LongType())))
+    q = asked.select(*qcols)
     has_excl, has_f = bool(exclude), per_query_filters
     qr = int(query_rows)
-    blocks = q.mapInPandas(lambda it: _pack_queries(it, has_excl, has_f, qr), T.StructType(qschema))
+    blocks = q.mapInPandas(lambda it: _pack_queries(it, has_excl, has_f, qr, own_k), T.StructType(qschema))
     pairs = (blocks.withColumn("qgroup", F.pmod(F.xxhash64("qblock"), n_groups).cast("int"))
              .withColumn("shard", F.explode(F.sequence(F.lit(0), n_shards - 1)))
              .join(shards, ["shard", "qgroup"]))
     m = metric
-    scored = pairs.mapInPandas(lambda it: _score_pairs(it, k, has_excl, has_f, m), _PAIR_OUT)
+    fixed = None if own_k else k
+    scored = pairs.mapInPandas(lambda it: _score_pairs(it, fixed, has_excl, has_f, m), _PAIR_OUT)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("item_idx").asc())
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    if own_k:
+        ranked = ranked.join(asked.select(F.col(query_id).cast("long").alias("qid"), F.col(k).alias("_k")), "qid")
+    ranked = ranked.where(F.col("rank") <= (F.col("_k") if own_k else k))
     return ranked.select(F.col("qid").cast(queries.schema[query_id].dataType).alias(query_id),
                          F.col("rank").cast("int"), "item_idx", "score")
 
 
-def similar_items(sources: DataFrame, index: DataFrame, k: int = S.DEFAULT_K,
-                  source_col: str = "item_idx", exclude: str | None = None,
-                  item_filter: Column | None = None, per_query_filters: bool = False,
-                  shard_rows: int = DEFAULT_SHARD_ROWS) -> DataFrame:
-    """V3: top-k neighbours of each source item; the source itself is always
-    excluded (plus ids in ``exclude``).  Sources absent from the index get
-    no rows (see ``similar_items_status``)."""
+def source_queries(sources: DataFrame, index: DataFrame, source_col: str = "item_idx", exclude: str | None = None,
+                   per_query_filters: bool = False) -> DataFrame:
+    """Source items as queries: their vectors, and ``_excl``, the source and the ids in ``exclude``."""
     src = sources.select(F.col(source_col).cast("int").alias("source_item_idx"),
                          *([exclude] if exclude else []),
                          *(list(FILTER_COLS) if per_query_filters else []))
     vec = index.select(F.col("item_idx").alias("source_item_idx"), "features")
-    q = src.join(vec, "source_item_idx")
     excl = F.array(F.col("source_item_idx"))
     if exclude:
         excl = F.array_union(excl, F.coalesce(F.col(exclude), F.array().cast("array<int>")))
-    q = q.withColumn("_excl", excl)
+    return src.join(vec, "source_item_idx").withColumn("_excl", excl)
+
+
+def similar_items(sources: DataFrame, index: DataFrame, k: int = S.DEFAULT_K,
+                  source_col: str = "item_idx", exclude: str | None = None,
+                  item_filter: Column | None = None, per_query_filters: bool = False,
+                  shard_rows: int = DEFAULT_SHARD_ROWS) -> DataFrame:
+    """V3: top-k neighbours of each source item; the source itself is always
+    excluded (plus ids in ``exclude``).  Sources absent from the index get
+    no rows (see ``similar_items_status``)."""
+    q = source_queries(sources, index, source_col, exclude, per_query_filters)
     return knn(q, index, k, query_id="source_item_idx", exclude="_excl",
                item_filter=item_filter, per_query_filters=per_query_filters,
                shard_rows=shard_rows)

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def mmr_select(scores: np.ndarray, vectors: np.ndarray, lam: float, k: int) -> np.ndarray:
+def mmr_select(scores: np.ndarray, vectors: np.ndarray, lam: float | np.ndarray, k: int) -> np.ndarray:
     """Greedy MMR for a batch of equal-length lists.
 
-    scores (B, n), vectors (B, n, d) -> chosen indices (B, min(k, n)).
+    scores (B, n), vectors (B, n, d) -> chosen indices (B, min(k, n));
+    ``lam`` is one value or one per list.
     Relevance is min-max scaled per list (all ones when the range is 0);
     the running max similarity starts at 0, so a negative similarity never
     helps; argmax takes the first maximum (the better-ranked candidate).
@@ -40,7 +41,7 @@ def mmr_select(scores: np.ndarray, vectors: np.ndarray, lam: float, k: int) -> n
     max_sims = np.zeros((B, n), dtype=np.float64)
     taken = np.zeros((B, n), dtype=bool)
     out = np.zeros((B, k), dtype=np.int64)
-    lam = float(lam)
+    lam = np.broadcast_to(np.asarray(lam, dtype=np.float64), (B,))[:, None]
     rows = np.arange(B)
     for step in range(k):
         m = lam * rel - (1.0 - lam) * max_sims
@@ -60,7 +61,7 @@ _OUT = T.StructType([
 ])
 
 
-def _rerank_batches(batches, lam: float, k: int):
+def _rerank_batches(batches):
     for pdf in batches:
         if len(pdf) == 0:
             continue
@@ -74,32 +75,37 @@ def _rerank_batches(batches, lam: float, k: int):
             sc = np.stack([np.asarray(x, dtype=np.float64) for x in sub["scores"]])
             vec = np.stack([np.stack([np.asarray(v, dtype=np.float64) for v in vs])
                             for vs in sub["vecs"]])
-            pick = mmr_select(sc, vec, lam, k)
+            k = sub["k"].to_numpy(dtype=np.int64)
+            pick = mmr_select(sc, vec, sub["lam"].to_numpy(dtype=np.float64), int(k.max()))
             B, kk = pick.shape
-            r = np.repeat(np.arange(B), kk)
+            r, at = np.nonzero(np.arange(kk)[None, :] < k[:, None])
             outs.append(pd.DataFrame({
-                "qid": np.repeat(sub["qid"].to_numpy(dtype=np.int64), kk),
-                "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), B),
-                "item_idx": ids[r, pick.ravel()].astype(np.int32),
-                "score": sc[r, pick.ravel()],
+                "qid": sub["qid"].to_numpy(dtype=np.int64)[r],
+                "rank": (at + 1).astype(np.int32),
+                "item_idx": ids[r, pick[r, at]].astype(np.int32),
+                "score": sc[r, pick[r, at]],
             }))
         if outs:
             yield pd.concat(outs, ignore_index=True)
 
 
-def mmr_rerank(cands: DataFrame, vectors: DataFrame, diversity_lambda: float, k: int,
+def mmr_rerank(cands: DataFrame, vectors: DataFrame, diversity_lambda: float | str, k: int | str,
                query_id: str = "user_idx") -> DataFrame:
     """M1: re-rank each query's candidates (query_id, rank, item_idx, score)
     by MMR and keep k; the score stays the original cosine.  ``vectors``
-    supplies (item_idx, features) for the candidates."""
+    supplies (item_idx, features) for the candidates.  ``diversity_lambda``
+    and ``k`` are values for all queries or name columns of ``cands`` that
+    hold each query's own."""
+    own = [F.col(x) if isinstance(x, str) else F.lit(x) for x in (diversity_lambda, k)]
+    cands = cands.select(query_id, "rank", "item_idx", "score", own[0].cast("double").alias("_lam"), own[1].cast("int").alias("_k"))
     with_vec = cands.join(vectors.select("item_idx", "features"), "item_idx")
     packed = with_vec.groupBy(query_id).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "item_idx", "score", "features"))).alias("_c"))
+        F.sort_array(F.collect_list(F.struct("rank", "item_idx", "score", "features"))).alias("_c"),
+        F.first("_lam").alias("lam"), F.first("_k").alias("k"))
     packed = packed.select(
         F.col(query_id).cast("long").alias("qid"),
         F.col("_c.item_idx").alias("ids"), F.col("_c.score").alias("scores"),
-        F.col("_c.features").alias("vecs"))
-    lam = float(diversity_lambda)
-    out = packed.mapInPandas(lambda it: _rerank_batches(it, lam, k), _OUT)
+        F.col("_c.features").alias("vecs"), "lam", "k")
+    out = packed.mapInPandas(_rerank_batches, _OUT)
     return out.select(F.col("qid").cast(cands.schema[query_id].dataType).alias(query_id),
                       "rank", "item_idx", "score")

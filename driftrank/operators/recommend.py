@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from driftrank import schema as S
 from driftrank.functions.columns import dot, unit
+from driftrank.operators.cells import CellIndex
 from driftrank.operators.knn import DEFAULT_SHARD_ROWS, catalog_filter, knn
 from driftrank.operators.mmr import mmr_rerank
 
@@ -65,8 +66,8 @@ def recommend(users: DataFrame, user_vectors: DataFrame, index: DataFrame,
               product_type: str | None = None, exclude_groups: list[str] | None = None,
               exclude_types: list[str] | None = None, exclude_col: str | None = None,
               fallback_respects_filters: bool = False,
-              shard_rows: int = DEFAULT_SHARD_ROWS) -> DataFrame:
-    """RC1: top-k per user with source/user_type.
+              shard_rows: int = DEFAULT_SHARD_ROWS, approx: CellIndex | None = None) -> DataFrame:
+    """RC1: top-k per user with source/user_type; with ``approx`` the candidates come from its cells.
 
     ``users`` has user_idx (and optionally an array<int> ``exclude_col`` of
     explicit exclusions).  Output rows: (user_idx, rank, item_idx, score,
@@ -84,8 +85,8 @@ def recommend(users: DataFrame, user_vectors: DataFrame, index: DataFrame,
         excl = F.array_union(excl, F.coalesce(F.col(exclude_col), _empty_ints()))
     known = known.withColumn("_excl", excl)
     flt = catalog_filter(product_group, product_type, None, exclude_groups, exclude_types)
-    cands = knn(known, index, n_fetch, query_id="user_idx", exclude="_excl",
-                item_filter=flt, shard_rows=shard_rows)
+    asked = {"query_id": "user_idx", "exclude": "_excl", "item_filter": flt, "shard_rows": shard_rows}
+    cands = knn(known, index, n_fetch, **asked) if approx is None else approx.search(known, n_fetch, **asked)
     if diversity_lambda < 1.0:
         picked = mmr_rerank(cands, index, diversity_lambda, k)
     else:
@@ -112,6 +113,67 @@ def recommend(users: DataFrame, user_vectors: DataFrame, index: DataFrame,
     return rows.select("user_idx", "_r.rank", "_r.item_idx", "_r.score", "source", "user_type", "reason")
 
 
+def answer_counts(users: DataFrame, user_vectors: DataFrame, answers: DataFrame) -> DataFrame:
+    """ME5: requests by (source, user_type, reason); an unanswered one has neither source nor reason."""
+    has = user_vectors.select(F.col("id").alias("user_idx") if "id" in user_vectors.columns else F.col("user_idx"),
+                              F.lit(True).alias("_has_vec"))
+    given = answers.select("user_idx", "source", "reason").distinct()
+    asked = users.select("user_idx").dropDuplicates(["user_idx"]).join(has, "user_idx", "left").join(given, "user_idx", "left")
+    kind = F.when(F.col("_has_vec"), F.lit(S.USER_KNOWN)).otherwise(F.lit(S.USER_COLD))
+    return asked.groupBy("source", kind.alias("user_type"), "reason").agg(F.count(F.lit(1)).alias("requests"))
+
+
+REQUEST_ARGS = ("k", "diversity_lambda", "must_group", "must_type", "not_groups", "not_types", "exclude")
+
+
+def recommend_requests(requests: DataFrame, user_vectors: DataFrame, index: DataFrame, history: DataFrame,
+                       trending: DataFrame, request_id: str = "request_id", shard_rows: int = DEFAULT_SHARD_ROWS) -> DataFrame:
+    """RC1 with every request's own arguments: one search for all of them.
+
+    ``requests`` has one row per request: ``request_id``, ``user_idx`` and the
+    columns ``REQUEST_ARGS`` (missing ones and nulls take the service's
+    defaults).  A request out of range has no answer and the reason
+    ``invalid``; one that neither the user's vector nor the trending list can
+    answer has the reason it would have had and no item (rank 0).
+    Output: (request_id, user_idx, rank, item_idx, score, source, user_type, reason).
+    """
+    have = {c.lower() for c in requests.columns}
+    empty = F.array().cast("array<string>")
+    defaults = {"k": (F.lit(S.DEFAULT_K), "int"), "diversity_lambda": (F.lit(S.DEFAULT_LAMBDA), "double"),
+                "must_group": (F.lit(None), "string"), "must_type": (F.lit(None), "string"),
+                "not_groups": (empty, "array<string>"), "not_types": (empty, "array<string>"),
+                "exclude": (_empty_ints(), "array<int>")}
+    args = [(F.coalesce(F.col(c).cast(t), d.cast(t)) if c in have else d.cast(t)).alias(c) for c, (d, t) in defaults.items()]
+    asked = requests.select(F.col(request_id).cast("long").alias("request_id"), "user_idx", *args)
+    valid = F.col("k").between(1, S.MAX_K) & F.col("diversity_lambda").between(0.0, 1.0)
+    asked = asked.withColumn("valid", valid).withColumn("fetch", F.when(F.col("diversity_lambda") >= 1.0, F.col("k")).otherwise(
+        F.least(F.col("k") * 2, F.col("k") + 20, F.lit(S.MAX_K))))
+    uv = user_vectors.select(F.col("id").alias("user_idx") if "id" in user_vectors.columns else F.col("user_idx"), "features")
+    known = (asked.where("valid").join(uv, "user_idx").join(history_arrays(history), "user_idx", "left")
+             .withColumn("_excl", F.array_union(F.coalesce(F.col("history"), _empty_ints()), F.col("exclude"))))
+    cands = knn(known, index, "fetch", query_id="request_id", exclude="_excl", per_query_filters=True, shard_rows=shard_rows)
+    cands = cands.join(asked.select("request_id", "diversity_lambda", "k"), "request_id")
+    picked = mmr_rerank(cands, index, "diversity_lambda", "k", query_id="request_id")
+    lists = picked.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("rank").cast("int").alias("rank"), F.col("item_idx").cast("int").alias("item_idx"),
+        F.col("score").cast("double").alias("score")))).alias("_mine"))
+    answered = (asked.join(uv.select("user_idx", F.lit(True).alias("_has_vec")), "user_idx", "left")
+                .join(lists, "request_id", "left"))
+    mine, known_user = F.col("_mine").isNotNull(), F.coalesce(F.col("_has_vec"), F.lit(False))
+    trend = F.slice(F.coalesce(trending_list(trending, S.MAX_K), F.array()), 1, F.greatest(F.col("k"), F.lit(1)))
+    chosen = F.when(~F.col("valid"), F.lit(None)).when(mine, F.col("_mine")).otherwise(trend)
+    rows = answered.select(
+        "request_id", "user_idx",
+        F.when(F.col("valid"), F.when(mine, F.lit(S.SOURCE_PERSONALIZED)).otherwise(F.lit(S.SOURCE_TRENDING))).alias("source"),
+        F.when(known_user, F.lit(S.USER_KNOWN)).otherwise(F.lit(S.USER_COLD)).alias("user_type"),
+        F.when(~F.col("valid"), F.lit("invalid")).when(~mine, F.when(known_user, F.lit("no_results"))
+                                                       .otherwise(F.lit("cold_start"))).alias("reason"),
+        F.explode_outer(chosen).alias("_r"))
+    nothing = F.col("_r").isNull()
+    return rows.select("request_id", "user_idx", F.coalesce("_r.rank", F.lit(0)).alias("rank"), "_r.item_idx", "_r.score",
+                       F.when(~nothing, F.col("source")).alias("source"), "user_type", "reason")
+
+
 _EXPLAIN_OUT = T.StructType([
     T.StructField("user_idx", T.LongType()),
     T.StructField("rec_rank", T.IntegerType()),

@@ -66,14 +66,20 @@ def debounce_fold(ts: np.ndarray, window: float, anchor: float | None = None) ->
     return acc
 
 
-def segment_summary(ts: np.ndarray, window: float):
-    """How a key segment maps an incoming anchor to its outgoing anchor.
+#: breakpoints in one row of a slice's summary
+CHUNK = 1024
+
+
+def segment_summary(ts: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray]:
+    """How a key's slice maps an incoming anchor to its outgoing anchor.
 
     An incoming anchor A comes from earlier partitions, so A <= ts[0]; the
     first accepted event is then one of the events within ``window`` of
-    ts[0] (or the first one after them).  Returns (head_ts, head_last):
-    the candidate first events' times and, per candidate start, the time
-    of the last event the chain from it accepts (right-to-left DP)."""
+    ts[0] or the first one after them (which any A lets pass: its breakpoint
+    is infinite).  Returns (bound, last): A goes with the first breakpoint of
+    bound - A >= window, and ``last`` is the time of the last event that the
+    chain from there accepts; neighbours of equal ``last`` are one breakpoint.
+    """
     n = len(ts)
     nxt = _next_accept(ts, window)
     # end of the chain from every start, by pointer jumping (log n numpy
@@ -84,24 +90,22 @@ def segment_summary(ts: np.ndarray, window: float):
         if np.array_equal(nxt_ptr, ptr):
             break
         ptr = nxt_ptr
-    last = ts[ptr]
     h = int(np.searchsorted(ts, ts[0] + window, side="left"))
     while h < n and ts[h] - ts[0] < window:
         h += 1
     while h > 1 and ts[h - 1] - ts[0] >= window:
         h -= 1
-    return ts[:h].tolist(), last[:min(h + 1, n)].tolist()
+    bound, last = ts[:h], ts[ptr[:h]]
+    if h < n:
+        bound, last = np.append(bound, np.inf), np.append(last, ts[ptr[h]])
+    run_end = np.append(last[1:] != last[:-1], True)
+    return bound[run_end], last[run_end]
 
 
-def apply_summary(head_ts, head_last, n: int, window: float, anchor):
-    """Outgoing anchor of a segment for an incoming anchor (None = none)."""
-    if anchor is None:
-        return head_last[0]
-    for i, t in enumerate(head_ts):
-        if t - anchor >= window:
-            return head_last[i]
-    h = len(head_ts)
-    return head_last[h] if h < n else anchor
+def apply_summary(bound: np.ndarray, last: np.ndarray, window: float, anchor: float) -> float | None:
+    """Outgoing anchor for an incoming one (minus infinity: none); None if no breakpoint lets it pass."""
+    at = int(np.argmax(bound - anchor >= window))
+    return float(last[at]) if bound[at] - anchor >= window else None
 
 
 def _summaries(batches, keys: Sequence[str], ts_col: str, window: float):
@@ -135,23 +139,31 @@ def _summaries(batches, keys: Sequence[str], ts_col: str, window: float):
     if cur_key is None:
         return
     segs = ([first] if first is not None else []) + [(cur_key, cur_ts)]
-    rows = []
     for k, parts in segs:
-        t = np.concatenate(parts)
-        head_ts, head_last = segment_summary(t, window)
-        rows.append((*k, pid, len(t), head_ts, head_last))
-    yield pd.DataFrame(rows, columns=[*keys, PID, "_n", "_head_ts", "_head_last"])
+        bound, last = segment_summary(np.concatenate(parts), window)
+        for c, at in enumerate(range(0, len(bound), CHUNK)):
+            yield pd.DataFrame([(*k, pid, c, bound[at:at + CHUNK].tolist(), last[at:at + CHUNK].tolist())],
+                               columns=[*keys, PID, "_chunk", "_bound", "_last"])
 
 
-def _compose(pdf: pd.DataFrame, keys: Sequence[str], window: float) -> pd.DataFrame:
-    """Pass 1.5, one key: walk its partitions in order, carrying the anchor."""
-    pdf = pdf.sort_values(PID)
-    anchor = None
-    out = []
-    for d in pdf.to_dict("records"):
-        out.append((*[d[k] for k in keys], d[PID], anchor))
-        anchor = apply_summary(list(d["_head_ts"]), list(d["_head_last"]), int(d["_n"]), window, anchor)
-    return pd.DataFrame(out, columns=[*keys, PID, "_ain"])
+def _compose(batches, keys: Sequence[str], window: float):
+    """Pass 1.5, chunks sorted by (keys, partition, chunk): carries each key's
+    anchor from slice to slice; what is held at a time is one chunk."""
+    key, part, anchor, out = None, None, -np.inf, -np.inf
+    for pdf in batches:
+        rows = []
+        for *k, pid, _, bound, last in pdf[[*keys, PID, "_chunk", "_bound", "_last"]].itertuples(index=False):
+            k = tuple(k)
+            if k != key:
+                key, part, out = k, None, -np.inf
+            if pid != part:
+                part, anchor, passed = pid, out, False
+                rows.append((*k, pid, None if np.isinf(anchor) else anchor))
+            if not passed:
+                found = apply_summary(np.asarray(bound), np.asarray(last), window, anchor)
+                if found is not None:
+                    out, passed = found, True
+        yield pd.DataFrame(rows, columns=[*keys, PID, "_ain"])
 
 
 def _debounce_partition(batches, keys: Sequence[str], ts_col: str, window: float,
@@ -221,10 +233,10 @@ def debounce(events: DataFrame, keys: Sequence[str] = DEBOUNCE_KEYS,
     Plan (skew-safe, exact): range-partition by (key, ts, order) so a hot
     key is split over many sorted partitions; pass 1 summarises each
     partition's boundary segments (how an incoming anchor maps to the
-    outgoing one); a per-key walk over those few rows (at most two per
-    partition) gives every boundary segment its incoming anchor; pass 2
-    folds all partitions in parallel, streaming Arrow batches.  Events with
-    a gap >= window to their predecessor bypass the fold.
+    outgoing one) in rows of at most ``CHUNK`` breakpoints; a walk over those
+    rows, one at a time, gives every boundary segment its incoming anchor;
+    pass 2 folds all partitions in parallel, streaming Arrow batches.  Events
+    with a gap >= window to their predecessor bypass the fold.
     """
     keys_t, window = tuple(keys), float(seconds)
     out_schema = T.StructType(events.schema.fields + [T.StructField("accepted", T.BooleanType())])
@@ -234,13 +246,14 @@ def debounce(events: DataFrame, keys: Sequence[str] = DEBOUNCE_KEYS,
 
     key_fields = [r.schema[k] for k in keys_t]
     summ_schema = T.StructType(key_fields + [
-        T.StructField(PID, T.IntegerType()), T.StructField("_n", T.LongType()),
-        T.StructField("_head_ts", T.ArrayType(T.DoubleType())),
-        T.StructField("_head_last", T.ArrayType(T.DoubleType()))])
-    summ = r.mapInPandas(lambda it: _summaries(it, keys_t, ts, window), summ_schema)
+        T.StructField(PID, T.IntegerType()), T.StructField("_chunk", T.LongType()),
+        T.StructField("_bound", T.ArrayType(T.DoubleType())),
+        T.StructField("_last", T.ArrayType(T.DoubleType()))])
+    summ = (r.mapInPandas(lambda it: _summaries(it, keys_t, ts, window), summ_schema)
+            .repartition(*keys_t).sortWithinPartitions(*keys_t, PID, "_chunk"))
     ain_schema = T.StructType(key_fields + [T.StructField(PID, T.IntegerType()),
                                             T.StructField("_ain", T.DoubleType())])
-    ain = summ.groupBy(*keys_t).applyInPandas(lambda pdf: _compose(pdf, keys_t, window), ain_schema)
+    ain = summ.mapInPandas(lambda it: _compose(it, keys_t, window), ain_schema)
     # at most two rows per partition: a proven-small broadcast
     joined = (r.join(F.broadcast(ain), [*keys_t, PID], "left")
               .sortWithinPartitions(*keys_t, ts, order))

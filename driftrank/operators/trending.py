@@ -56,6 +56,38 @@ def trending(tx: DataFrame, days: int = S.TRENDING_DAYS, k: int = S.TRENDING_K,
     return topk(distinct_buyers(recent(tx, days, as_of), approx_rsd=approx_rsd), k)
 
 
+def daily_buyers(tx: DataFrame, user_map: DataFrame) -> DataFrame:
+    """Mergeable sets of buyers per day and item, from transactions of any days.
+
+    Exact: (t_dat, article_id, bucket, buyers), a bitmap of 32,768 dense user
+    ids per row, so an item with very many buyers is many bounded rows.
+    """
+    bought = tx.select("t_dat", "article_id", "customer_id").join(user_map.select("customer_id", "user_idx"), "customer_id")
+    bit = F.col("user_idx").cast("long") + 1
+    return (bought.groupBy("t_dat", "article_id", F.bitmap_bucket_number(bit).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("buyers")))
+
+
+def daily_sketches(tx: DataFrame, log_k: int = 12) -> DataFrame:
+    """The approximate form: (t_dat, article_id, sketch), one HyperLogLog sketch of 2^log_k registers."""
+    return tx.groupBy("t_dat", "article_id").agg(F.hll_sketch_agg("customer_id", log_k).alias("sketch"))
+
+
+def trending_from_days(days: DataFrame, window: int = S.TRENDING_DAYS, k: int = S.TRENDING_K, as_of=None) -> DataFrame:
+    """T1 from the day tables: the sets of the window's days are united, no transaction is read.
+
+    ``days`` is a table of ``daily_buyers`` (exact) or ``daily_sketches``
+    rows; several rows of one day and item, as from late data, are united too.
+    """
+    live = recent(days, window, as_of)
+    if "sketch" in days.columns:
+        score = live.groupBy("article_id").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).cast("double").alias("score"))
+    else:
+        one = live.groupBy("article_id", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("buyers")).alias("n"))
+        score = one.groupBy("article_id").agg(F.sum("n").cast("double").alias("score"))
+    return topk(score, k)
+
+
 def enrich_trending(top: DataFrame, item_map: DataFrame, articles: DataFrame,
                     flat: bool = True) -> DataFrame:
     """Attach item_idx (inner) and article payload (left), ranked anew

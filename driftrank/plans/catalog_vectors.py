@@ -234,11 +234,14 @@ def q_debounce_hits(spark, d):
         F.count(F.when(~F.col("accepted"), 1)).alias("hits"), F.count(F.lit(1)).alias("events"))
 
 
-@register("debounce_item_key", sql=with_views("ev_l", "index_l", extra=STATE_SQL)
-          + "SELECT event_id, user_idx, item_idx, event_type FROM acc")
+@register("debounce_item_key", sql=with_views("ev_l", extra=_debounce_sql("i_", ["user_idx", "item_idx", "event_type"], 864000))
+          + "SELECT event_id, user_idx, item_idx, event_type FROM i_flag WHERE ok")
 def q_debounce_item_key(spark, d):
-    """ST1 with the service's own key (user, item, type) and 300 s."""
-    return _t(spark, d).accepted_events.select("event_id", "user_idx", "item_idx", "event_type")
+    """ST1 with the service's own key (user, item, type), over ten days since
+    no pair comes back within the service's 300 s."""
+    from driftrank.operators.interactions import known_events
+    from driftrank.operators.state import debounce
+    return debounce(known_events(_t(spark, d).events), seconds=864000).select("event_id", "user_idx", "item_idx", "event_type")
 
 
 @register("ema_user_vectors", sql=with_views("ev_l", "index_l", extra=STATE_SQL)
@@ -257,13 +260,14 @@ def q_bounded_history(spark, d):
 
 
 @register("events_missing_item", sql=with_views("ev_l", "index_l", extra=STATE_SQL) + (
-    "SELECT a.event_id, a.item_idx FROM acc a LEFT JOIN iv i ON a.item_idx = i.item_idx "
-    "WHERE i.item_idx IS NULL"))
+    "SELECT a.event_id, a.item_idx FROM acc a LEFT JOIN (SELECT * FROM iv WHERE item_idx % 3 > 0) i "
+    "ON a.item_idx = i.item_idx WHERE i.item_idx IS NULL"))
 def q_events_missing_item(spark, d):
-    """accepted events whose item has no vector (skipped by the update)."""
+    """accepted events whose item has no vector (skipped by the update),
+    as if every third item had none."""
     from driftrank.operators.state import attach_item_vectors
     t = _t(spark, d)
-    return (attach_item_vectors(t.accepted_events, t.item_vectors)
+    return (attach_item_vectors(t.accepted_events, t.item_vectors.where("item_idx % 3 > 0"))
             .where(F.col("item_vector").isNull()).select("event_id", "item_idx"))
 
 
@@ -319,6 +323,45 @@ def q_knn_lsh(spark, d):
     return knn_lsh(q, t.item_index, K, query_id="user_idx", exclude="history", **LSH)
 
 
+@register("knn_cells")
+def q_knn_cells(spark, d):
+    """V4: approximate top-10 per user by trained cells and codes, history
+    excluded.  Rows-only check (trained); recall is tested on the
+    embeddings, ``knn_seeded_cells`` has a twin."""
+    from driftrank.operators.cells import search_cells
+    from driftrank.operators.recommend import history_arrays
+    t = _t(spark, d)
+    q = t.user_vectors.join(history_arrays(t.history), "user_idx", "left")
+    approx = t.cell_index
+    return search_cells(q, approx.table, approx.model, K, probes=approx.probes, rerank=approx.rerank,
+                        query_id="user_idx", exclude="history")
+
+
+@register("knn_seeded_cells", sql=with_views("ev_l", "index_l", extra=STATE_SQL + [
+    ("cen", "SELECT item_idx AS cell, v AS c FROM index_l WHERE item_idx < 32"),
+    ("own", "SELECT i.item_idx, arg_max(cen.cell, (" + cos_sql("i.v", "cen.c") + ", -cen.cell)) AS cell, any_value(i.v) AS v "
+            "FROM index_l i JOIN cen ON true GROUP BY i.item_idx"),
+    ("near", "SELECT q.user_idx, q.u, cen.cell, row_number() OVER (PARTITION BY q.user_idx ORDER BY "
+             + cos_sql("q.u", "cen.c") + " DESC, cen.cell) AS r FROM uq q JOIN cen ON true"),
+    ("pairs", "SELECT n.user_idx, o.item_idx, " + cos_sql("n.u", "o.v") + " AS score FROM near n JOIN own o USING (cell) "
+              "WHERE n.r <= 12 AND NOT EXISTS (SELECT 1 FROM hist h WHERE h.user_idx = n.user_idx AND h.item_idx = o.item_idx)"),
+    ("best", "SELECT user_idx, CAST(row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) AS INTEGER) AS rank, "
+             "item_idx, score FROM pairs"),
+]) + f"SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM best WHERE rank <= {K}")
+def q_knn_seeded_cells(spark, d):
+    """V4 with the items below 32 as centroids: 12 of 32 cells probed, all
+    items in them scored exactly, history excluded."""
+    import numpy as np
+    from driftrank.operators.cells import CellModel, cell_table, search_cells
+    from driftrank.operators.knn import _unit_rows
+    from driftrank.operators.recommend import history_arrays
+    t = _t(spark, d)
+    seeds = t.item_index.where("item_idx < 32").orderBy("item_idx").select("features").collect()
+    model = CellModel(_unit_rows(np.array([r[0] for r in seeds], dtype=np.float64)))
+    q = t.user_vectors.join(history_arrays(t.history), "user_idx", "left")
+    return _shown(search_cells(q, cell_table(t.item_index, model), model, K, probes=12, query_id="user_idx", exclude="history"))
+
+
 @register("exclude_history", sql=with_views("ev_l", "index_l", extra=STATE_SQL) + (
     "SELECT DISTINCT k.user_idx, k.item_idx FROM acc k WHERE k.event_type = 'click' AND NOT EXISTS "
     "(SELECT 1 FROM hist h WHERE h.user_idx = k.user_idx AND h.item_idx = k.item_idx)"))
@@ -402,12 +445,12 @@ def q_recommend_fallback(spark, d):
     return _reco(spark, d, 1.0).where(F.col("source") == S.SOURCE_TRENDING)
 
 
-def _mmr_sql(cands: str, lam: float, k: int) -> list[tuple[str, str]]:
+def _mmr_sql(cands: str, lam: float | str, k: int | str) -> list[tuple[str, str]]:
     """Recursive twin of greedy MMR over (user_idx, rank, item_idx, score)
     candidates: each step picks, per user, the unpicked candidate with the
     best lambda*rel - (1-lambda)*max_sim (ties: better rank), then raises
     every candidate's max_sim by its similarity to the pick."""
-    lam_s = f"CAST({lam!r} AS DOUBLE)"
+    lam_s = f"CAST({lam} AS DOUBLE)"
     return [
         ("mc", f"SELECT c.user_idx, c.rank AS pos, c.item_idx, c.score, i.v FROM {cands} c "
                "JOIN iv i ON c.item_idx = i.item_idx"),
@@ -459,28 +502,37 @@ def q_mmr_rerank(spark, d):
 
 
 @register("recs_by_source", sql=with_views("ev_l", "index_l", "tx_l", "item_map_l", extra=RECO_SQL) + (
-    "SELECT source, user_type, reason, count(DISTINCT user_idx) AS requests FROM reco "
-    "GROUP BY source, user_type, reason"))
+    "SELECT source, q.user_type, reason, count(DISTINCT q.user_idx) AS requests FROM "
+    "(SELECT r.user_idx, CASE WHEN u.user_idx IS NOT NULL THEN 'known' ELSE 'cold_start' END AS user_type "
+    "FROM req r LEFT JOIN uq u ON u.user_idx = r.user_idx) q LEFT JOIN reco USING (user_idx) "
+    "GROUP BY source, q.user_type, reason"))
 def q_recs_by_source(spark, d):
-    """ME5: answered users by source x user type (and fallback reason)."""
-    r = _reco(spark, d, 1.0)
-    return r.groupBy("source", "user_type", "reason").agg(
-        F.count_distinct("user_idx").alias("requests"))
+    """ME5: requests by source x user type (and fallback reason); one that
+    nothing answers counts with no source."""
+    from driftrank.operators.recommend import answer_counts
+    t = _t(spark, d)
+    return answer_counts(t.users, t.user_vectors, _reco(spark, d, 1.0))
 
 
 @register("exclusion_counts", sql=with_views("ev_l", "index_l", extra=STATE_SQL + [
     ("req", "SELECT user_idx FROM user_map_l"),
-]) + ("SELECT count(h.item_idx) AS excluded_history, 0 AS excluded_explicit, "
-      "count(DISTINCT q.user_idx) AS searched_users FROM req r JOIN uq q ON r.user_idx = q.user_idx "
-      "LEFT JOIN hist h ON h.user_idx = q.user_idx"))
+    ("cart", "SELECT DISTINCT user_idx, item_idx FROM ev_l WHERE event_type = 'add_to_cart' AND item_idx IS NOT NULL"),
+    ("srch", "SELECT DISTINCT q.user_idx FROM req r JOIN uq q ON r.user_idx = q.user_idx"),
+]) + ("SELECT (SELECT count(*) FROM srch JOIN hist h USING (user_idx)) AS excluded_history, "
+      "(SELECT count(*) FROM srch JOIN cart c USING (user_idx)) AS excluded_explicit, "
+      "(SELECT count(*) FROM srch) AS searched_users"))
 def q_exclusion_counts(spark, d):
-    """ME6: items excluded by history / explicitly over the request table."""
+    """ME6: items excluded by history and by the request's own list (the
+    carted items) over the request table."""
+    from driftrank.operators.recommend import history_arrays
     t = _t(spark, d)
-    searched = t.users.join(t.user_vectors.select("user_idx"), "user_idx")
-    j = searched.join(t.history.select("user_idx", "item_idx"), "user_idx", "left")
-    return j.agg(F.count("item_idx").alias("excluded_history"),
-                 F.lit(0).alias("excluded_explicit"),
-                 F.count_distinct("user_idx").alias("searched_users"))
+    cart = (t.events.where((F.col("event_type") == "add_to_cart") & F.col("item_idx").isNotNull())
+            .groupBy("user_idx").agg(F.collect_set("item_idx").alias("cart")))
+    asked = (t.users.join(t.user_vectors.select("user_idx"), "user_idx").join(history_arrays(t.history), "user_idx", "left")
+             .join(cart, "user_idx", "left"))
+    return asked.agg(F.sum(F.coalesce(F.size("history"), F.lit(0))).alias("excluded_history"),
+                     F.sum(F.coalesce(F.size("cart"), F.lit(0))).alias("excluded_explicit"),
+                     F.count(F.lit(1)).alias("searched_users"))
 
 
 @register("explain_recs", sql=with_views("ev_l", "index_l", "tx_l", "item_map_l", extra=RECO_SQL + [

@@ -19,6 +19,11 @@ from driftrank import schema as S
 MAP_SNAPSHOT = "1999-01-01"
 
 
+# Approximate search: a cell per ~45 items of the largest test index, whose
+# vectors point everywhere, so that most cells have to be probed.
+CELLS = {"n_cells": 44, "probes": 36, "rerank": 150}
+
+
 _SHARED: dict = {}
 
 
@@ -98,6 +103,15 @@ class Tables:
         from driftrank.operators.knn import build_item_index
         return self._keep(build_item_index(self.item_factors, self.item_map, self.articles))
 
+    @cached_property
+    def cell_index(self):
+        """The item index as published cells with codes, trained once per folder."""
+        from driftrank.operators.cells import CellIndex, publish_cells, train_cells
+        from driftrank.session import scratch_path
+        model = train_cells(self.item_index, CELLS["n_cells"])
+        table = publish_cells(self.item_index, model, scratch_path(self.spark, "cells"))
+        return CellIndex(model, table, CELLS["probes"], CELLS["rerank"])
+
     @cached_property
     def item_vectors(self) -> DataFrame:
         return self.item_index.select(F.col("item_idx"), F.col("features"))

@@ -33,6 +33,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Name the state store that the stateful stream needs, unless the cluster names one itself."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, ROCKSDB)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) for a name that only Spark's own readers may be able to open."""
     sc = spark.sparkContext
@@ -95,8 +105,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.streaming.stateStore.providerClass",
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

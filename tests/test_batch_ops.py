@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftrank import schema as S
 from driftrank.operators.ids import assign_ids, full_mapping, update_mapping
@@ -72,3 +73,24 @@ def test_trending_ranks_have_no_gaps_when_an_item_has_no_index(spark):
     assert [(r["rank"], r["item_idx"]) for r in out.collect()] == [(1, 7), (2, 8), (3, 9)]
     users = spark.createDataFrame([(1,)], "user_idx int")
     assert [r["item_idx"] for r in fallback(users, out, 2).orderBy("rank").collect()] == [7, 8]
+
+
+def test_day_sets_give_the_trending_list_and_sketches_come_close(spark):
+    import random
+    from driftrank.operators.trending import daily_buyers, daily_sketches, distinct_buyers, trending_from_days
+    rng = random.Random(8)
+    rows = [(f"2024-01-{rng.randrange(1, 29):02d}", f"c{rng.randrange(40_000)}", f"{min(int(rng.expovariate(0.3)), 30):010d}")
+            for _ in range(20_000)]
+    tx = (spark.createDataFrame(rows, "d string, customer_id string, article_id string")
+          .withColumn("t_dat", F.col("d").cast("date")).drop("d"))
+    users = spark.createDataFrame([(f"c{i}", i) for i in range(40_000)], "customer_id string, user_idx int")
+    want = [tuple(r) for r in trending(tx, days=10, k=8).select("rank", "article_id", "score").collect()]
+    days = daily_buyers(tx.where("t_dat < '2024-01-20'"), users).unionByName(
+        daily_buyers(tx.where("t_dat >= '2024-01-20'"), users)).unionByName(daily_buyers(tx.where("t_dat = '2024-01-20'"), users))
+    assert [tuple(r) for r in trending_from_days(days, 10, 8).select("rank", "article_id", "score").collect()] == want
+    assert days.groupBy("t_dat", "article_id").count().agg(F.max("count")).first()[0] > 1   # ids beyond one bitmap
+    exact = {r[0]: r[1] for r in distinct_buyers(recent(tx, 10)).collect()}
+    close = {r["article_id"]: r["score"] for r in trending_from_days(daily_sketches(tx), 10, 50).collect()}
+    worst = max(abs(close[a] - n) / n for a, n in exact.items())
+    print("largest error of the sketches", worst)
+    assert set(close) == set(exact) and worst < 4 * 1.04 / 2 ** 6      # four standard errors of 2^12 registers

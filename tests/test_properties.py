@@ -51,7 +51,7 @@ def test_debounce_split_composes(ts, cut):
         return
     a, b = ts[:cut], ts[cut:]
     head, last = segment_summary(a, 300.0)
-    anchor = apply_summary(head, last, len(a), 300.0, None)
+    anchor = apply_summary(head, last, 300.0, -np.inf)
     whole = ts[debounce_fold(ts, 300.0)].tolist()
     kept_a = a[debounce_fold(a, 300.0)].tolist()
     # a prefix's decisions do not depend on what follows ...

@@ -184,7 +184,7 @@ def test_segment_summary_composes():
         cut = int(rng.integers(1, len(t)))
         a, b = t[:cut], t[cut:]
         ha, la = segment_summary(a, 300.0)
-        anchor = apply_summary(ha, la, len(a), 300.0, None)
+        anchor = apply_summary(ha, la, 300.0, -np.inf)
         kept_b = b[debounce_fold(b, 300.0, anchor)].tolist()
         full = naive_debounce(t.tolist(), 300.0)
         assert [x for x in full if x >= b[0]] == kept_b
@@ -235,3 +235,24 @@ def test_history_matches_sequential_rules(spark):
     for user, (hist, last) in expected.items():
         want = hist if clock - last < year else {}
         assert got.get(user, {}) == want
+
+
+def test_debounce_many_events_inside_one_window(spark, monkeypatch):
+    """200,000 events of one key within a window, then some later ones: summaries come in rows of bounded length."""
+    from pyspark.sql import functions as F
+    from driftrank.operators import state
+    n = 200_000
+    times = np.arange(n) * (299.0 / n)
+    bound, last = state.segment_summary(times[:50_000], 300.0)
+    assert len(bound) == 50_000          # nothing to merge: every event could be the accepted one
+    import pandas as pd
+    pdf = pd.DataFrame({"user_idx": 1, "timestamp": times, state.PID: 0})
+    rows = pd.concat(list(state._summaries([pdf], ["user_idx"], "timestamp", 300.0)))
+    assert len(rows) == -(-n // state.CHUNK) and rows["_bound"].map(len).max() <= state.CHUNK
+    ev = spark.range(n).select(
+        F.col("id").alias("event_id"), F.lit(1).alias("user_idx"), F.lit(1).alias("item_idx"), F.lit("click").alias("event_type"),
+        (F.col("id") * (299.0 / n)).alias("timestamp")).unionByName(
+        spark.createDataFrame([(n + i, 1, 1, "click", t) for i, t in enumerate([299.9, 300.0, 599.9, 600.0])],
+                              "event_id long, user_idx int, item_idx int, event_type string, timestamp double"))
+    got = sorted(r["timestamp"] for r in state.debounce(ev, num_partitions=9).collect())
+    assert got == [0.0, 300.0, 600.0]

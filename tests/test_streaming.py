@@ -98,3 +98,53 @@ def test_stream_with_initial_vectors_equals_batch_with_prior(spark):
     for u in streamed:
         assert np.allclose(streamed[u], batch[u], atol=1e-5)
     assert set(streamed) <= set(batch)
+
+
+def _run_batches(spark, batches, index, **kw):
+    """Each list of rows is one micro-batch; returns the changelog and the checkpoint."""
+    src = tempfile.mkdtemp(prefix="late-src-")
+    schema = "event_id long, user_idx int, item_idx int, event_type string, timestamp double"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/p{i}")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    out, ckpt = tempfile.mkdtemp(prefix="late-out-"), tempfile.mkdtemp(prefix="late-ckpt-")
+    q = (user_state_stream(stream, index, **kw).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).collect(), ckpt
+
+
+def test_out_of_order_arrival_over_three_batches_equals_the_batch_operator(spark):
+    rng = np.random.default_rng(3)
+    index = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(4)], "item_idx int, features array<float>")
+    schema = "event_id long, user_idx int, item_idx int, event_type string, timestamp double"
+    rows = [(i, int(rng.integers(3)), int(rng.integers(5)), "click" if i % 3 else "purchase", float(t))
+            for i, t in enumerate(np.sort(rng.uniform(1000, 4000, size=90)).round(2))]
+    last = [(999, 9, 0, "click", 1e6)]                      # moves the watermark past all others
+    mixed = list(rows)
+    rng.shuffle(mixed)
+    batches = [[tuple(x) for x in part] for part in (mixed[:30], mixed[30:60], mixed[60:])]
+    batches = [[(int(a), int(b), int(c), str(d), float(e)) for a, b, c, d, e in part] for part in batches]
+    log, _ = _run_batches(spark, [*batches, last, [(1000, 9, 0, "click", 1e6 + 1)]], index, watermark="2 hours")
+    got = {r["user_idx"]: r for r in sorted(log, key=lambda r: (r["timestamp"], r["event_id"]))}
+    ev = spark.createDataFrame(rows, schema)
+    want = {r["user_idx"]: r["features"] for r in ema_vectors(debounce(known_events(ev)), index).collect()}
+    assert set(got) - {9} == set(want)
+    assert all(np.allclose(got[u]["features"], want[u], atol=1e-6) for u in want)
+    kept = {r["event_id"] for r in debounce(known_events(ev)).where("item_idx < 4").collect()}
+    assert {r["event_id"] for r in log if r["user_idx"] != 9} == kept
+
+
+def test_state_of_an_idle_user_disappears(spark):
+    index = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "item_idx int, features array<float>")
+    batches = [[(1, 7, 0, "purchase", 1000.0), (2, 8, 0, "purchase", 1000.0)], [(3, 8, 1, "click", 2000.0)],
+               [(4, 8, 1, "click", 9000.0)], [(5, 8, 1, "click", 9500.0)], [(6, 8, 0, "click", 9900.0)]]
+    log, ckpt = _run_batches(spark, batches, index, watermark="10 seconds", ttl=3000.0, forget_after=5000.0)
+    state = (spark.read.format("statestore").option("path", ckpt).option("stateVarName", "user").load()
+             .select("key.user_idx", "value.*").collect())
+    by = {r["user_idx"]: r for r in state}
+    assert set(by) == {8}                                    # user 7 is forgotten whole
+    assert by[8]["history"] == [] and by[8]["v"] is not None  # the purchase set has expired, the vector stays
+    assert all(t["ts"] >= 9000.0 for t in by[8]["anchors"])
+    assert [r["action"] for r in log if r["user_idx"] == 7] == ["created"]
