@@ -17,7 +17,8 @@ the path goes on to ``?``, ``#`` or the end.
 
 Cases: null urls and urls without ``://`` have an empty host and path and
 get the default verdict; an empty table gives no rows; repeated rows are
-judged each for itself; without rules all get the default; a rule is given
+judged each for itself; in a very long segment only the lengths that rules
+have there are tried; without rules all get the default; a rule is given
 once or more often with the same effect; extra columns named in ``keep``
 are carried along.
 """
@@ -47,7 +48,10 @@ class Trie:
             at = node.setdefault("", {})            # no host label is empty inside a rule
             for segment in whole:
                 at = at.setdefault(segment, {})
-            ends = at.setdefault(None, {})          # beginnings of the next segment
+            lengths, ends = at.setdefault(None, ([], {}))   # beginnings of the next segment, their lengths falling
+            if len(last) not in lengths:
+                lengths.append(len(last))
+                lengths.sort(reverse=True)
             if ends.get(last, (0, 0, "allow"))[2] != "block":
                 ends[last] = (host, path, verdict)
 
@@ -55,10 +59,10 @@ class Trie:
         best = None
         parts = path.split("/")
         for segment in parts:
-            ends = at.get(None)
-            if ends:
-                for n in range(len(segment), -1, -1):
-                    found = ends.get(segment[:n])
+            if None in at:
+                lengths, ends = at[None]
+                for n in lengths:
+                    found = ends.get(segment[:n]) if n <= len(segment) else None
                     if found:
                         best = found
                         break

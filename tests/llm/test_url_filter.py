@@ -3,7 +3,7 @@ import random
 import pytest
 
 from driftrank.llm.queries import URL_RULES
-from driftrank.llm.url_filter import url_filter
+from driftrank.llm.url_filter import Trie, url_filter
 
 URLS = ["http://example.org/es/1", "https://A.B.Example.ORG/en/148?x#y", "http://example.org", "http://example.org/", "x.com/fr/",
         "http://x.com/fr/?q", "http://com/de/", "http://xcom/de/", None, "", "://", "http://", "https://x.org:80/es/", "a://b://c/d",
@@ -46,3 +46,18 @@ def test_odd_hosts_empty_tables_and_no_rules(spark):
     assert url_filter(df, URL_RULES).count() == len(URLS)
     assert url_filter(df.limit(0), URL_RULES).count() == 0
     assert {r["verdict"] for r in url_filter(df, []).collect()} == {"allow"}
+
+
+def test_very_long_segments_and_repeated_pages(spark):
+    import time
+    rules = [("org", "/", "allow"), ("example.org", "/en/1", "block"), ("example.org", "/en/12345", "allow"), ("example.org", "/en/9", "block")]
+    trie = Trie(rules)
+    long = "x" * 200_000
+    start = time.perf_counter()
+    assert trie.find("a.example.org", "/en/" + long) == rules[0]
+    assert trie.find("a.example.org", "/en/1" + long) == rules[1] and trie.find("example.org", "/en/12345" + long) == rules[2]
+    assert trie.find("example.org", "/en/" + "9/" * 100_000) == rules[3]
+    assert time.perf_counter() - start < 0.2
+    rows = [(1, f"http://example.org/en/1{long}"), (1, f"http://example.org/en/1{long}"), (1, None)]
+    got = url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert [(r["page_id"], r["rule"]) for r in got] == [(1, "example.org/en/1")] * 2 + [(1, None)]
