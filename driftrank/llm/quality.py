@@ -1,14 +1,16 @@
 """Quality classifier (3): supervised subword embeddings, trained by numpy SGD.
 
 A word is a white-space chunk as written.  Its features are the chunk itself
-and its character n-grams with boundary marks, each hashed to a row of an
-embedding table; a word that repeats the one before adds one more feature.
-A word's vector is the mean of its features' vectors, a text's vector the
-mean of its words', and a softmax layer over two classes gives the score.
+and its runs of three and four bytes, one boundary mark on each side
+included, each hashed to a row of an embedding table; a word that repeats the
+one before adds one more feature.  A word's vector is the mean of its
+features' vectors, a text's vector the mean of its words', and a softmax layer
+over two classes gives the score.
 
 Because everything before the softmax is an average, the difference of the
-two outputs is the mean of one number per word.  Scoring therefore keeps a
-bounded table word -> number per worker and reads each text once, whole.
+two outputs is the mean of one number per feature row.  Scoring hashes all
+byte runs of a slice at once and adds up those numbers, per word and per
+text; each text is read once, whole.
 
 Training uses at most ``per_class`` labelled texts of each class, the first
 by hash of the id, of at most ``max_chars`` characters; the class shares of
@@ -19,40 +21,94 @@ source and id are no inputs of a score.
 Cases: null and empty texts get the score of the class shares alone; rows
 that repeat an id are scored each for itself; with labels of one class or
 none the score is the share of label 1 (one half without labels); null
-labels and labels of unknown ids are ignored; an empty table gives no rows.
+labels and labels of unknown ids are ignored; a very long text is a slice of
+its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import operator
-import uuid
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .arrow_text import slices, text_column
+from .arrow_text import slices, text_column, utf8, word_hashes, word_spans
 from .tables import held_out
 
-BUCKETS = 1 << 17
+BITS = 17
+BUCKETS = 1 << BITS
+REPEAT = BUCKETS            # one row more, of repeated words
 DIM = 16
-GRAMS = (3, 4)
-WORDS = 300_000
 THRESHOLD = 0.3
+_SALT3, _SALT4 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+_MARK = 0x20
 
 
-def features(word: str) -> list[int]:
-    """Rows of the word and of its character n-grams."""
-    data = f"<{word}>".encode()
-    out = [zlib.crc32(data, 1) % BUCKETS]
-    for n in GRAMS:
-        out += [zlib.crc32(data[i:i + n]) % BUCKETS for i in range(len(data) - n + 1)]
-    return out
+def _rows_of_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of the three and four bytes from every place."""
+    x = data.astype(np.uint32)
+    three = x[:-2] | (x[1:-1] << np.uint32(8)) | (x[2:] << np.uint32(16))
+    four = three[:-1] | (x[3:] << np.uint32(24))
+    shift = np.uint32(32 - BITS)
 
+    def place(v, salt):
+        v = (v ^ (v >> np.uint32(15))) * salt
+        return ((v ^ (v >> np.uint32(13))) * salt) >> shift
+    return place(three, _SALT3), place(four, _SALT4)
 
-REPEAT = zlib.crc32(b"repeated word", 2) % BUCKETS
+
+@dataclass
+class Words:
+    """Features of the words of some texts; ``at`` has the range of words of each text."""
+    at: np.ndarray
+    starts: np.ndarray
+    size: np.ndarray
+    whole: np.ndarray
+    three: np.ndarray
+    four: np.ndarray
+    again: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        off, raw = utf8(texts)
+        data = np.insert(raw, off, _MARK)                  # a mark before each text and at the end
+        starts, ends, at = word_spans(off + np.arange(len(off)), data)
+        hashes = word_hashes(data, starts, ends)
+        cover = np.zeros(len(data) + 1, dtype=np.int32)
+        cover[starts] += 1
+        cover[ends] -= 1
+        data[np.cumsum(cover[:-1]) == 0] = _MARK             # white space of any kind
+        three, four = _rows_of_runs(np.concatenate([data, np.full(3, _MARK, np.uint8)]))
+        again = np.zeros(len(starts), dtype=bool)
+        again[1:] = hashes[1:] == hashes[:-1]
+        again[at[:-1][at[:-1] < len(starts)]] = False
+        return cls(at, starts - 1, ends - starts, (hashes >> np.uint64(64 - BITS)).astype(np.int64), three, four, again)
+
+    def means(self, row: np.ndarray) -> np.ndarray:
+        """Per word the mean of ``row`` over its features: itself, ``size`` runs of three, one run of four less."""
+        if not len(self.size):
+            return np.zeros(0)
+        return (row[self.whole] + _added(row[self.three], self.starts, self.size)
+                + _added(row[self.four], self.starts, self.size - 1)) / (2 * self.size)
+
+    def difference(self, row: np.ndarray) -> np.ndarray:
+        """Per text the mean of its words' means and of the row of repeats; 0 without words."""
+        n = np.diff(self.at)
+        again = _added(self.again.astype(np.float64), self.at[:-1], n)
+        total = _added(self.means(row), self.at[:-1], n) + again * float(row[REPEAT])
+        return total / np.maximum(n + again, 1)
+
+
+def _added(values: np.ndarray, starts: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of ``count`` values from each start; starts rise."""
+    if not len(values):
+        return np.zeros(len(starts))
+    edges = np.empty(2 * len(starts), dtype=np.int64)
+    edges[0::2], edges[1::2] = starts, starts + count
+    padded = np.append(values.astype(np.float64), 0.0)
+    out = np.add.reduceat(padded, np.minimum(edges, len(values)))[0::2]
+    return np.where(count > 0, out, 0.0)
 
 
 @dataclass
@@ -61,62 +117,48 @@ class Model:
     row: np.ndarray
     bias: float
 
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        z = Words.of(texts).difference(self.row) + self.bias
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
-class WordScores(dict):
-    """Word -> mean of its rows' numbers; holds up to ``WORDS`` words."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= WORDS:
-            self.clear()
-        row = self.model.row
-        out = self[word] = float(row[features(word)].mean())
-        return out
+@dataclass
+class Network:
+    """The trained table and the softmax layer."""
+    table: np.ndarray
+    out: np.ndarray
+    bias: np.ndarray
 
-    def score(self, text: str) -> float:
-        words = text.split()
-        if not words:
-            z = self.model.bias
-        else:
-            again = sum(map(operator.eq, words, words[1:]))
-            total = sum(map(self.__getitem__, words)) + again * float(self.model.row[REPEAT])
-            z = total / (len(words) + again) + self.model.bias
-        return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+    def collapsed(self, shift: float) -> Model:
+        """The class difference as one number per row; ``shift`` corrects the bias."""
+        return Model((self.table @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32),
+                     float(self.bias[1] - self.bias[0]) + shift)
 
 
-def text_vector(text: str, known: dict) -> tuple[np.ndarray, np.ndarray]:
+def text_vector(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(rows, weights) of a text's average; weights add up to 1."""
-    words = text.split()
-    if not words:
+    w = Words.of(pa.array([text], pa.string()))
+    n, again = len(w.size), int(w.again.sum())
+    if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    again = sum(map(operator.eq, words, words[1:]))
-    share = 1.0 / (len(words) + again)
-    distinct, times = np.unique(np.array(words, dtype=object), return_counts=True)
-    rows, weights = [np.array([REPEAT])], [np.array([again * share])]
-    for w, n in zip(distinct, times):
-        f = known.get(w)
-        if f is None:
-            f = known[w] = np.array(features(w), dtype=np.int64)
-        rows.append(f)
-        weights.append(np.full(len(f), n * share / len(f)))
-    at, back = np.unique(np.concatenate(rows), return_inverse=True)
-    return at, np.bincount(back, weights=np.concatenate(weights)).astype(np.float32)
-
-
-def train(texts: list[str], labels: list[int], share: float, *, epochs: int = 6, rate: float = 0.5,
-          seed: int = 7) -> Model:
-    """SGD over single texts; ``share`` is the share of label 1 among all training labels."""
-    y = np.array(labels, dtype=np.int64)
-    prior = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
-    if len(set(labels)) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 12.0 if share >= 1 and labels else -12.0 if labels else 0.0)
-    known: dict = {}
-    docs = [text_vector(t, known) for t in texts]
+    each = 1.0 / (2 * w.size * (n + again))
+
+    def runs(rows, count):
+        first = np.repeat(w.starts, count)
+        place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        return rows[first + place], np.repeat(each, count)
+    r3, w3 = runs(w.three, w.size)
+    r4, w4 = runs(w.four, w.size - 1)
+    at, back = np.unique(np.concatenate([w.whole, r3, r4, [REPEAT]]), return_inverse=True)
+    weights = np.concatenate([each, w3, w4, [again / (n + again)]])
+    return at.astype(np.int64), np.bincount(back, weights=weights).astype(np.float32)
+
+
+def train(texts: list[str], labels: list[int], *, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Network:
+    """SGD over single texts."""
+    docs = [text_vector(t) for t in texts]
     rng = np.random.default_rng(seed)
-    table = (rng.random((BUCKETS, DIM), dtype=np.float32) - 0.5) / DIM
+    table = (rng.random((BUCKETS + 1, DIM), dtype=np.float32) - 0.5) / DIM
     out = np.zeros((DIM, 2), dtype=np.float32)
     bias = np.zeros(2, dtype=np.float32)
     steps, done = epochs * len(docs), 0
@@ -130,16 +172,24 @@ def train(texts: list[str], labels: list[int], share: float, *, epochs: int = 6,
             z = h @ out + bias
             p = np.exp(z - z.max())
             p /= p.sum()
-            p[y[i]] -= 1
+            p[labels[i]] -= 1
             back = out @ p
             out -= lr * np.outer(h, p)
             bias -= lr * 0.1 * p
             if len(at):
                 # normalised step: the text's vector moves by the rate, however many rows it averages
                 table[at] = vectors - (lr / max(float(w @ w), 1e-6)) * np.outer(w, back)
-    diff = out[:, 1] - out[:, 0]
-    balance = float(np.log(max(y.mean(), 1e-9) / max(1 - y.mean(), 1e-9)))
-    return Model((table @ diff).astype(np.float32), float(bias[1] - bias[0]) - balance + prior)
+    return Network(table, out, bias)
+
+
+def model_of(texts: list[str], labels: list[int], share: float) -> Model:
+    """The model; ``share`` is the share of label 1 among all training labels."""
+    if len(set(labels)) < 2:
+        return Model(np.zeros(BUCKETS + 1, np.float32), 12.0 if share >= 1 and labels else -12.0 if labels else 0.0)
+    prior = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
+    mean = sum(labels) / len(labels)
+    balance = float(np.log(max(mean, 1e-9) / max(1 - mean, 1e-9)))
+    return train(texts, labels).collapsed(prior - balance)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
@@ -158,18 +208,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     rows = (docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
             .join(F.broadcast(drawn), "id").filter(F.length("t") <= max_chars)
             .orderBy(F.xxhash64("id"), "id", F.xxhash64("t")).limit(2 * per_class).toArrow())
-    return train(rows["t"].to_pylist(), rows["y"].to_pylist(), share)
+    return model_of(rows["t"].to_pylist(), rows["y"].to_pylist(), share)
 
 
 def _scores(model: Model, docs: DataFrame, text: str, emit, schema):
-    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        from driftrank.llm import quality, worker_cache
-        table = worker_cache.once(key, lambda: quality.WordScores(sent.value))
         for batch in batches:
             for part in slices(batch, text):
-                yield emit(part, np.array([table.score(t) for t in text_column(part, text).to_pylist()], dtype=float))
+                yield emit(part, sent.value.scores(text_column(part, text)))
 
     return docs.mapInArrow(run, schema)
 

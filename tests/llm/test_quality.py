@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftrank.llm import quality
@@ -23,12 +24,41 @@ def test_held_out_accuracy(spark, model):
     assert len(test) > 50 and np.mean([p == y for p, y in test]) > 0.97
 
 
-def test_score_is_the_softmax_of_the_averaged_vectors(model):
-    for text in ("one two two Three!!", "É é", "x"):
-        at, w = quality.text_vector(text, {})
-        assert abs(w.sum() - 1) < 1e-5
-        z = float(w @ model.row[at]) + model.bias
-        assert abs(quality.WordScores(model).score(text) - 1 / (1 + np.exp(-z))) < 1e-4
+TEXTS = ["one two two Three!!", "É é", "x", "", "a\tb\n\nb  b", "word" * 50, "ab ab ab", " lead and trail "]
+
+
+def runs(word):
+    """The word's byte runs of three and four, one mark on each side included."""
+    data = b" " + word.encode() + b" "
+    return [data[i:i + n] for n in (3, 4) for i in range(len(data) - n + 1)]
+
+
+def test_words_have_their_byte_runs_as_features():
+    place = {}
+    for t in TEXTS:
+        words = t.split()
+        w = quality.Words.of(pa.array([t]))
+        assert w.size.tolist() == [len(x.encode()) for x in words]
+        assert w.again.tolist() == [k > 0 and words[k] == words[k - 1] for k in range(len(words))]
+        for k, x in enumerate(words):
+            got = [*w.three[w.starts[k]:w.starts[k] + w.size[k]], *w.four[w.starts[k]:w.starts[k] + w.size[k] - 1]]
+            assert len(got) == len(runs(x)) == 2 * len(x.encode()) - 1
+            for run, row in zip(runs(x), got):
+                assert place.setdefault(run, row) == row and row < quality.BUCKETS
+
+
+def test_score_is_the_softmax_of_the_averaged_vectors():
+    """The sixteen dimensions, averaged text by text, against the scores of all texts at once."""
+    net = quality.train(["good words here", "more good words", "BAD!! JUNK!!", "JUNK!! BAD!! JUNK!!"], [1, 1, 0, 0], epochs=3)
+    model = net.collapsed(0.25)
+    got = model.scores(pa.array(TEXTS))
+    for t, score in zip(TEXTS, got):
+        at, w = quality.text_vector(t)
+        assert not t.split() or abs(w.sum() - 1) < 1e-5
+        z = (w @ net.table[at] if len(at) else np.zeros(quality.DIM)) @ net.out + net.bias + np.array([0, 0.25])
+        assert abs(score - np.exp(z[1]) / np.exp(z).sum()) < 1e-5
+    alone = [model.scores(pa.array([t]))[0] for t in TEXTS]
+    assert np.array_equal(got, alone)            # whatever shares the slice
 
 
 def test_nulls_empty_repeats_and_clashing_columns(spark, model):
