@@ -35,9 +35,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.mllib.linalg import DenseMatrix
+from pyspark.mllib.common import callMLlibFunc
+from pyspark.mllib.linalg import MatrixUDT
 from pyspark.mllib.linalg.distributed import BlockMatrix
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .tables import written
 
@@ -112,11 +113,39 @@ def centred_blocks(rows: DataFrame, n: int, sums: list[int], block_rows: int) ->
     return _numbered(rows.select("uid", "x").mapInArrow(cut, "uids array<long>, values binary"), "blocks")
 
 
+_BLOCK = T.StructType([
+    T.StructField("at", T.StructType([T.StructField("row", T.LongType()), T.StructField("column", T.LongType())])),
+    T.StructField("matrix", MatrixUDT())])
+
+
+def _block(row: int, column: int, n_rows: int, n_cols: int, values: pa.Array) -> pa.RecordBatch:
+    """One row of ``_BLOCK``: a dense matrix, ``values`` (a list of doubles) column by column."""
+    none = pa.nulls(1, pa.list_(pa.int32()))
+    matrix = pa.StructArray.from_arrays(
+        [pa.array([1], pa.int8()), pa.array([n_rows], pa.int32()), pa.array([n_cols], pa.int32()), none, none, values,
+         pa.array([False])], ["type", "numRows", "numCols", "colPtrs", "rowIndices", "values", "isTransposed"])
+    at = pa.StructArray.from_arrays([pa.array([row]), pa.array([column])], ["row", "column"])
+    return pa.RecordBatch.from_arrays([at, matrix], ["at", "matrix"])
+
+
+def _matrix(blocks: DataFrame, n_rows: int, n_cols: int) -> BlockMatrix:
+    """Rows of ``_BLOCK`` as a BlockMatrix.
+
+    MLlib's own constructor goes the same way from a table, but takes an RDD
+    of Python matrices first, which turns every entry into a Python float.
+    """
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", blocks, n_rows, n_cols, 0, 0), n_rows, n_cols)
+
+
 def block_matrix(blocks: DataFrame, place, n_rows: int, n_cols: int) -> BlockMatrix:
     """The blocks as a BlockMatrix; ``place`` says at which (block row, block column) a block lies."""
-    rdd = blocks.select("block", "values").rdd.map(
-        lambda r: (place(r[0]), DenseMatrix(n_rows, n_cols, np.frombuffer(r[1], dtype=np.float64))))
-    return BlockMatrix(rdd, n_rows, n_cols)
+    def rows(batches):
+        for batch in batches:
+            for block, values in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield _block(*place(block), n_rows, n_cols,
+                             pa.array([np.frombuffer(values.as_buffer(), dtype=np.float64)], pa.list_(pa.float64())))
+
+    return _matrix(blocks.select("block", "values").mapInArrow(rows, _BLOCK), n_rows, n_cols)
 
 
 def gram(a: BlockMatrix, splits: int) -> np.ndarray:
@@ -131,7 +160,7 @@ def gram(a: BlockMatrix, splits: int) -> np.ndarray:
 
 
 def _tall(block: int) -> tuple[int, int]:
-    return int(block), 0
+    return block, 0
 
 
 def project(spark: SparkSession, blocks: DataFrame, matrix: np.ndarray, block_rows: int) -> DataFrame:
@@ -139,23 +168,35 @@ def project(spark: SparkSession, blocks: DataFrame, matrix: np.ndarray, block_ro
     d, k = matrix.shape
     n_blocks = blocks.count()
     side = max(1, int(np.ceil(np.sqrt(n_blocks))))
-    a = block_matrix(blocks, lambda b: (int(b) // side, int(b) % side), block_rows, d)
-    w = DenseMatrix(d, k, matrix.ravel(order="F"))
+    a = block_matrix(blocks, lambda b: (b // side, b % side), block_rows, d)
+    entries = matrix.ravel(order="F")
+
+    def diagonal(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield _block(i, i, d, k, pa.array([entries], pa.list_(pa.float64())))
+
     # the product gets as many tasks as the larger operand has partitions
-    diagonal = spark.sparkContext.parallelize([((i, i), w) for i in range(side)], max(side, -(-n_blocks // BLOCKS_PER_TASK)))
-    made = a.multiply(BlockMatrix(diagonal, d, k))
+    tasks = max(side, -(-n_blocks // BLOCKS_PER_TASK))
+    made = a.multiply(_matrix(spark.range(0, side, 1, tasks).mapInArrow(diagonal, _BLOCK), d, k))
 
-    def rows(b):
-        (i, j), m = b
-        return int(i) * side + int(j), bytearray(np.ascontiguousarray(m.toArray()).tobytes())
+    def rows(batches):
+        for batch in batches:
+            at, m = batch.column(0), batch.column(1)
+            for i, j, n, flat, turned in zip(at.field(0).to_pylist(), at.field(1).to_pylist(), m.field("numRows").to_pylist(),
+                                             m.field("values"), m.field("isTransposed").to_pylist()):
+                z = flat.values.to_numpy().reshape((n, k) if turned else (k, n))
+                z = np.ascontiguousarray(z if turned else z.T)
+                yield pa.RecordBatch.from_arrays([pa.array([i * side + j], pa.int64()), pa.array([z.tobytes()], pa.binary())],
+                                                 ["block", "z"])
 
-    done = spark.createDataFrame(made.blocks.map(rows), "block long, z binary")
+    done = callMLlibFunc("getMatrixBlocks", made._java_matrix_wrapper._java_model).mapInArrow(rows, "block long, z binary")
 
     def unpack(batches):
         for batch in batches:
             for uids, z in zip(batch.column(0), batch.column(1)):
                 uid = uids.values.to_numpy()
-                z = np.frombuffer(z.as_buffer(), dtype=np.float64).reshape(block_rows, k)[:len(uid)]
+                z = np.frombuffer(z.as_buffer(), dtype=np.float64).reshape(-1, k)[:len(uid)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(uid), pa.FixedSizeListArray.from_arrays(pa.array(z.ravel()), k).cast(pa.list_(pa.float64()))],
                     ["uid", "z"])
