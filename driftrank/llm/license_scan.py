@@ -24,7 +24,9 @@ at most ``max_chars`` characters, the first by hash.
 Scanning is one projection without shuffle or Python: a text is split into
 lines only if it has a feature word, and only runs that resemble a template
 are scored, since no other can be found.  ``paragraph`` is the first line of
-the run.
+the run.  What holds the ``overlap`` of a template must have one of the
+template's ``signal`` words, its longest ones, since too few of its n-grams do
+without them; texts, lines and runs without any are passed over at once.
 
 Cases: null and empty texts have no licences; repeated lines are found each
 for itself; equal probabilities go to the earlier family; an empty table
@@ -75,6 +77,8 @@ PLAIN = [
     "Students of MIT published their work in 2004.", "Software version 3.0 is a work in progress.",
     "The copy of this document is subject to the conditions of the project.", "",
 ]
+# common words, which mark a notice only where nothing else is left
+COMMON = frozenset("a all any are as be by can for from in is it may no not of on or that the this to under use was with work you".split())
 UNKNOWN = "unknown"
 BINS = 1000
 LINE_COST = 0.05
@@ -91,6 +95,18 @@ def grams(w: Column) -> Column:
     return F.array_distinct(F.concat(w, F.filter(pairs, lambda p: p.isNotNull())))
 
 
+def holds(w: Column, some: list[str]) -> Column:
+    """Whether one of ``some`` is among the words ``w``."""
+    return F.exists(w, lambda x: x.isin(some))
+
+
+def grams_of(w: Column, known: list[str]) -> Column:
+    """Those of the distinct words and word pairs of ``w`` that are in ``known``."""
+    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    one, two = [g for g in known if " " not in g], [g for g in known if " " in g]
+    return F.array_distinct(F.concat(F.filter(w, lambda x: x.isin(one)), F.filter(pairs, lambda p: p.isNotNull() & p.isin(two))))
+
+
 @dataclass
 class Model:
     """Bounded by the templates: vocabulary, weights per family, threshold, template n-grams."""
@@ -118,21 +134,43 @@ def similar(g: Column, known: list[tuple[str, list[str]]]) -> Column:
     return F.greatest(*[F.size(F.array_intersect(g, F.lit(t))) / F.lit(float(len(t))) for _, t in known], F.lit(0.0))
 
 
+def signal(known: list[tuple[str, list[str]]], overlap: float) -> list[str]:
+    """Words one of which is in any text that holds ``overlap`` of a template's n-grams.
+
+    Per template the longest words outside ``COMMON`` (the rarest, as a rule)
+    are taken until the n-grams without any of them are fewer than the
+    overlap asks for.  Any choice of words gives the same notices.
+    """
+    out: set[str] = set()
+    for _, t in known:
+        mine: set[str] = set()
+        for w in sorted((g for g in t if " " not in g), key=lambda w: (w in COMMON, -len(w), w)):
+            if sum(mine.isdisjoint(g.split(" ")) for g in t) / len(t) < overlap:
+                break
+            mine.add(w)
+        out |= mine
+    return sorted(out)
+
+
 def _bound(value: Column, name: str, use) -> Column:
     """``use`` of a struct that holds ``value`` as ``name``, made once."""
     return F.element_at(F.transform(F.array(F.struct(value.alias(name))), use), 1)
 
 
-def _lines(text: Column, known: list, single: list[str]) -> Column:
-    """Array of (i, w, has, s): words of each line, whether one is in ``single``, and its similarity if so."""
-    lines = F.transform(F.split(text, "\n"), lambda p, i: F.struct(i.alias("i"), words(p).alias("w")))
-    lines = F.transform(lines, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"),
-                                                  F.arrays_overlap(x["w"], F.lit(single)).alias("has")))
+def _lines(text: Column) -> Column:
+    """Array of (i, w): words of each line."""
+    return F.transform(F.split(text, "\n"), lambda p, i: F.struct(i.alias("i"), words(p).alias("w")))
+
+
+def _compared(lines: Column, known: list, single: list[str], marks: list[str]) -> Column:
+    """Lines with has and mark, whether a word is in ``single`` and ``marks``, and s, the similarity of marked ones."""
+    lines = F.transform(lines, lambda x: F.struct(
+        x["i"].alias("i"), x["w"].alias("w"), holds(x["w"], single).alias("has"), holds(x["w"], marks).alias("mark")))
     lines = F.transform(lines, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), x["has"].alias("has"),
-                                                  F.when(x["has"], grams(x["w"])).alias("g")))
+                                                  x["mark"].alias("mark"), F.when(x["mark"], grams(x["w"])).alias("g")))
     return F.transform(lines, lambda x: F.struct(
-        x["i"].alias("i"), x["w"].alias("w"), x["has"].alias("has"),
-        F.when(x["has"], similar(x["g"], known)).otherwise(0.0).alias("s")))
+        x["i"].alias("i"), x["w"].alias("w"), x["has"].alias("has"), x["mark"].alias("mark"),
+        F.when(x["mark"], similar(x["g"], known)).otherwise(0.0).alias("s")))
 
 
 def _runs(lines: Column, known: list, overlap: float) -> Column:
@@ -149,9 +187,10 @@ def _runs(lines: Column, known: list, overlap: float) -> Column:
         x["i"].alias("i"), F.slice(lines, x["i"] + 1, more + 1).alias("near")))
     near = F.transform(near, lambda x: F.struct(x["i"].alias("i"), x["near"].alias("near"), F.array_position(
         F.transform(x["near"], lambda y: F.size(y["w"]) == 0), True).cast("int").alias("k")))
-    near = F.transform(near, lambda x: F.struct(x["i"].alias("i"), F.transform(
-        F.when(x["k"] > 0, F.slice(x["near"], 1, F.greatest(x["k"] - 1, F.lit(0)))).otherwise(x["near"]),
-        lambda y: y["w"]).alias("ws")))
+    near = F.transform(near, lambda x: F.struct(x["i"].alias("i"), F.when(
+        x["k"] > 0, F.slice(x["near"], 1, F.greatest(x["k"] - 1, F.lit(0)))).otherwise(x["near"]).alias("near")))
+    near = F.transform(F.filter(near, lambda x: F.exists(x["near"], lambda y: y["mark"])), lambda x: F.struct(
+        x["i"].alias("i"), F.transform(x["near"], lambda y: y["w"]).alias("ws")))
 
     def held(x: Column, n: Column) -> Column:
         return F.slice(F.flatten(F.slice(x["ws"], 1, n)), 1, F.size(F.element_at(x["ws"], 1)) + more)
@@ -186,10 +225,21 @@ def _runs(lines: Column, known: list, overlap: float) -> Column:
 def _unlike(docs: DataFrame, text: str, known: list, overlap: float) -> DataFrame:
     """(w): words of all lines that have any and belong to nothing that resembles a template."""
     single = sorted({g for _, t in known for g in t if " " not in g})
-    lines = docs.select(_lines(F.col(text), known, single).alias("all"))
-    both = lines.select("all", _runs(F.col("all"), known, overlap).alias("runs"))
-    return (both.select(F.explode(F.filter("all", lambda x: (F.size(x["w"]) > 0) & (x["s"] < overlap) & ~F.exists(
-        "runs", lambda r: x["i"].between(r["start"], r["end"])))).alias("x")).select("x.w"))
+    marks = signal(known, overlap)
+
+    def rest(d: Column) -> Column:
+        return F.filter(d["all"], lambda x: (x["s"] < overlap) & ~F.exists(
+            d["runs"], lambda r: x["i"].between(r["start"], r["end"])))
+
+    def plain(lines: Column) -> Column:
+        both = _bound(_compared(lines, known, single, marks), "all", lambda d: F.struct(
+            d["all"].alias("all"), _runs(d["all"], known, overlap).alias("runs")))
+        return F.transform(_bound(both, "d", lambda x: rest(x["d"])), lambda x: x["w"])
+
+    lines = docs.select(_lines(F.coalesce(F.col(text), F.lit(""))).alias("lines"))
+    some = F.exists("lines", lambda x: holds(x["w"], marks))
+    w = F.when(some, plain(F.col("lines"))).otherwise(F.transform("lines", lambda x: x["w"]))
+    return lines.select(F.explode(w).alias("w")).filter(F.size("w") > 0)
 
 
 def _sample(docs: DataFrame, text: str, sample_docs: int, max_chars: int, paragraphs: int, known: list,
@@ -203,9 +253,7 @@ def _sample(docs: DataFrame, text: str, sample_docs: int, max_chars: int, paragr
 
 def _features(docs: DataFrame, text: str, every: list[str], known: list, overlap: float) -> DataFrame:
     """(g, n): paragraphs of all texts unlike every template, by the template n-grams they hold; written."""
-    single = [g for g in every if " " not in g]
-    held = _unlike(docs, text, known, overlap).select(F.when(F.arrays_overlap("w", F.lit(single)), F.array_sort(
-        F.array_intersect(grams(F.col("w")), F.lit(every)))).otherwise(F.array().cast("array<string>")).alias("g"))
+    held = _unlike(docs, text, known, overlap).select(F.array_sort(grams_of(F.col("w"), every)).alias("g"))
     return written(held.groupBy("g").agg(F.count("*").alias("n")), "features")
 
 
@@ -252,7 +300,7 @@ def fit(docs: DataFrame, *, text: str = "text", templates: list | None = None, s
     for r in sorted(bins, key=lambda r: -r["bin"]):
         above += r["n"]
         if above > false_rate * total:
-            model.threshold = max(0.5, min(0.95, r["bin"] / BINS))
+            model.threshold = max(0.5, r["bin"] / BINS)
             break
     return model
 
@@ -279,11 +327,12 @@ def _probabilities(lines: Column, model: Model) -> Column:
 
 def licences(text: Column, model: Model, overlap: float = 0.5) -> Column:
     """Array of (paragraph, family, probability, similarity) of the notices in a text."""
-    single = [g for g in model.vocabulary if " " not in g]
+    marks = signal(model.templates, overlap)
     every = sorted({g for _, t in model.templates for g in t if " " not in g})
     t = F.coalesce(text, F.lit(""))
 
-    runs = _bound(_lines(t, model.templates, every), "all", lambda d: _runs(d["all"], model.templates, overlap))
+    runs = _bound(_compared(_lines(t), model.templates, every, marks), "all",
+                  lambda d: _runs(d["all"], model.templates, overlap))
     some = F.transform(runs, lambda x: F.struct(x["start"].alias("i"), grams(x["w"]).alias("g")))
     found = F.transform(_probabilities(some, model), lambda x: F.struct(
         x["line"].alias("line"), F.array_max(x["p"]).alias("top"), F.array_position(x["p"], F.array_max(x["p"])).alias("k")))
@@ -294,7 +343,7 @@ def licences(text: Column, model: Model, overlap: float = 0.5) -> Column:
             F.when(x["k"] == FAMILIES.index(f) + 1, F.size(F.array_intersect(x["line"]["g"], F.lit(g))) / F.lit(float(len(g))))
             for f, g in model.templates]).alias("similarity")))
     empty = F.array().cast("array<struct<paragraph:int,family:string,probability:double,similarity:double>>")
-    return F.when(F.arrays_overlap(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), F.lit(single)),
+    return F.when(holds(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), marks),
                   F.filter(compared, lambda x: x["similarity"] >= overlap)).otherwise(empty)
 
 

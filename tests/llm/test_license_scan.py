@@ -74,6 +74,32 @@ def test_threshold_over_all_paragraphs(spark):
     assert L._sample(df, "text", 3, 1 << 16, 100, known, 0.5).count() == 10
 
 
+def test_signal_words_are_in_all_that_resembles_a_template():
+    import itertools
+    known = [("x", ["a", "bb", "ccc", "a bb", "bb ccc"]), ("y", ["license", "mit", "the", "the mit", "mit license"])]
+    for overlap in (0.4, 0.5, 0.9):
+        marks = set(L.signal(known, overlap))
+        for _, t in known:
+            words = [g for g in t if " " not in g]
+            for n in range(len(words) + 1):
+                for some in itertools.combinations(words, n):
+                    held = sum(set(g.split(" ")) <= set(some) for g in t)
+                    assert held / len(t) < overlap or marks & set(some)
+
+
+def test_runs_equal_those_without_the_signal_filter(spark):
+    docs = read(spark, SF, "documents").select("text").limit(40).unionByName(spark.createDataFrame(
+        [(" the first of\n" + t.replace(" ", "\n", 3) + "\nthe copy of it",) for _, t in L.TEMPLATES], "text string"))
+    known = [(r["family"], r["g"]) for r in L._rows(spark, L.TEMPLATES).select("family", L.grams(L.words(L.F.col("text"))).alias("g")).collect()]
+    single = sorted({g for _, t in known for g in t if " " not in g})
+
+    def found(marks):
+        lines = L._compared(L._lines(L.F.col("text")), known, single, marks)
+        return [tuple(map(tuple, r[0])) for r in docs.select("text", lines.alias("all")).orderBy("text").select(
+            L._runs(L.F.col("all"), known, 0.5)).collect()]
+    assert found(L.signal(known, 0.5)) == found(single) and any(found(single))
+
+
 def test_empty_corpus_and_plan(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     model = L.fit(docs, copies=5)
