@@ -70,3 +70,44 @@ def test_query_digest(spark):
     assert all(r["contaminated"] == (r["n_hit"] > 0) for r in rows)
     none = hashlib.sha256(b"").hexdigest()
     assert all((r["items_sha256"] == none) == (r["n_items"] == 0) for r in rows)
+
+
+def test_nodes_stay_under_a_seventh_of_those_of_all_windows():
+    import ahocorasick
+    from driftrank.llm.decontaminate import Passages
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    words = [rng.choice(vocabulary) for _ in range(20_000)]
+    items = [(str(i), " ".join(words[i:i + 50]).encode()) for i in range(0, 20_000, 50)]
+    whole = ahocorasick.Automaton()
+    for _, t in items:
+        w = t.decode().split()
+        for i in range(len(w) - 9):
+            whole.add_word(" " + " ".join(w[i:i + 10]) + " ", 1)
+    small = Passages(items, 10)
+    assert small.automaton.get_stats()["nodes_count"] * 7 < whole.get_stats()["nodes_count"]
+    text = " ".join(["zz"] * 30_000 + words[5:45] + ["zz"] * 30_000 + words[103:112] + words[993:1007])
+    n, found, spans = small.scan(text.encode())
+    assert n == 60_063 and found == {"0"}     # nine words, or seven each of two items, are no window
+    assert {k for a, b in spans for k in range(a, b + 1)} == set(range(30_000, 30_040))
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 7, 10])
+def test_windows_of_any_length_are_found(window):
+    from driftrank.llm.decontaminate import Passages
+    rng = random.Random(window)
+    word = lambda: rng.choice("abc")
+    for _ in range(200):
+        items = [(str(i), " ".join(word() for _ in range(rng.randint(0, 14))).encode()) for i in range(3)]
+        text = [word() for _ in range(rng.randint(0, 30))]
+        hit, owners = set(), set()
+        for item, t in items:
+            w = t.decode().split()
+            size = min(window, len(w))
+            for i in range(len(w) - size + 1 if w else 0):
+                for j in range(len(text) - size + 1):
+                    if text[j:j + size] == w[i:i + size]:
+                        hit |= set(range(j, j + size))
+                        owners.add(item)
+        n, found, spans = Passages(items, window).scan(" ".join(text).encode())
+        assert (n, found) == (len(text), owners) and {k for a, b in spans for k in range(a, b + 1)} == hit
