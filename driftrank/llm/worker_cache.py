@@ -7,13 +7,15 @@ worker's own module, not a copy that travels with the closure.
 from __future__ import annotations
 
 _HELD: dict = {}
-KEPT = 4
 
 
 def once(key: str, make):
-    """The object of ``key``, made on first use; the few latest objects stay."""
+    """The object of ``key``, made on first use; it stays until another one is asked for.
+
+    A worker runs one stage's function at a time, so what an earlier stage
+    has left is of no use and only takes memory.
+    """
     if key not in _HELD:
-        while len(_HELD) >= KEPT:
-            _HELD.pop(next(iter(_HELD)))
+        _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
