@@ -25,3 +25,17 @@ def test_holdout_split_is_deterministic(spark):
     assert s1 == s2
     frac = sum(v == "test" for v in s1.values()) / len(s1)
     assert 0.15 < frac < 0.25
+
+
+def test_factor_blocks_follow_the_ratings_and_not_the_shuffle_width(spark):
+    from driftrank.operators.model import BLOCK_RATINGS, factor_blocks
+    assert [factor_blocks(n) for n in (0, 1000, 10 * BLOCK_RATINGS, 10 * BLOCK_RATINGS + 1)] == [10, 10, 10, 11]
+    rows = [(u, i, 1.0 + (u + i) % 3) for u in range(60) for i in range(40) if (u * 7 + i) % 3 == 0]
+    ratings = spark.createDataFrame(rows, "user_idx int, item_idx int, rating float")
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 37)
+        factors = train(ratings, rank=2, maxIter=1).itemFactors
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert factors.rdd.getNumPartitions() == 10 and factors.count() == 40
