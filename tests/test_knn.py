@@ -125,3 +125,47 @@ def test_knn_with_many_small_shards(spark):
     a = [r.item_idx for r in knn(q, index, 5, shard_rows=3).orderBy("rank").collect()]
     b = [r.item_idx for r in knn(q, index, 5, shard_rows=1000).orderBy("rank").collect()]
     assert a == b
+
+
+def test_a_block_is_scored_in_slices_of_bounded_size():
+    import tracemalloc
+    from driftrank.operators.knn import make_shard, score_block
+    rng = np.random.default_rng(3)
+    items, queries = rng.normal(size=(32768, 8)), rng.normal(size=(4096, 8))
+    shard = make_shard(np.arange(32768), items)
+    tracemalloc.start()
+    rows, cols, value = score_block(queries, shard, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6                     # all scores at once are 1 GB
+    some = np.arange(0, 4096, 300)
+    unit = queries[some] / np.linalg.norm(queries[some], axis=1)[:, None]
+    want = np.argsort(-(unit @ shard.vecs.T), axis=1)[:, :10]
+    assert np.array_equal(cols.reshape(-1, 10)[some], want) and np.array_equal(rows, np.repeat(np.arange(4096), 10))
+
+
+def test_rough_scores_choose_what_exact_ones_would():
+    from driftrank.operators.knn import _unit_rows, make_shard, score_block
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(500, 6))
+    items = np.concatenate([base, base, base * (1 + 1e-9 * rng.normal(size=base.shape)), rng.normal(size=(4000, 6)), np.zeros((3, 6))])
+    ids = rng.permutation(len(items))
+    items[ids == 7] = np.nan
+    queries = np.concatenate([base[:40], np.zeros((1, 6)), [[np.inf] * 6]])
+    for metric in ("cosine", "dot"):
+        shard = make_shard(ids, items, metric=metric)
+        rows, cols, value = score_block(queries, shard, 12, metric=metric, excludes=[[int(ids[q])] for q in range(42)])
+        assert rows.max() == 40             # the query that is not finite has no rows
+        for q in range(41):
+            v = queries[q] if metric == "dot" else _unit_rows(queries[:41])[q]
+            s = np.einsum("ij,ij->i", np.broadcast_to(v, shard.vecs.shape).copy(), shard.vecs)
+            order = [i for i in np.lexsort((shard.ids, -s)) if shard.ids[i] != ids[q]][:12]
+            assert shard.ids[cols[rows == q]].tolist() == shard.ids[order].tolist()
+
+
+def test_no_shard_or_block_is_broadcast(spark):
+    rng = np.random.default_rng(6)
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))], "item_idx int, features array<float>")
+    got = knn(index.withColumnRenamed("item_idx", "user_idx"), index, 3, shard_rows=100, query_rows=20)
+    assert got.count() == 900
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()

@@ -47,3 +47,20 @@ def test_batch_equals_single():
     batch = mmr_select(s, v, .7, 5)
     for b in range(6):
         assert batch[b].tolist() == mmr_select(s[b:b + 1], v[b:b + 1], .7, 5)[0].tolist()
+
+
+def test_more_lists_than_are_reranked_at_a_time(spark):
+    from driftrank.operators.mmr import LISTS, mmr_rerank
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(30, 4)).astype(np.float32)
+    n = 2 * LISTS + 3
+    picks = [rng.choice(30, size=5 + u % 2, replace=False) for u in range(n)]
+    rows = [(u, r + 1, int(i), 1.0 - 0.1 * r) for u, p in enumerate(picks) for r, i in enumerate(p)]
+    cands = spark.createDataFrame(rows, "user_idx int, rank int, item_idx int, score double")
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "item_idx int, features array<float>")
+    got = {}
+    for r in mmr_rerank(cands.coalesce(1), index, 0.5, 3).collect():
+        got.setdefault(r.user_idx, {})[r["rank"]] = r.item_idx
+    for u, p in enumerate(picks):
+        want = greedy([1.0 - 0.1 * r for r in range(len(p))], vectors[p].astype(np.float64), 0.5, 3)
+        assert [got[u][r] for r in (1, 2, 3)] == [int(p[w]) for w in want]
