@@ -94,3 +94,15 @@ def test_day_sets_give_the_trending_list_and_sketches_come_close(spark):
     worst = max(abs(close[a] - n) / n for a, n in exact.items())
     print("largest error of the sketches", worst)
     assert set(close) == set(exact) and worst < 4 * 1.04 / 2 ** 6      # four standard errors of 2^12 registers
+
+
+def test_day_set_of_one_buyer_is_small(spark, tmp_path):
+    from driftrank.operators.trending import daily_buyers
+    tx = spark.range(2000).selectExpr("date '2024-01-01' AS t_dat", "concat('c', id) AS customer_id", "concat('a', id) AS article_id")
+    users = spark.range(2000).selectExpr("concat('c', id) AS customer_id", "cast(id * 50 AS int) AS user_idx")
+    days = daily_buyers(tx, users)
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" not in plan
+    rows = days.collect()
+    assert len(rows) == 2000 and all(len(r["buyers"]) == 1 for r in rows)
+    assert sorted((r["bucket"] - 1) * 32768 + r["buyers"][0] for r in rows) == [50 * i for i in range(2000)]
