@@ -106,3 +106,14 @@ def test_empty_index_and_queries(spark, small):
     assert search_cells(q.limit(0), cells, model, 3, probes=2, rerank=5).isEmpty()
     none = q.limit(2).withColumn("features", F.lit(None).cast("array<float>"))
     assert search_cells(none, cells, CellModel(model.centroids), 3, probes=2).isEmpty()
+
+
+def test_rows_of_a_repeated_item_are_all_ranked(spark, small):
+    index, model = small
+    q = index.where("item_idx in (3, 200)").select(F.col("item_idx").alias("user_idx"), "features")
+    once, twice = cell_table(index, model), cell_table(index.unionByName(index.withColumn("product_group_name", F.lit("C"))), model)
+    best = [r.item_idx for r in search_cells(q, once, model, 2, probes=12, rerank=480, shard_rows=15).where("user_idx = 3").orderBy("rank").collect()]
+    rows = search_cells(q, twice, model, 8, probes=12, rerank=960, shard_rows=15).where("user_idx = 3").orderBy("rank").collect()
+    assert [r.item_idx for r in rows] == [best[0]] * 4 + [best[1]] * 4       # each of two candidates meets both rows of its item
+    rows = search_cells(q, twice, model, 4, probes=12, rerank=960, shard_rows=15, item_filter=F.col("product_group_name") == "C")
+    assert [r.item_idx for r in rows.where("user_idx = 3").orderBy("rank").collect()] == [best[0]] * 2 + [best[1]] * 2
