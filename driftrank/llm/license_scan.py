@@ -86,7 +86,7 @@ FAMILIES = [*dict.fromkeys(f for f, _ in TEMPLATES), UNKNOWN]
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def grams(w: Column) -> Column:
@@ -97,13 +97,15 @@ def grams(w: Column) -> Column:
 
 def holds(w: Column, some: list[str]) -> Column:
     """Whether one of ``some`` is among the words ``w``."""
-    return F.exists(w, lambda x: x.isin(some))
+    return F.arrays_overlap(w, F.lit(some))
 
 
 def grams_of(w: Column, known: list[str]) -> Column:
     """Those of the distinct words and word pairs of ``w`` that are in ``known``."""
-    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     one, two = [g for g in known if " " not in g], [g for g in known if " " in g]
+    begin = sorted({g.split(" ")[0] for g in two})
+    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
+                       lambda a, b: F.when(a.isin(begin), F.concat(a, F.lit(" "), b)))
     return F.array_distinct(F.concat(F.filter(w, lambda x: x.isin(one)), F.filter(pairs, lambda p: p.isNotNull() & p.isin(two))))
 
 
@@ -152,25 +154,58 @@ def signal(known: list[tuple[str, list[str]]], overlap: float) -> list[str]:
     return sorted(out)
 
 
+def needed(known: list[tuple[str, list[str]]], overlap: float) -> list[tuple[list[str], int]]:
+    """Per template its words, and how many of them any text has that holds ``overlap`` of its n-grams.
+
+    So many words hold at most their own number of n-grams and the pairs that
+    begin with them; the words that begin the most pairs are counted first.
+    """
+    out = []
+    for _, t in known:
+        one = [g for g in t if " " not in g]
+        begun = sorted((sum(g.startswith(w + " ") for g in t) for w in one), reverse=True)
+        out.append((one, next((n for n in range(len(one) + 1) if n + sum(begun[:n]) >= overlap * len(t) - 1e-6), len(one) + 1)))
+    return out
+
+
+def enough(w: Column, need: list[tuple[list[str], int]]) -> Column:
+    """Whether the words ``w`` are as many as one of the templates needs."""
+    has = F.lit(False)
+    for one, n in need:
+        has = has | (F.size(F.array_intersect(w, F.lit(one))) >= n)
+    return has
+
+
 def _bound(value: Column, name: str, use) -> Column:
     """``use`` of a struct that holds ``value`` as ``name``, made once."""
     return F.element_at(F.transform(F.array(F.struct(value.alias(name))), use), 1)
 
 
+def possible(w: Column, known: list[tuple[str, list[str]]], single: list[str], overlap: float) -> Column:
+    """Whether a text of the words ``w`` can hold a notice: it has a mark and enough of one template's words."""
+    return holds(w, signal(known, overlap)) & _bound(
+        F.array_intersect(w, F.lit(single)), "u", lambda d: enough(d["u"], needed(known, overlap)))
+
+
 def _lines(text: Column) -> Column:
     """Array of (i, w): words of each line."""
     return F.transform(F.split(text, "\n"), lambda p, i: F.struct(i.alias("i"), words(p).alias("w")))
 
 
-def _compared(lines: Column, known: list, single: list[str], marks: list[str]) -> Column:
-    """Lines with has and mark, whether a word is in ``single`` and ``marks``, and s, the similarity of marked ones."""
+def _compared(lines: Column, known: list, single: list[str], marks: list[str], overlap: float = 0.0) -> Column:
+    """Lines with u, their words in ``single``, mark, whether one is in ``marks``, and s, the similarity.
+
+    ``s`` is 0 for lines without a mark and those that cannot reach ``overlap``.
+    """
+    need = needed(known, overlap)
+    lines = F.transform(lines, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), F.filter(
+        x["w"], lambda w: w.isin(single)).alias("u"), holds(x["w"], marks).alias("mark")))
     lines = F.transform(lines, lambda x: F.struct(
-        x["i"].alias("i"), x["w"].alias("w"), holds(x["w"], single).alias("has"), holds(x["w"], marks).alias("mark")))
-    lines = F.transform(lines, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), x["has"].alias("has"),
-                                                  x["mark"].alias("mark"), F.when(x["mark"], grams(x["w"])).alias("g")))
+        x["i"].alias("i"), x["w"].alias("w"), x["u"].alias("u"), x["mark"].alias("mark"),
+        F.when(x["mark"] & enough(x["u"], need), grams(x["w"])).alias("g")))
     return F.transform(lines, lambda x: F.struct(
-        x["i"].alias("i"), x["w"].alias("w"), x["has"].alias("has"), x["mark"].alias("mark"),
-        F.when(x["mark"], similar(x["g"], known)).otherwise(0.0).alias("s")))
+        x["i"].alias("i"), x["w"].alias("w"), x["u"].alias("u"), x["mark"].alias("mark"),
+        F.when(x["g"].isNotNull(), similar(x["g"], known)).otherwise(0.0).alias("s")))
 
 
 def _runs(lines: Column, known: list, overlap: float) -> Column:
@@ -181,15 +216,22 @@ def _runs(lines: Column, known: list, overlap: float) -> Column:
     is the line of the best score, the similarity less LINE_COST per line.
     Of overlapping runs the one with the best score stays, the earlier end
     first; a line outside them that resembles a template is a run as well.
+    Only starts with a mark in reach, and near them as many of a template's
+    words as it takes, are compared: no other can resemble one.
     """
     more = max([len(g) for _, g in known] or [1])       # at least the words of the longest template
-    near = F.transform(F.filter(lines, lambda x: x["has"]), lambda x: F.struct(
-        x["i"].alias("i"), F.slice(lines, x["i"] + 1, more + 1).alias("near")))
+    need = needed(known, overlap)
+    marked = F.transform(F.filter(lines, lambda x: x["mark"]), lambda x: x["i"])
+    starts = _bound(marked, "marked", lambda d: F.filter(lines, lambda x: (F.size(x["u"]) > 0) & F.exists(
+        d["marked"], lambda m: m.between(x["i"], x["i"] + more))))
+    near = F.transform(starts, lambda x: F.struct(x["i"].alias("i"), F.slice(lines, x["i"] + 1, more + 1).alias("near")))
     near = F.transform(near, lambda x: F.struct(x["i"].alias("i"), x["near"].alias("near"), F.array_position(
         F.transform(x["near"], lambda y: F.size(y["w"]) == 0), True).cast("int").alias("k")))
     near = F.transform(near, lambda x: F.struct(x["i"].alias("i"), F.when(
         x["k"] > 0, F.slice(x["near"], 1, F.greatest(x["k"] - 1, F.lit(0)))).otherwise(x["near"]).alias("near")))
     near = F.transform(F.filter(near, lambda x: F.exists(x["near"], lambda y: y["mark"])), lambda x: F.struct(
+        x["i"].alias("i"), x["near"].alias("near"), F.array_distinct(F.flatten(F.transform(x["near"], lambda y: y["u"]))).alias("u")))
+    near = F.transform(F.filter(near, lambda x: enough(x["u"], need)), lambda x: F.struct(
         x["i"].alias("i"), F.transform(x["near"], lambda y: y["w"]).alias("ws")))
 
     def held(x: Column, n: Column) -> Column:
@@ -232,12 +274,12 @@ def _unlike(docs: DataFrame, text: str, known: list, overlap: float) -> DataFram
             d["runs"], lambda r: x["i"].between(r["start"], r["end"])))
 
     def plain(lines: Column) -> Column:
-        both = _bound(_compared(lines, known, single, marks), "all", lambda d: F.struct(
+        both = _bound(_compared(lines, known, single, marks, overlap), "all", lambda d: F.struct(
             d["all"].alias("all"), _runs(d["all"], known, overlap).alias("runs")))
         return F.transform(_bound(both, "d", lambda x: rest(x["d"])), lambda x: x["w"])
 
     lines = docs.select(_lines(F.coalesce(F.col(text), F.lit(""))).alias("lines"))
-    some = F.exists("lines", lambda x: holds(x["w"], marks))
+    some = possible(F.flatten(F.transform("lines", lambda x: x["w"])), known, single, overlap)
     w = F.when(some, plain(F.col("lines"))).otherwise(F.transform("lines", lambda x: x["w"]))
     return lines.select(F.explode(w).alias("w")).filter(F.size("w") > 0)
 
@@ -331,7 +373,7 @@ def licences(text: Column, model: Model, overlap: float = 0.5) -> Column:
     every = sorted({g for _, t in model.templates for g in t if " " not in g})
     t = F.coalesce(text, F.lit(""))
 
-    runs = _bound(_compared(_lines(t), model.templates, every, marks), "all",
+    runs = _bound(_compared(_lines(t), model.templates, every, marks, overlap), "all",
                   lambda d: _runs(d["all"], model.templates, overlap))
     some = F.transform(runs, lambda x: F.struct(x["start"].alias("i"), grams(x["w"]).alias("g")))
     found = F.transform(_probabilities(some, model), lambda x: F.struct(
@@ -343,8 +385,8 @@ def licences(text: Column, model: Model, overlap: float = 0.5) -> Column:
             F.when(x["k"] == FAMILIES.index(f) + 1, F.size(F.array_intersect(x["line"]["g"], F.lit(g))) / F.lit(float(len(g))))
             for f, g in model.templates]).alias("similarity")))
     empty = F.array().cast("array<struct<paragraph:int,family:string,probability:double,similarity:double>>")
-    return F.when(holds(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), marks),
-                  F.filter(compared, lambda x: x["similarity"] >= overlap)).otherwise(empty)
+    some = _bound(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), "w", lambda d: possible(d["w"], model.templates, every, overlap))
+    return F.when(some, F.filter(compared, lambda x: x["similarity"] >= overlap)).otherwise(empty)
 
 
 def scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -107,3 +107,28 @@ def test_empty_corpus_and_plan(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_no_text_that_resembles_a_template_lacks_the_needed_words():
+    import itertools
+    known = [("x", ["a", "bb", "ccc", "a bb", "bb ccc", "bb a"]), ("y", ["license", "mit", "the", "the mit", "mit license"])]
+    for overlap in (0.0, 0.4, 0.5, 0.6, 0.9, 1.0):
+        for (one, least), (_, t) in zip(L.needed(known, overlap), known, strict=True):
+            for n in range(len(one) + 1):
+                for some in itertools.combinations(one, n):
+                    held = sum(set(g.split(" ")) <= set(some) for g in t)
+                    assert held / len(t) < overlap or n >= least
+
+
+def test_runs_are_sought_only_where_the_words_allow_one(spark):
+    known = [(r["family"], r["g"]) for r in L._rows(spark, L.TEMPLATES).select("family", L.grams(L.words(L.F.col("text"))).alias("g")).collect()]
+    single = sorted({g for _, t in known for g in t if " " not in g})
+    rows = [(0, "er kam mit dem Zug\nund in der Stadt\nmit ihr an"), (1, "the public library is free"), (2, ""), (3, "Released under\nthe MIT License")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = df.select("doc_id", L.possible(L.words(L.F.col("text")), known, single, 0.5).alias("p")).collect()
+    assert {r["doc_id"]: r["p"] for r in got} == {0: False, 1: False, 2: False, 3: True}
+    lines = L._compared(L._lines(L.F.col("text")), known, single, L.signal(known, 0.5), 0.5)
+    runs = df.select("doc_id", lines.alias("all")).select("doc_id", L._runs(L.F.col("all"), known, 0.5).alias("r")).collect()
+    assert {r["doc_id"]: [(x["start"], x["end"]) for x in r["r"]] for r in runs} == {0: [], 1: [], 2: [], 3: [(0, 1)]}
+    pairs = L.grams_of(L.F.array(*map(L.F.lit, ["the", "mit", "license", "of", "mit", "license"])), ["license", "mit license", "of mit"])
+    assert sorted(spark.range(1).select(pairs).first()[0]) == ["license", "mit license", "of mit"]
