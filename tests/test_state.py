@@ -256,3 +256,37 @@ def test_debounce_many_events_inside_one_window(spark, monkeypatch):
                               "event_id long, user_idx int, item_idx int, event_type string, timestamp double"))
     got = sorted(r["timestamp"] for r in state.debounce(ev, num_partitions=9).collect())
     assert got == [0.0, 300.0, 600.0]
+
+
+def test_ema_sums_whole_vectors_per_user(spark, monkeypatch):
+    from driftrank.operators import state
+    rng = np.random.default_rng(5)
+    vecs = {i: [float(x) for x in rng.normal(size=4)] for i in range(30)}
+    vecs[3], vecs[4], vecs[5] = [1.0, None, 2.0, 3.0], [0.5, 0.25], []
+    rows = [(e, 0 if e < 150 else int(rng.integers(1, 6)), int(rng.integers(0, 30)), "purchase", float(e)) for e in range(300)]
+    rows += [(300, 7, 4, "purchase", 1.0), (301, 8, 5, "purchase", 1.0)]
+    iv = spark.createDataFrame(list(vecs.items()), "item_idx int, features array<float>")
+    prior = spark.createDataFrame([(0, [1.0, 2.0, 3.0, 4.0]), (9, [5.0, 6.0]), (10, None)], "id int, features array<float>")
+
+    def found(**more):
+        out = ema_vectors(_events(spark, rows), iv, **more)
+        return out, {r["user_idx"]: r["features"] for r in out.collect()}
+    out, whole = found()
+    # a row per (user, dimension) of every task is what grew faster than the input
+    assert "explode" not in out._jdf.queryExecution().toString().lower()
+    assert sorted(whole) == [0, 1, 2, 3, 4, 5, 7] and whole[7] == [0.5, 0.25]
+    _, seeded = found(user_vectors=prior)
+    assert seeded[9] == [5.0, 6.0] and 10 not in seeded
+    # a user of many events is dealt over parts, with the same sums
+    monkeypatch.setattr(state, "SUM_ROWS", 40)
+    for a, more in ((whole, {}), (seeded, {"user_vectors": prior})):
+        b = found(**more)[1]
+        assert sorted(a) == sorted(b) and all(b[u] == pytest.approx(a[u], abs=1e-6) for u in a)
+    vec = None
+    lr = state.S.LEARNING_RATE * state.S.EVENT_WEIGHTS["purchase"]
+    for _, u, i, _, _ in rows:
+        if u == 0:
+            v = np.zeros(4)
+            v[:len(vecs[i])] = [x or 0.0 for x in vecs[i]]
+            vec = v if vec is None else vec * (1 - lr) + v * lr
+    assert whole[0] == pytest.approx(vec.tolist(), abs=1e-5)
