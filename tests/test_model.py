@@ -39,3 +39,34 @@ def test_factor_blocks_follow_the_ratings_and_not_the_shuffle_width(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", width)
     assert factors.rdd.getNumPartitions() == 10 and factors.count() == 40
+
+
+def test_training_keeps_no_more_than_the_last_iterations(spark):
+    rows = [(u, i, 1.0 + (u + i) % 3) for u in range(30) for i in range(20) if (u * 7 + i) % 3 == 0]
+    ratings = spark.createDataFrame(rows, "user_idx int, item_idx int, rating float")
+
+    def shuffles(iterations):
+        lineage = train(ratings, rank=2, maxIter=iterations).userFactors.rdd._jrdd.rdd().toDebugString()
+        return lineage.count("ShuffledRDD")
+    assert shuffles(8) == shuffles(2)
+
+
+def test_garbage_is_collected_while_training():
+    from types import SimpleNamespace
+
+    from driftrank.operators.model import swept
+    import time
+    calls = []
+    jvm = SimpleNamespace(System=SimpleNamespace(gc=lambda: calls.append(1)))
+    with swept(SimpleNamespace(sparkContext=SimpleNamespace(_jvm=jvm)), every=0.01):
+        time.sleep(0.3)
+    seen = len(calls)
+    time.sleep(0.1)
+    assert seen >= 2 and len(calls) == seen
+
+
+def test_a_block_holds_the_ratings_and_factors_of_one_task():
+    from driftrank.operators.model import BLOCK_RATINGS, BLOCKS_IN_MEMORY, factor_blocks
+    held = BLOCK_RATINGS * (32 * 4 + 24)  # a factor of 32 for each rating at the most
+    assert held <= 500_000_000
+    assert factor_blocks(240_000_000) >= 80 > BLOCKS_IN_MEMORY
