@@ -169,3 +169,39 @@ def test_no_shard_or_block_is_broadcast(spark):
     got = knn(index.withColumnRenamed("item_idx", "user_idx"), index, 3, shard_rows=100, query_rows=20)
     assert got.count() == 900
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.4, 3.0])
+def test_dot_product_of_the_largest_norms_first_finds_the_same(spark, spread):
+    rng = np.random.default_rng(11)
+    items = (rng.normal(size=(300, 4)) * np.exp(spread * rng.normal(size=300))[:, None]).astype(np.float32).astype(np.float64)
+    items[[5, 6]], items[7] = items[4], 0.0
+    queries = rng.normal(size=(40, 4)).astype(np.float32).astype(np.float64)
+    queries[3] = 0.0
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)] + [(900, [float("nan")] * 4)],
+                                  "item_idx int, features array<float>")
+    few = {q: [int(x) for x in rng.choice(300, 290, replace=False)] for q in range(0, 40, 8)}
+    asked = spark.createDataFrame([(q, v.tolist(), few.get(q)) for q, v in enumerate(queries)],
+                                  "user_idx int, features array<float>, ex array<int>")
+    got = knn(asked, index, 12, metric="dot", exclude="ex", head_rows=20, shard_rows=16).collect()
+    for q in range(40):
+        ids = [i for i in range(300) if i not in few.get(q, [])]
+        want = sorted((-float(np.einsum("j,j->", queries[q], items[i])), i) for i in ids)[:12]
+        rows = sorted((r.rank, r.item_idx, r.score) for r in got if r.user_idx == q)
+        assert [r[0] for r in rows] == list(range(1, len(want) + 1))
+        assert np.allclose([r[2] for r in rows], [-s for s, _ in want], rtol=1e-9, atol=1e-12)
+        assert [r[1] for r in rows] == [i for _, i in want]
+
+
+def test_queries_meet_only_items_whose_norm_can_matter(spark):
+    from pyspark.sql import functions as F
+
+    from driftrank.operators.knn import in_reach, norm_groups, with_norm_class
+    sizes = [8.0] * 5 + [4.0] * 6 + [1.0] * 40 + [0.0] * 3
+    items = with_norm_class(spark.createDataFrame([(i, [s, 0.0]) for i, s in enumerate(sizes)], "item_idx int, features array<float>"))
+    groups = norm_groups(items, 4, 8)
+    assert [(g.rows, g.top) for g in groups] == [(5, 8.0), (6, 4.0), (40, 1.0), (3, 0.0)]
+    asked = spark.createDataFrame([(0, [2.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0])], "_qid long, features array<float>")
+    found = spark.createDataFrame([(0, 8.1), (1, 4.0), (2, 0.9)], "_qid long, _least double")
+    got = in_reach(asked, found, groups[1:], [1, 5, 1], F.col("features")).collect()
+    assert {r["_qid"]: r["_reach"] for r in got} == {1: 1, 2: 6, 3: 7}
